@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import held_out, new_path
 
 
+#: Scores from here on count as good.
+QUALITY_THRESHOLD = 0.3
+
+
 def bpe_path() -> str:
     """The vocabulary that the contracts of packing and token files name."""
     import public_tokenizers
@@ -53,9 +57,34 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(read_token_files(spark, path))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, ~held_out(F.col("doc_id")))
+    found = predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, _table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
     "op4_token_files": op4_token_files,
+    "op6_language_id": op6_language_id,
+    "op9_quality": op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
