@@ -49,6 +49,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import Rule, judge_urls
+
+    rules = [Rule("block", "com/en/"), Rule("allow", "example.com/en/7"), Rule("allow", "net/de/"), Rule("block", "example.net/de/8"), Rule("block", "org/es/")]
+    return judge_urls(_table(spark, sf_dir, "pages"), rules)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, with_crc32, write_token_files
 
@@ -86,12 +93,50 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_neighbours
+
+    return format_neighbours(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
+    "op3_url_filter": op3_url_filter,
     "op4_token_files": op4_token_files,
     "op6_language_id": op6_language_id,
     "op7_nearest": op7_nearest,
     "op9_quality": op9_quality,
+    "op10_preferences": op10_preferences,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_preferences": """
+WITH said AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, conv_id,
+         coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), met AS (
+  SELECT pair_id, pos, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same
+  FROM said GROUP BY pair_id, pos
+), cut AS (
+  SELECT pair_id, coalesce(min(pos) FILTER (NOT same), max(pos) + 1) AS prefix_turns FROM met GROUP BY pair_id
+), drawn AS (
+  SELECT *, '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+  FROM said JOIN cut USING (pair_id)
+), placed AS (
+  SELECT *, coalesce(sum(length(shown)) FILTER (pos >= prefix_turns) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+  FROM drawn
+), spans AS (
+  SELECT *, (first + length(head))::VARCHAR || '-' || (first + length(shown))::VARCHAR AS span FROM placed
+)
+SELECT pair_id, max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id) FILTER (side = 1) AS rejected_id,
+       CAST(min(prefix_turns) AS INTEGER) AS prefix_turns,
+       coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 0 AND pos < prefix_turns), '') AS prompt,
+       CASE WHEN count(*) FILTER (side = 0) > 0 THEN coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 0 AND pos >= prefix_turns), '') END AS chosen,
+       CASE WHEN count(*) FILTER (side = 1) > 0 THEN coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 1 AND pos >= prefix_turns), '') END AS rejected,
+       CASE WHEN count(*) FILTER (side = 0) > 0 THEN coalesce(string_agg(span, ',' ORDER BY pos) FILTER (side = 0 AND pos >= prefix_turns AND role = 'assistant'), '') END AS chosen_spans,
+       CASE WHEN count(*) FILTER (side = 1) > 0 THEN coalesce(string_agg(span, ',' ORDER BY pos) FILTER (side = 1 AND pos >= prefix_turns AND role = 'assistant'), '') END AS rejected_spans
+FROM spans GROUP BY pair_id
+""",
 }
-ORACLE_SQL: dict[str, str] = {}
