@@ -64,6 +64,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(read_token_files(spark, path))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import with_leaks
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = with_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return leaks.filter(F.size("leaks") > 0).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, predict
 
@@ -79,6 +87,12 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, score
 
@@ -104,8 +118,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_url_filter": op3_url_filter,
     "op4_token_files": op4_token_files,
+    "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_nearest": op7_nearest,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_preferences": op10_preferences,
 }
