@@ -225,9 +225,9 @@ def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str =
     return Model.fit(languages, got["lang"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy())
 
 
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, the posterior of the best language."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model | None, text_col: str = "text", results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score, the posterior of the best one."""
+    keep = [c for c in docs.columns if c not in results]
     # An independent letter test: a text needs one letter to have a language.
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     at = len(keep)
@@ -248,7 +248,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     lang[ok] = np.array(model.languages, dtype=object)[best]
                     odds = np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000.0))
                     score[ok] = 1.0 / odds.sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, *results])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.lower(text_col).alias("__text"), lettered.alias("__lettered")).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(*keep, F.lower(text_col).alias("__text"), lettered.alias("__lettered")).mapInArrow(run, f"{schema}, `{results[0]}` string, `{results[1]}` double")

@@ -43,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, new_path, written
@@ -62,6 +62,7 @@ CLOSE = 0.9
 #: Nodes of a component that one task compares with as many others.
 BLOCK = 2_048
 BATCH_ROWS = 256
+RID = "__rid"
 #: A prefix is salted if it has this many nodes in the sample.
 HOT_SAMPLE = 1 / 64
 HOT_ROWS = 256
@@ -351,11 +352,26 @@ def _verify(threshold: float):
     return run
 
 
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, that of the least id."""
+    found = _classes(docs, threshold, id_col, text_col)
+    last = F.lit((1 << 63) - 1)
+    kept = found.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("doc_id"), "rid")).alias("row")).select(F.col("row.rid").alias(RID))
+    return docs.withColumn(RID, _rid(id_col, text_col)).join(kept, RID, "left_semi").dropDuplicates([RID]).drop(RID)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_links, n_copies for every row of ``docs``."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # Equal ids and texts give equal rids, so that a node's text can be found again.
-    base = base.withColumn("rid", F.xxhash64("doc_id", "text"))
+    return _classes(docs, threshold, id_col, text_col).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _rid(id_col: str, text_col: str) -> Column:
+    """Equal for rows of equal ids and texts, which are one document."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _rid(id_col, text_col).alias("rid"))
     sketch = written(base.select("doc_id", "rid", "text").mapInArrow(_sketch, "doc_id long, rid long, node long, sig binary"), "sketches")
     nodes = sketch.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")
@@ -381,7 +397,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     classes = components(verified.filter(F.col("a").isNotNull()).select("a", "b"))
     named = classes.join(nodes.select("node", "least"), "node")
     name = named.groupBy("comp").agg(F.min("least").alias("class_id"))
-    linked = classes.join(name, "comp").join(links, "node").select("node", "class_id", "links")
-    known = nodes.select("node", "least", "n").join(linked, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), "n")
-    out = sketch.select("doc_id", "node").join(known, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n", F.lit(0)).cast("long").alias("n_copies"))
+    linked = classes.join(name, "comp").join(links, "node").select("node", "comp", "class_id", "links")
+    known = nodes.select("node", "least", "n").join(linked, "node", "left").select(
+        "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("class_id", "least").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), "n"
+    )
+    out = sketch.select("doc_id", "rid", "node").join(known, "node", "left")
+    # A document without words is a class of its own.
+    key = F.when(F.col("node").isNull(), F.struct(F.lit(0).alias("kind"), F.col("rid").alias("of"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("comp").alias("of")))
+    return out.select(
+        "doc_id", "rid", key.alias("key"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n", F.lit(0)).cast("long").alias("n_copies"),
+    )
