@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,38 +33,54 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder
+from .tokens import encoder
 
 CUTS = 4
-GROUP_IDS = 1 << 18
+GROUP_IDS = 1 << 17
 BATCH_ROWS = 512
+_first = itemgetter(0)
 
 
-def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp: indices of ``sizes`` in k windows of near-equal sums."""
-    heap = [(-s, i, np.array([s] + [0] * (k - 1)), [[i]] + [[] for _ in range(k - 1)]) for i, s in enumerate(sizes)]
-    # Sums are kept in falling order and less their least, which leaves differences.
+def difference(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
+    """Karmarkar-Karp: (sum, indices of ``sizes``) of k windows, fullest first.
+
+    A partial partition is a list of (sum, tree) in falling order of sums; the
+    windows that it lacks to k are empty.
+    """
+    heap = [(-s, i, [(s, i)]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     count = len(sizes)
     while len(heap) > 1:
-        _, _, s1, w1 = heapq.heappop(heap)
-        _, _, s2, w2 = heapq.heappop(heap)
-        sums = s1 + s2[::-1]
-        order = np.argsort(-sums, kind="stable")
-        windows = [w1[j] + w2[k - 1 - j] if w2[k - 1 - j] else w1[j] for j in order.tolist()]
-        sums = sums[order] - sums.min()
+        one = heapq.heappop(heap)[2]
+        two = heapq.heappop(heap)[2]
+        # The fullest of one meet the emptiest of the other.
+        met = [(x[0] + y[0], (x[1], y[1])) for x, y in zip(one[k - len(two) :], reversed(two[k - len(one) :]))]
+        merged = one[: k - len(two)] + met + two[: k - len(one)]
+        merged.sort(key=_first, reverse=True)
         count += 1
-        heapq.heappush(heap, (-int(sums[0]), count, sums, windows))
-    return heap[0][3] if heap else [[] for _ in range(k)]
+        least = merged[-1][0] if len(merged) == k else 0
+        heapq.heappush(heap, (least - merged[0][0], count, merged))
+    return [(total, _leaves(tree)) for total, tree in heap[0][2]] if heap else []
+
+
+def _leaves(tree) -> list[int]:
+    out, open_ = [], [tree]
+    while open_:
+        t = open_.pop()
+        if isinstance(t, tuple):
+            open_ += t
+        else:
+            out.append(t)
+    return out
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Indices of ``sizes`` (each at most ``capacity``) in windows that fit."""
-    k = -(-sum(sizes) // capacity)
+    k = max(1, -(-sum(sizes) // capacity))
     while True:
         windows = difference(sizes, k)
-        if max((sum(sizes[i] for i in w) for w in windows), default=0) <= capacity:
-            return [w for w in windows if w]
+        if not windows or windows[0][0] <= capacity:
+            return [w for _, w in windows]
         k += 1
 
 
@@ -71,17 +88,15 @@ def _pack_part(tokenizer_path: str, end_id: int, capacity: int):
     most = max(1, capacity // CUTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, sequences, encoder = TaskContext.get().partitionId(), 0, None
+        part, sequences = TaskContext.get().partitionId(), 0
         tail = np.array([end_id], dtype="<u4").tobytes()
         waiting: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
         held = 0
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             doc, start, raw, total, seq, offset = zip(*rows)
-            n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(n)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))]))
-            columns = [pa.array(doc, kind), pa.array(start, pa.int64()), pa.array(n), pa.array(total, pa.int64()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), ids]
+            n = pa.array([len(x) // 4 for x in raw], pa.int64())
+            columns = [pa.array(doc, kind), pa.array(start, pa.int64()), n, pa.array(total, pa.int64()), pa.array(seq, pa.int64()), pa.array(offset, pa.int64()), pa.array(raw, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         def flush() -> list[tuple]:
@@ -100,11 +115,11 @@ def _pack_part(tokenizer_path: str, end_id: int, capacity: int):
 
         kind = pa.int64()
         for whole in batches:
-            encoder, kind = encoder or Encoder(tokenizer_path), whole.column(0).type
+            encode, kind = encoder(tokenizer_path).encode, whole.column(0).type
             for lo in range(0, whole.num_rows, BATCH_ROWS):
                 some = whole.slice(lo, BATCH_ROWS)
                 rows: list[tuple] = []
-                for doc, raw in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+                for doc, raw in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
                     raw += tail
                     total = len(raw) // 4
                     full = total - total % capacity
@@ -128,8 +143,9 @@ def _pack_part(tokenizer_path: str, end_id: int, capacity: int):
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
+    """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset and ids, the
+    piece's ids as little-endian unsigned 32-bit integers in one binary."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pack_part(tokenizer_path, end_id, capacity), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    return rows.mapInArrow(_pack_part(tokenizer_path, end_id, capacity), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import Encoder
+from .tokens import encoder
 
 FILE_OPTIONS = {
     "parquet.enable.dictionary": "true",
@@ -40,13 +40,13 @@ BATCH_ROWS = 512
 
 def _encode_part(tokenizer_path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, encoder = TaskContext.get().partitionId(), 0, None
+        part, first = TaskContext.get().partitionId(), 0
         tail = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            encoder = encoder or Encoder(tokenizer_path)
+            encode = encoder(tokenizer_path).encode
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                raw = [x + tail for x in encoder.encode(batch.column(1).to_pylist())]
+                raw = [x + tail for x in encode(batch.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))]))

@@ -15,11 +15,12 @@ from __future__ import annotations
 
 import os
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
 #: Units in one generation of a worker's memo; it holds two generations at most.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 #: Longer units are encoded but not kept.
 MEMO_UNIT_CHARS = 40
 #: Marks that form one pre-token when they end a unit (no apostrophe: it may
@@ -83,24 +84,38 @@ class Encoder:
         pre, norm = self._tok.pre_tokenizer, self._tok.normalizer
         self._direct = norm is None and "ByteLevel(add_prefix_space=False" in str(pre) and "use_regex=True" in str(pre)
         self._memo = _Memo(self)
+        self._marks: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _pretoken(self, piece: str) -> bytes:
+        """Ids of one pre-token, given by the stand-ins of its bytes."""
+        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
+
     def unit(self, unit: str) -> bytes:
         """Ids of a space and ``unit``, which holds no space."""
+        if unit.isascii() and unit.isalpha():
+            return self._pretoken(self._space + unit)
         if not unit or _spacelike(unit[0]) or _spacelike(unit[-1]):
             raise _Touching
         word = unit.rstrip(MARKS)
-        if not self._direct or not word.isalpha() or max(word) > "ɏ":
+        if not word.isalpha() or max(word) > "\u024f":
             return self._whole(" " + unit)
-        marks = unit[len(word):]
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self._letters)
-        ids = [t.id for t in self._model.tokenize(self._space + word)]
-        if marks:
-            ids += [t.id for t in self._model.tokenize(marks)]
-        return array("I", ids).tobytes()
+        if len(word) < len(unit):
+            marks = unit[len(word):]
+            if (ids := self._marks.get(marks)) is None:
+                ids = self._pretoken(marks)
+                if len(self._marks) < MEMO_ENTRIES:
+                    self._marks[marks] = ids
+            return self._memo[word] + ids
+        return self._pretoken(self._space + word.encode().decode("latin-1").translate(self._letters))
+
+    def head(self, text: str) -> bytes:
+        """Ids of what stands before the first space of a text."""
+        if text.isascii() and text.isalpha():
+            return self._pretoken(text)
+        return self._whole(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object of ids for each text; a null text has none."""
@@ -114,12 +129,18 @@ class Encoder:
             try:
                 if not self._direct or not head or _spacelike(head[-1]):
                     raise _Touching
-                out.append(self._whole(head) + b"".join([memo[u] for u in units]))
+                out.append(self.head(head) + b"".join([memo[u] for u in units]))
             except _Touching:
                 out.append(self._whole(text))
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of this process; its memo outlives the task that made it."""
+    return Encoder(path)
+
+
 def ids_of(raw: bytes) -> np.ndarray:
     """The ids in ``raw`` as an array that shares its memory."""
     return np.frombuffer(raw, dtype="<u4")
