@@ -8,7 +8,6 @@ and up is +y.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from itertools import permutations
 
@@ -24,20 +23,64 @@ def col(v: Number | str) -> Column:
     return F.col(v) if isinstance(v, str) else F.lit(float(v))
 
 
-@dataclass(frozen=True)
+def _raw(v: Number | str) -> Column | float:
+    return F.col(v) if isinstance(v, str) else v if isinstance(v, Column) else float(v)
+
+
+# Constants stay Python numbers until an expression needs them, so that factors
+# of 0 and 1 vanish; Spark itself must keep x * 0.0, which may be NaN.
+def _mul(a: Number, b: Number) -> Number:
+    for one, other in ((a, b), (b, a)):
+        if not isinstance(one, Column):
+            if one == 0:
+                return 0.0
+            if one == 1:
+                return other
+            if one == -1:
+                return -other
+    return a * b
+
+
+def _add(a: Number, b: Number) -> Number:
+    if not isinstance(a, Column) and a == 0:
+        return b
+    if not isinstance(b, Column) and b == 0:
+        return a
+    return a + b
+
+
+def _sub(a: Number, b: Number) -> Number:
+    if not isinstance(b, Column) and b == 0:
+        return a
+    if not isinstance(a, Column) and a == 0:
+        return -b
+    return a - b
+
+
 class Vec3:
-    x: Column
-    y: Column
-    z: Column
+    def __init__(self, x: Number, y: Number, z: Number) -> None:
+        self.raw = (x, y, z)
+
+    @property
+    def x(self) -> Column:
+        return col(self.raw[0])
+
+    @property
+    def y(self) -> Column:
+        return col(self.raw[1])
+
+    @property
+    def z(self) -> Column:
+        return col(self.raw[2])
 
     @classmethod
     def of(cls, x: Number | str, y: Number | str, z: Number | str) -> "Vec3":
-        return cls(col(x), col(y), col(z))
+        return cls(_raw(x), _raw(y), _raw(z))
 
     @classmethod
     def from_array(cls, a: Column | str) -> "Vec3":
         a = F.col(a) if isinstance(a, str) else a
-        return cls(*[F.get(a, i).cast("double") for i in range(3)])
+        return cls(*[F.get(a, F.lit(i)).cast("double") for i in range(3)])
 
     @classmethod
     def from_struct(cls, s: Column | str) -> "Vec3":
@@ -48,25 +91,29 @@ class Vec3:
         return iter((self.x, self.y, self.z))
 
     def __add__(self, o: "Vec3") -> "Vec3":
-        return Vec3(self.x + o.x, self.y + o.y, self.z + o.z)
+        return Vec3(*map(_add, self.raw, o.raw))
 
     def __sub__(self, o: "Vec3") -> "Vec3":
-        return Vec3(self.x - o.x, self.y - o.y, self.z - o.z)
+        return Vec3(*map(_sub, self.raw, o.raw))
 
     def __neg__(self) -> "Vec3":
-        return Vec3(-self.x, -self.y, -self.z)
+        return Vec3(*[_sub(0.0, c) for c in self.raw])
 
     def __mul__(self, s: Number) -> "Vec3":
-        return Vec3(*[c * col(s) for c in self])
+        return Vec3(*[_mul(c, s) for c in self.raw])
 
     def scaled(self, o: "Vec3") -> "Vec3":
-        return Vec3(self.x * o.x, self.y * o.y, self.z * o.z)
+        return Vec3(*map(_mul, self.raw, o.raw))
+
+    def _dot(self, o: "Vec3") -> Number:
+        return reduce(_add, map(_mul, self.raw, o.raw))
 
     def dot(self, o: "Vec3") -> Column:
-        return self.x * o.x + self.y * o.y + self.z * o.z
+        return col(self._dot(o))
 
     def cross(self, o: "Vec3") -> "Vec3":
-        return Vec3(self.y * o.z - self.z * o.y, self.z * o.x - self.x * o.z, self.x * o.y - self.y * o.x)
+        (ax, ay, az), (bx, by, bz) = self.raw, o.raw
+        return Vec3(_sub(_mul(ay, bz), _mul(az, by)), _sub(_mul(az, bx), _mul(ax, bz)), _sub(_mul(ax, by), _mul(ay, bx)))
 
     def length(self) -> Column:
         return F.sqrt(self.dot(self))
@@ -74,7 +121,7 @@ class Vec3:
     def normalized(self) -> "Vec3":
         """Of length 1; the zero vector stays as it is."""
         n = self.length()
-        return Vec3(*[F.when(n > 0, c / n).otherwise(c) for c in self])
+        return Vec3(*[c if not isinstance(c, Column) and c == 0 else F.when(n > 0, c / n).otherwise(col(c)) for c in self.raw])
 
     def project_onto(self, o: "Vec3") -> "Vec3":
         return o * (self.dot(o) / o.dot(o))
@@ -97,27 +144,41 @@ class Vec3:
 RIGHT, UP, FORWARD = Vec3.of(1, 0, 0), Vec3.of(0, 1, 0), Vec3.of(0, 0, -1)
 
 
-@dataclass(frozen=True)
 class Quat:
-    x: Column
-    y: Column
-    z: Column
-    w: Column
+    def __init__(self, x: Number, y: Number, z: Number, w: Number) -> None:
+        self.vector, self.scalar = Vec3(x, y, z), w
+
+    @property
+    def x(self) -> Column:
+        return self.vector.x
+
+    @property
+    def y(self) -> Column:
+        return self.vector.y
+
+    @property
+    def z(self) -> Column:
+        return self.vector.z
+
+    @property
+    def w(self) -> Column:
+        return col(self.scalar)
 
     @classmethod
     def identity(cls) -> "Quat":
-        return cls(*[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+        return cls(0.0, 0.0, 0.0, 1.0)
 
     @classmethod
     def from_array(cls, a: Column) -> "Quat":
-        return cls(*[F.get(a, i).cast("double") for i in range(4)])
+        return cls(*[F.get(a, F.lit(i)).cast("double") for i in range(4)])
 
     @classmethod
     def about(cls, axis: str, angle: Number) -> "Quat":
         """Rotation by ``angle`` radians about one of the axes x, y, z."""
+        if not isinstance(angle, Column) and angle == 0:
+            return cls.identity()
         half = col(angle) / 2
-        parts = {a: F.sin(half) if a == axis else F.lit(0.0) for a in "xyz"}
-        return cls(parts["x"], parts["y"], parts["z"], F.cos(half))
+        return cls(*[F.sin(half) if a == axis else 0.0 for a in "xyz"], F.cos(half))
 
     @classmethod
     def from_eulers(cls, e: Vec3, order: str = "xyz") -> "Quat":
@@ -125,23 +186,20 @@ class Quat:
         order = order.lower()
         if order not in {"".join(p) for p in permutations("xyz")}:
             raise ValueError(f"invalid rotation order {order!r}")
-        return reduce(Quat.times, [cls.about(a, getattr(e, a)) for a in order])
+        return reduce(Quat.times, [cls.about(a, e.raw["xyz".index(a)]) for a in order])
 
     def times(self, o: "Quat") -> "Quat":
-        return Quat(
-            self.w * o.x + self.x * o.w + self.y * o.z - self.z * o.y,
-            self.w * o.y - self.x * o.z + self.y * o.w + self.z * o.x,
-            self.w * o.z + self.x * o.y - self.y * o.x + self.z * o.w,
-            self.w * o.w - self.x * o.x - self.y * o.y - self.z * o.z,
-        )
+        """Hamilton product: (w u' + w' u + u x u', w w' - u . u')."""
+        v = o.vector * self.scalar + self.vector * o.scalar + self.vector.cross(o.vector)
+        return Quat(*v.raw, _sub(_mul(self.scalar, o.scalar), self.vector._dot(o.vector)))
 
     def conjugate(self) -> "Quat":
-        return Quat(-self.x, -self.y, -self.z, self.w)
+        return Quat(*(-self.vector).raw, self.scalar)
 
     def rotate(self, v: Vec3) -> Vec3:
         """v + 2u x (u x v + wv), for a unit quaternion with vector part u."""
-        u = Vec3(self.x, self.y, self.z)
-        return v + u.cross(u.cross(v) + v * self.w) * 2.0
+        u = self.vector
+        return v + u.cross(u.cross(v) + v * self.scalar) * 2.0
 
     def array(self) -> Column:
         return F.array(self.x, self.y, self.z, self.w)
@@ -160,7 +218,7 @@ class Mat4:
     """A 4 x 4 matrix of Columns, by rows."""
 
     def __init__(self, rows: list[list[Number]]) -> None:
-        self.rows = [[col(v) for v in r] for r in rows]
+        self.rows = [[_raw(v) for v in r] for r in rows]
 
     @classmethod
     def identity(cls) -> "Mat4":
@@ -168,23 +226,25 @@ class Mat4:
 
     @classmethod
     def translation(cls, v: Vec3) -> "Mat4":
-        return cls([[1, 0, 0, v.x], [0, 1, 0, v.y], [0, 0, 1, v.z], [0, 0, 0, 1]])
+        x, y, z = v.raw
+        return cls([[1, 0, 0, x], [0, 1, 0, y], [0, 0, 1, z], [0, 0, 0, 1]])
 
     @classmethod
     def scale(cls, v: Vec3) -> "Mat4":
-        return cls([[v.x, 0, 0, 0], [0, v.y, 0, 0], [0, 0, v.z, 0], [0, 0, 0, 1]])
+        x, y, z = v.raw
+        return cls([[x, 0, 0, 0], [0, y, 0, 0], [0, 0, z, 0], [0, 0, 0, 1]])
 
     @classmethod
     def rotation(cls, q: Quat) -> "Mat4":
-        i, j, k = (q.rotate(a) for a in (RIGHT, UP, Vec3.of(0, 0, 1)))
-        return cls([[i.x, j.x, k.x, 0], [i.y, j.y, k.y, 0], [i.z, j.z, k.z, 0], [0, 0, 0, 1]])
+        columns = [q.rotate(a).raw for a in (RIGHT, UP, -FORWARD)]
+        return cls([[*row, 0] for row in zip(*columns)] + [[0, 0, 0, 1]])
 
     @classmethod
     def look_at(cls, eye: Vec3, target: Vec3, up: Vec3) -> "Mat4":
         back = (eye - target).normalized()
         right = up.cross(back).normalized()
         top = back.cross(right)
-        return cls([[*right, -right.dot(eye)], [*top, -top.dot(eye)], [*back, -back.dot(eye)], [0, 0, 0, 1]])
+        return cls([[*v.raw, -v.dot(eye)] for v in (right, top, back)] + [[0, 0, 0, 1]])
 
     @classmethod
     def orthographic(cls, width: Number, height: Number, near: Number, far: Number) -> "Mat4":
@@ -198,14 +258,14 @@ class Mat4:
         return cls([[1 / (a * t), 0, 0, 0], [0, 1 / t, 0, 0], [0, 0, -(f + n) / (f - n), -2 * f * n / (f - n)], [0, 0, -1, 0]])
 
     def times(self, o: "Mat4") -> "Mat4":
-        return Mat4([[sum((self.rows[i][k] * o.rows[k][j] for k in range(1, 4)), self.rows[i][0] * o.rows[0][j]) for j in range(4)] for i in range(4)])
+        return Mat4([[reduce(_add, map(_mul, row, c)) for c in zip(*o.rows)] for row in self.rows])
 
     def apply(self, v: Vec3) -> tuple[Column, Column, Column, Column]:
         """Homogeneous coordinates of the image of a point."""
-        return tuple(r[0] * v.x + r[1] * v.y + r[2] * v.z + r[3] for r in self.rows)
+        return tuple(col(reduce(_add, map(_mul, r, (*v.raw, 1.0)))) for r in self.rows)
 
     def point(self, v: Vec3) -> Vec3:
         return Vec3(*self.apply(v)[:3])
 
     def array(self) -> Column:
-        return F.array(*[c for r in self.rows for c in r])
+        return F.array(*[col(c) for r in self.rows for c in r])

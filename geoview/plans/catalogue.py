@@ -311,15 +311,20 @@ def _frame_camera(ortho: bool = False) -> cam.Camera:
     return cam.Camera.orthographic(pose, 70.0, 70.0) if ortho else cam.Camera.perspective(pose, "fovy", 1.0)
 
 
-#: A world point near the frame's footprint, and it in camera space.
-POINT = Vec3(F.col("cam_x") + F.col("frame_id") % 31 - 15.0, F.col("cam_y") + F.col("frame_id") % 37 - 18.0, F.col("frame_id") % 7 * 1.0)
+def _point(away: int = 1) -> Vec3:
+    """A world point near the frame's footprint, ``away`` times as far off."""
+    dx, dy = F.col("frame_id") % 31 - 15.0, F.col("frame_id") % 37 - 18.0
+    return Vec3(F.col("cam_x") + dx * away, F.col("cam_y") + dy * away, F.col("frame_id") % 7 * 1.0)
+
+
+#: That point in camera space.
 IN_CAMERA = f"""(SELECT *, cos(a) * dx + sin(a) * dy AS ux, -sin(a) * dx + cos(a) * dy AS uy, dz AS uz FROM (SELECT *, radians(rot_z_deg) AS a,
   CAST(frame_id % 31 - 15 AS DOUBLE) AS dx, CAST(frame_id % 37 - 18 AS DOUBLE) AS dy, frame_id % 7 - cam_z AS dz FROM {A.FRAMES}))"""
 
 
 @query(f"SELECT frame_id, {rs('1024 + ux * 2048 / 70', 'px')}, {rs('1024 - uy * 2048 / 70', 'py')} FROM {IN_CAMERA}")
 def world_to_pixel_ortho(spark, sf_dir):
-    x, y = _frame_camera(True).world_to_pixel(POINT, 2048, 2048)
+    x, y = _frame_camera(True).world_to_pixel(_point(), 2048, 2048)
     return A.frames(spark, sf_dir).select("frame_id", r(x, "px"), r(y, "py"))
 
 
@@ -328,7 +333,7 @@ PERSPECTIVE = f"(SELECT *, (ux / -uz / tan(radians(fovy) / 2) + 1) / 2 * 2048 AS
 
 @query(f"SELECT frame_id, {rs('px', 'px')}, {rs('py', 'py')}, CAST(floor(round(px, 6) + 0.5) AS BIGINT) AS ix, CAST(floor(round(py, 6) + 0.5) AS BIGINT) AS iy FROM {PERSPECTIVE}")
 def world_to_pixel_persp(spark, sf_dir):
-    x, y = _frame_camera().world_to_pixel(POINT, 2048, 2048)
+    x, y = _frame_camera().world_to_pixel(_point(), 2048, 2048)
     return A.frames(spark, sf_dir).select("frame_id", r(x, "px"), r(y, "py"), rounded_down(F.round(x, 6)).alias("ix"), rounded_down(F.round(y, 6)).alias("iy"))
 
 
@@ -338,17 +343,13 @@ SELECT frame_id, CASE WHEN ok THEN {rs('px', 'px').removesuffix(' AS px')} END A
 )
 def world_to_pixel_clip(spark, sf_dir):
     """Points eight times as far from the axis, of which many are outside."""
-    c = _frame_camera()
-    far = Vec3(c.transform.position.x + (POINT.x - F.col("cam_x")) * 8, c.transform.position.y + (POINT.y - F.col("cam_y")) * 8, POINT.z)
-    x, y = c.visible_pixel(far, 2048, 2048)
+    x, y = _frame_camera().visible_pixel(_point(8), 2048, 2048)
     return A.frames(spark, sf_dir).select("frame_id", r(x, "px"), r(y, "py"))
 
 
 @query(f"SELECT frame_id, abs(ux * 4 / tan(radians(fovy) / 2)) <= -uz AND abs(uy * 4 / tan(radians(fovy) / 2)) <= -uz AND abs((-uz * (10000 + 0.1) - 2 * 10000 * 0.1) / (10000 - 0.1)) <= -uz AS captured FROM {IN_CAMERA}")
 def frustum_captures(spark, sf_dir):
-    c = _frame_camera()
-    far = Vec3(F.col("cam_x") + (POINT.x - F.col("cam_x")) * 4, F.col("cam_y") + (POINT.y - F.col("cam_y")) * 4, POINT.z)
-    return A.frames(spark, sf_dir).select("frame_id", c.captures(far).alias("captured"))
+    return A.frames(spark, sf_dir).select("frame_id", _frame_camera().captures(_point(4)).alias("captured"))
 
 
 @query(f"SELECT frame_id, {rs('cos(a / 2)', 'qw', 9)}, {rs('CAST(0 AS DOUBLE)', 'qx', 9)}, {rs('CAST(0 AS DOUBLE)', 'qy', 9)}, {rs('sin(a / 2)', 'qz', 9)}, {rs('-sin(a)', 'ux', 9)}, {rs('cos(a)', 'uy', 9)} FROM {IN_CAMERA}")
@@ -578,8 +579,8 @@ k AS (SELECT c.*, cos(a) * (gx - cam_x) + sin(a) * (gy - cam_y) AS ux, -sin(a) *
   FROM c JOIN (SELECT *, radians(rot_z_deg) AS a FROM {A.FRAMES}) f ON f.frame_id = c.shot_id),
 n AS (SELECT frame_id, vid, shot_id, ux / -uz / t / 2 + 0.5 AS u, uy / -uz / t / 2 + 0.5 AS v FROM k WHERE uz < 0)
 SELECT n.frame_id, n.vid, {rs('sum(p.v) / count(*)', 'v')}, count(*) AS overlap
-FROM n JOIN {A.PIXELS} p ON p.img = n.shot_id % 500 AND p.x = CAST(least(floor(u * 8), 7) AS INTEGER) AND p.y = CAST(least(floor((1 - v) * 8), 7) AS INTEGER)
-WHERE u BETWEEN 0 AND 1 AND v BETWEEN 0 AND 1 GROUP BY n.frame_id, n.vid"""
+FROM n JOIN {A.PIXELS} p ON p.img = n.shot_id % 500 AND p.x = CAST(least(floor(n.u * 8), 7) AS INTEGER) AND p.y = CAST(least(floor((1 - n.v) * 8), 7) AS INTEGER)
+WHERE n.u BETWEEN 0 AND 1 AND n.v BETWEEN 0 AND 1 GROUP BY n.frame_id, n.vid"""
 )
 def shot_pixel_sampling(spark, sf_dir):
     """Ground points of every tenth frame, as its window of five shots sees them."""
@@ -611,7 +612,7 @@ NMS_ROWS = f"(SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY line,
 go AS (SELECT frame_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(x1 INTEGER, y1 INTEGER, x2 INTEGER, y2 INTEGER)[]) AS kept, false AS keep FROM (SELECT DISTINCT frame_id FROM b)
   UNION ALL SELECT frame_id, n, CASE WHEN ok THEN list_append(kept, bx) ELSE kept END, ok FROM (
     SELECT b.frame_id, b.n, g.kept, {{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}} AS bx,
-      len(list_filter(g.kept, k -> CAST(greatest(least(k.x2, b.x2) - greatest(k.x1, b.x1), 0) * greatest(least(k.y2, b.y2) - greatest(k.y1, b.y1), 0) AS DOUBLE)
+      len(list_filter(g.kept, lambda k: CAST(greatest(least(k.x2, b.x2) - greatest(k.x1, b.x1), 0) * greatest(least(k.y2, b.y2) - greatest(k.y1, b.y1), 0) AS DOUBLE)
         > 0.3 * ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(k.x2, b.x2) - greatest(k.x1, b.x1), 0) * greatest(least(k.y2, b.y2) - greatest(k.y1, b.y1), 0)))) = 0 AS ok
     FROM go g JOIN b ON b.frame_id = g.frame_id AND b.n = g.n + 1))
 SELECT b.frame_id, b.line, b.track_id, b.class_id, b.x1, b.y1, b.x2, b.y2 FROM go JOIN b USING (frame_id, n) WHERE keep"""
