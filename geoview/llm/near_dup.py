@@ -12,8 +12,9 @@ connected components of links.
    depth to the depth at which the chance that some tree matches a pair at the
    threshold reaches ``RECALL``.  Nodes under one prefix of that depth meet in a
    stream sorted by label: each is compared with the leaders before it by the
-   estimate from 4-bit values of the whole signature, is joined to all that it
-   may resemble, and becomes a leader itself unless one is close.  So memory
+   estimate from 4-bit values of the whole signature, is joined to one leader
+   of every group that it may resemble, which makes these one group, and becomes
+   a leader itself unless one is close.  So memory
    holds leaders, not groups.  A prefix that a sample shows to be hot is salted;
    then the leaders of its salts meet again in a second round.
 3. Candidates.  Their components (alternating large-star and small-star rounds
@@ -145,6 +146,9 @@ def _meet(hot: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
         lead_ids: list[int] = []
+        # Leaders that are joined already have one group number, so that a group
+        # of g nodes gives 2g edges at most, however many pairs resemble.
+        group = np.zeros(64, np.int64)
         lead = np.zeros((64, TREES * DEPTH // 2), np.uint8)
         used = 0
         for whole in batches:
@@ -169,15 +173,22 @@ def _meet(hot: bool):
                     node, closest = int(nodes[lo + i]), 0.0
                     if used:
                         like = estimates(bits[i], lead[:used])
-                        for j in np.flatnonzero(like >= CANDIDATE).tolist():
+                        near = np.flatnonzero(like >= CANDIDATE)
+                        groups, one_each = np.unique(group[near], return_index=True)
+                        for j in near[one_each].tolist():
                             if lead_ids[j] != node:
                                 a.append(node)
                                 b.append(lead_ids[j])
-                        closest = like.max()
+                        if len(groups) > 1:
+                            group[:used][np.isin(group[:used], groups)] = groups[0]
+                        closest, mine = like.max(), groups[0] if len(groups) else used
+                    else:
+                        mine = 0
                     if closest < CLOSE:
                         if used == len(lead):
-                            lead = np.concatenate([lead, np.zeros_like(lead)])
+                            lead, group = np.concatenate([lead, np.zeros_like(lead)]), np.concatenate([group, np.zeros_like(group)])
                         lead[used] = bits[i]
+                        group[used] = mine
                         lead_ids.append(node)
                         used += 1
                         if hot and salt[lo] >= 0:
