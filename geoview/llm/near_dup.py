@@ -401,7 +401,8 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     )
     dealt = dealt.withColumns({"blocks": blocks, "mine": mine}).withColumn("pair", F.explode(pairs))
     dealt = written(dealt.select("rid", "node", "n", "comp", "pair.i", "pair.j", "pair.side"), "dealt")
-    texts = base.join(dealt, "rid").select("comp", "i", "j", "side", "node", "n", "text")
+    # A merge join at every size: what is dealt grows with the input.
+    texts = base.join(dealt.hint("merge"), "rid").select("comp", "i", "j", "side", "node", "n", "text")
     grouped = texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "node")
     verified = written(grouped.mapInArrow(_verify(threshold), "node long, links long, a long, b long"), "verified")
     links = verified.filter(F.col("node").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
