@@ -289,23 +289,24 @@ def _verify(threshold: float):
     """Per block pair: links of each node (weighted by documents) and a forest.
     Rows come sorted by (comp, i, j, side, node)."""
 
-    def done(rows: list[tuple]) -> tuple[list, list, list]:
+    def done(rows: list[tuple], alone: bool) -> tuple[list, list, list]:
+        """``alone``: a block with itself, so that side 1 has no rows."""
         sides: dict[int, dict[int, tuple]] = {0: {}, 1: {}}
         for side, node, n, text in rows:
             sides[side].setdefault(node, (n, text))
         left = list(sides[0])
-        right = list(sides[1]) if sides[1] else left
-        if not left or len(left) + len(right) < 2:
+        right = left if alone else list(sides[1])
+        if not left or not right:
             return [], [], []
         sets = {node: np.unique(shingle_hashes(w)) for s in sides.values() for node, w in zip(s, word_hashes([t for _, t in s.values()]))}
         link = _linked([sets[n] for n in left], [sets[n] for n in right], threshold)
-        if not sides[1]:
+        if alone:
             np.fill_diagonal(link, False)
         count = {k: v[0] for s in sides.values() for k, v in s.items()}
         weight_r = np.array([count[n] for n in right], dtype=np.int64)
         weight_l = np.array([count[n] for n in left], dtype=np.int64)
         total: dict[int, int] = dict(zip(left, (link @ weight_r).tolist()))
-        if sides[1]:
+        if not alone:
             for n, x in zip(right, (link.T @ weight_l).tolist()):
                 total[n] = total.get(n, 0) + x
         # A spanning forest of the links, by union-find over rows.
@@ -332,7 +333,7 @@ def _verify(threshold: float):
         out: tuple[list, list, list] = ([], [], [])
 
         def flush():
-            for have, new in zip(out, done(rows)):
+            for have, new in zip(out, done(rows, key is not None and key[1] == key[2])):
                 have.extend(new)
             rows.clear()
 
