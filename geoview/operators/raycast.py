@@ -105,3 +105,18 @@ def raycast(rays: DataFrame, triangles: DataFrame, include_misses: bool = False,
         found = hits.groupBy("ray_id").agg(F.min(F.struct("t", "tid")).alias("h")).select("ray_id", F.col("h.tid").alias("tid"), F.col("h.t").alias("t"))
     out = rays.join(found, "ray_id", "left" if include_misses else "inner")
     return out.select("ray_id", *keep, "tid", "t", *[(F.col(f"o{c}") + F.col("t") * F.col(f"d{c}")).alias(c) for c in "xyz"])
+
+
+def interpolate(hits: DataFrame, triangles: DataFrame, values: list[str], keys: tuple[str, ...] = ("ray_id",)) -> DataFrame:
+    """Hits (tid, x, y, z) with attributes of the vertices, by barycentric
+    weights; attribute ``u`` of the corners is in columns au, bu and cu."""
+    met = hits.join(triangles, "tid")
+    a, b, c, p = (*[_corner(k) for k in "abc"], Vec3.of("x", "y", "z"))
+    e1, e2, at = b - a, c - a, p - a
+    met = met.withColumns({"d11__": e1.dot(e1), "d12__": e1.dot(e2), "d22__": e2.dot(e2), "p1__": at.dot(e1), "p2__": at.dot(e2)})
+    d11, d12, d22, p1, p2 = (F.col(f"{n}__") for n in ("d11", "d12", "d22", "p1", "p2"))
+    det = d11 * d22 - d12 * d12
+    met = met.withColumns({"wb__": (d22 * p1 - d12 * p2) / det, "wc__": (d11 * p2 - d12 * p1) / det})
+    wb, wc = F.col("wb__"), F.col("wc__")
+    mixed = [((1 - wb - wc) * F.col(f"a{v}") + wb * F.col(f"b{v}") + wc * F.col(f"c{v}")).alias(v) for v in values]
+    return met.select(*keys, "tid", "x", "y", "z", *mixed)

@@ -420,6 +420,17 @@ def camera_json_roundtrip(spark, sf_dir):
     return back.select("frame_id", r(F.get("c.frustum.transform.position", F.lit(0)), "x"), r(turn, "turn"), "shown")
 
 
+@query(
+    f"""WITH c AS (SELECT frame_id, fovy, 0.8 * ux - 0.6 * uy - 1 AS x, 0.6 * ux + 0.8 * uy - 2 AS y, uz - 3 AS z FROM {IN_CAMERA})
+SELECT frame_id, {rs('x / -z / tan(radians(fovy) / 2) / 2 + 0.5', 'u')}, {rs('y / -z / tan(radians(fovy) / 2) / 2 + 0.5', 'v')} FROM c"""
+)
+def corrected_projection(spark, sf_dir):
+    """Texture coordinates by P * C * V, with a correction in camera space."""
+    m = cam.corrected_matrix(_frame_camera(), Vec3.of(1, 2, 3), Quat(0.0, 0.0, 0.1**0.5, 0.9**0.5))
+    x, y, _, w = m.apply(_point())
+    return A.frames(spark, sf_dir).select("frame_id", r(x / w / 2 + 0.5, "u"), r(y / w / 2 + 0.5, "v"))
+
+
 # --- mesh -------------------------------------------------------------------
 
 
@@ -462,13 +473,13 @@ def quad_measures(spark, sf_dir):
     return _triangles(spark, sf_dir).select("tid", r(q.center.x, "cx"), r(q.center.y, "cy"), q.flat().alias("flat"), r(box.size.x, "width"))
 
 
-def _hits_sql(tilt: float, join: str) -> str:
+def _hits_sql(tilt: float, join: str, digits: int = 6) -> str:
     return f"""WITH rays AS {A.rays_sql(tilt)}, tri AS (SELECT *, bx - ax AS ux, by_ - ay AS uy, bz - az AS uz, cx - ax AS vx, cy - ay AS vy, cz - az AS vz FROM {A.TRIANGLES}),
 m AS (SELECT ray_id, tid, ux, uy, uz, vx, vy, vz, ox, oy, oz, dx, dy, dz, dy * vz - dz * vy AS px, dz * vx - dx * vz AS py, dx * vy - dy * vx AS pz, ox - ax AS sx, oy - ay AS sy, oz - az AS sz FROM rays, tri),
 k AS (SELECT *, ux * px + uy * py + uz * pz AS det, sy * uz - sz * uy AS qx, sz * ux - sx * uz AS qy, sx * uy - sy * ux AS qz FROM m),
 h AS (SELECT ray_id, tid, (vx * qx + vy * qy + vz * qz) / det AS t, (sx * px + sy * py + sz * pz) / det AS u, (dx * qx + dy * qy + dz * qz) / det AS v FROM k WHERE abs(det) > 1e-9),
 n AS (SELECT ray_id, tid, t FROM (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY round(t, 9), tid) AS i FROM h WHERE u >= -1e-9 AND v >= -1e-9 AND u + v <= 1 + 1e-9 AND t > 1e-9) WHERE i = 1)
-SELECT rays.ray_id, {rs('t', 't')}, {rs('ox + t * dx', 'x')}, {rs('oy + t * dy', 'y')}, {rs('oz + t * dz', 'z')} FROM rays {join} JOIN n USING (ray_id)"""
+SELECT rays.ray_id, {rs('t', 't', digits)}, {rs('ox + t * dx', 'x', digits)}, {rs('oy + t * dy', 'y', digits)}, {rs('oz + t * dz', 'z', digits)} FROM rays {join} JOIN n USING (ray_id)"""
 
 
 def _hits(spark, sf_dir, tilt: float, misses: bool) -> DataFrame:
@@ -486,6 +497,19 @@ def raycast_with_misses(spark, sf_dir):
     return _hits(spark, sf_dir, 4.0, True)
 
 
+@query(
+    f"""SELECT ray_id, {rs('x / 400', 'u')}, {rs('y / 400', 'v')}, CAST(floor(round(x / 50, 6)) + floor(round(y / 50, 6)) AS BIGINT) % 2 = 0 AS lit FROM ({_hits_sql(1.0, '', 12)})"""
+)
+def surface_texture(spark, sf_dir):
+    """The colour of a checkerboard on the mesh where rays hit it first."""
+    mesh = _triangles(spark, sf_dir)
+    mesh = mesh.withColumns({f"{k}{n}": F.col(f"{k}{c}") / 400 for k in "abc" for n, c in (("u", "x"), ("v", "y"))})
+    hits = rc.raycast(A.rays(spark, sf_dir), mesh)
+    seen = rc.interpolate(hits, mesh, ["u", "v"])
+    tile = F.floor(F.round(F.col("u") * 8, 6)) + F.floor(F.round(F.col("v") * 8, 6))
+    return seen.select("ray_id", r(F.col("u"), "u"), r(F.col("v"), "v"), (tile % 2 == 0).alias("lit"))
+
+
 @query(f"SELECT frame_id, CAST(frame_id % 1024 AS DOUBLE) AS px, CAST(frame_id * 3 % 1024 AS DOUBLE) AS py FROM {A.FRAMES} WHERE cam_x BETWEEN 100 AND 300 AND cam_y BETWEEN 100 AND 300")
 def pixel_world_roundtrip(spark, sf_dir):
     """Pixels cast on the mesh and projected back; they come out as they were."""

@@ -130,3 +130,45 @@ def test_checkerboard_and_names(spark):
     with pytest.raises(ValueError):
         doc.checkerboard(spark, 1, 1, (1,), (0, 0))
     assert spark.range(1).select(doc.file_names(F.lit(3), "png").alias("n")).first()["n"] == "3.png"
+
+
+def test_png(spark, tmp_path):
+    import zlib
+
+    import numpy as np
+
+    from geoview.sources import png
+
+    rng = np.random.default_rng(1)
+    image = rng.integers(0, 256, (5, 7, 4), dtype=np.uint8)
+    assert (png.decode(png.encode(image)) == image).all()
+    part = lambda kind, c: struct.pack(">I", len(c)) + kind + c + struct.pack(">I", zlib.crc32(kind + c))
+
+    def filtered(px):
+        """RGB lines, each with another filter."""
+        h, w, n = px.shape
+        p, lines = px.astype(int), []
+        for y in range(h):
+            row = []
+            for x in range(w):
+                for c in range(n):
+                    a = p[y, x - 1, c] if x else 0
+                    b = p[y - 1, x, c] if y else 0
+                    d = p[y - 1, x - 1, c] if x and y else 0
+                    near = min((abs(a + b - d - v), i, v) for i, v in enumerate((a, b, d)))[2]
+                    row.append((p[y, x, c] - (0, a, b, (a + b) // 2, near)[y % 5]) % 256)
+            lines.append(bytes([y % 5, *row]))
+        return b"".join(lines)
+
+    rgb = rng.integers(0, 256, (10, 6, 3), dtype=np.uint8)
+    data = png.SIGNATURE + part(b"IHDR", struct.pack(">IIBBBBB", 6, 10, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(filtered(rgb))) + part(b"IEND", b"")
+    assert (png.decode(data)[:, :, :3] == rgb).all() and (png.decode(data)[:, :, 3] == 255).all()
+    (tmp_path / "a.png").write_bytes(data)
+    (tmp_path / "b.png").write_bytes(b"no image")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in png.read_images(spark, str(tmp_path)).collect()}
+    assert (got["a.png"]["width"], got["a.png"]["height"], len(got["a.png"]["rgba"])) == (6, 10, 240) and got["b.png"]["rgba"] is None and got["b.png"]["error"]
+    pixels = spark.createDataFrame([("k", 0, 0, 1, 2, 3, 255), ("k", 1, 1, 9, 8, 7, 6)], "k string, x int, y int, r int, g int, b int, a int")
+    out = png.encode_images(png.images_from_pixels(pixels, "k", 2, 2), "k").first()
+    back = png.decode(bytes(out["content"]))
+    assert back[0, 0].tolist() == [1, 2, 3, 255] and back[1, 1].tolist() == [9, 8, 7, 6] and back[0, 1].tolist() == [0, 0, 0, 0]
+    assert spark.range(1).select(png.data_uri_bytes(F.lit("data:image/png;base64,aGk=")).alias("b")).first()["b"] == b"hi"
