@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoview.llm import decontam, langid, near_dup, packing, quality
-from geoview.llm.common import held_out, written
+from geoview.llm.common import free_name, held_out, written
 from geoview.llm.queries import QUALITY_THRESHOLD, bpe_path
 
 #: Below this posterior a text's language is taken as unknown.
@@ -21,13 +21,15 @@ LANGUAGE_SCORE = 0.5
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, ~held_out(F.col("doc_id")))
-    return quality.score(docs, model, result="__score").filter(F.col("__score") >= QUALITY_THRESHOLD).drop("__score")
+    name = free_name(docs, "quality_score")
+    return quality.score(docs, model, result=name).filter(F.col(name) >= QUALITY_THRESHOLD).drop(name)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, ~held_out(F.col("doc_id")))
-    found = langid.predict(docs, model, results=("__lang", "__score"))
-    return found.filter((F.col("__lang") != "und") & (F.col("__score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = free_name(docs, "found_lang"), free_name(docs, "found_score")
+    found = langid.predict(docs, model, results=(lang, score))
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= LANGUAGE_SCORE)).drop(lang, score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.with_leaks(docs, benchmark, result="__leaks").filter(F.size("__leaks") == 0).drop("__leaks")
+    name = free_name(docs, "found_leaks")
+    return decontam.with_leaks(docs, benchmark, result=name).filter(F.size(name) == 0).drop(name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import MultiIndex
+from .common import free_name, small_batches, tidied, with_text
 from .shingles import SIZE, shingle_hashes, word_hashes
 
 BITS = 64
@@ -149,8 +150,11 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     parts = max(1, -(-chars // PART_CHARS))
     keep = [c for c in docs.columns if c != result]
     at = len(keep)
-    out = docs.select(*keep, F.col(text_col).cast("string").alias("__text"), F.array().cast(LEAK).alias("__found"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out, text_at = with_text(docs, keep, text_col)
+    found_ = free_name(out, "leaks_found")
+    inner = out.columns  # passes before the last hand the text on
+    out = out.withColumn(found_, F.array().cast(LEAK))
+    kinds = [f"`{c}` {out.schema[c].dataType.simpleString()}" for c in inner]
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64())]))
 
     for part in range(parts):
@@ -165,12 +169,12 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
             for whole in batches:
                 for lo in range(0, whole.num_rows, BATCH_ROWS):
                     b = whole.slice(lo, BATCH_ROWS)
-                    found = [bench.leaks(words, threshold) for words in word_hashes(b.column(at).to_pylist())]
-                    before = b.column(at + 1).to_pylist()
+                    found = [bench.leaks(words, threshold) for words in word_hashes(b.column(text_at).to_pylist())]
+                    before = b.column(len(inner)).to_pylist()
                     rows = [old + [dict(zip(("item_id", "start", "words", "similarity"), x)) for x in new] for old, new in zip(before, found)]
-                    passed = b.columns[:at] if last else b.columns[: at + 1]
-                    yield pa.RecordBatch.from_arrays([*passed, pa.array(rows, kind)], names=[*keep, "__found"] if last else [*keep, "__text", "__found"])
+                    passed = inner[:at] if last else inner
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(passed)], pa.array(rows, kind)], names=[*passed, found_])
 
         # Texts leave the last pass only if they are a column of ``docs``.
-        out = out.mapInArrow(run, kinds + ("" if last else ", __text string") + f", __found {LEAK}")
-    return out.select(*keep, F.col("__found").alias(result))
+        out = small_batches(out).mapInArrow(tidied(run), ", ".join([*(kinds[:at] if last else kinds), f"`{found_}` {LEAK}"]))
+    return out.select(*keep, F.col(found_).alias(result))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, small_batches, tidied, with_text
+
 #: Rows to learn from, of each language, as expected under the row hash.
 SAMPLE_ROWS = 1_500
 #: Most frequent languages that a model tells apart.
@@ -197,7 +199,7 @@ def _count_part(languages: list[str]):
                 b = whole.slice(at, 1024)
                 by: dict[int, list[np.ndarray]] = {}
                 for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    by.setdefault(number[lang], []).append(_grams(text.encode("utf-8", "surrogatepass")))
+                    by.setdefault(number[lang], []).append(_grams(text.lower().encode("utf-8", "surrogatepass")))
                 for i, grams in by.items():
                     keys, n = np.unique(np.concatenate(grams), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
@@ -217,8 +219,8 @@ def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str =
     below = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(span, SAMPLE_ROWS * span // sizes[lang]))])
     # The hash is of text and id alone, so a row is chosen wherever it lies.
     place = F.pmod(F.xxhash64(F.lit("sample"), text_col), F.lit(span))
-    sample = rows.select(F.lower(text_col).alias("text"), F.col(lang_col).alias("lang"), place.alias("p")).filter(F.col("text").isNotNull() & (F.col("p") < below[F.col("lang")]))
-    counts = sample.select("text", "lang").mapInArrow(_count_part(languages), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sample = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), place.alias("p")).filter(F.col("text").isNotNull() & (F.col("p") < below[F.col("lang")]))
+    counts = small_batches(sample.select("text", "lang")).mapInArrow(tidied(_count_part(languages)), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counts.orderBy(F.desc("n"), "gram", "lang").limit(MAX_GRAMS).toArrow()
     if not got.num_rows:
         return None
@@ -228,8 +230,7 @@ def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str =
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the language and its score, the posterior of the best one."""
     keep = [c for c in docs.columns if c not in results]
-    # An independent letter test: a text needs one letter to have a language.
-    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    given, text_at = with_text(docs, keep, text_col)
     at = len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -238,11 +239,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", result
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 b = whole.slice(lo, 1024)
-                ok = b.column(at + 1).to_numpy(zero_copy_only=False).astype(bool)
+                ok = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
                 lang = np.full(b.num_rows, "und", dtype=object)
                 score = np.zeros(b.num_rows)
                 if model is not None and ok.any():
-                    texts = [t.encode("utf-8", "surrogatepass") for t, k in zip(b.column(at).to_pylist(), ok) if k]
+                    texts = [t.lower().encode("utf-8", "surrogatepass") for t, k in zip(b.column(text_at).to_pylist(), ok) if k]
                     bits = model.lengths(texts)
                     best = bits.argmin(axis=1)
                     lang[ok] = np.array(model.languages, dtype=object)[best]
@@ -251,4 +252,5 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", result
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, *results])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.lower(text_col).alias("__text"), lettered.alias("__lettered")).mapInArrow(run, f"{schema}, `{results[0]}` string, `{results[1]}` double")
+    given = given.withColumn(free_name(given, "lettered"), F.coalesce(F.col(given.columns[text_at]).rlike(r"\p{L}"), F.lit(False)))
+    return small_batches(given).mapInArrow(tidied(run), f"{schema}, `{results[0]}` string, `{results[1]}` double")

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, new_path, written
+from .common import drop, free_name, new_path, small_batches, tidied, written
 from .shingles import mix, shingle_hashes, word_hashes
 
 THRESHOLD = 0.8
@@ -63,7 +63,6 @@ CLOSE = 0.9
 #: Nodes of a component that one task compares with as many others.
 BLOCK = 2_048
 BATCH_ROWS = 256
-RID = "__rid"
 #: A prefix is salted if it has this many nodes in the sample.
 HOT_SAMPLE = 1 / 64
 HOT_ROWS = 256
@@ -366,10 +365,10 @@ def _verify(threshold: float):
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that of the least id."""
-    found = _classes(docs, threshold, id_col, text_col)
+    found, rid = _classes(docs, threshold, id_col, text_col), free_name(docs, "row_id")
     last = F.lit((1 << 63) - 1)
-    kept = found.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("doc_id"), "rid")).alias("row")).select(F.col("row.rid").alias(RID))
-    return docs.withColumn(RID, _rid(id_col, text_col)).join(kept, RID, "left_semi").dropDuplicates([RID]).drop(RID)
+    kept = found.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("doc_id"), "rid")).alias("row")).select(F.col("row.rid").alias(rid))
+    return docs.withColumn(rid, _rid(id_col, text_col)).join(kept, rid, "left_semi").dropDuplicates([rid]).drop(rid)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,7 +383,7 @@ def _rid(id_col: str, text_col: str) -> Column:
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), _rid(id_col, text_col).alias("rid"))
-    sketch = written(base.select("doc_id", "rid", "text").mapInArrow(_sketch, "doc_id long, rid long, node long, sig binary"), "sketches")
+    sketch = written(small_batches(base.select("doc_id", "rid", "text")).mapInArrow(tidied(_sketch), "doc_id long, rid long, node long, sig binary"), "sketches")
     nodes = sketch.filter(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")
     )
@@ -405,7 +404,7 @@ def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> D
     # A merge join at every size: what is dealt grows with the input.
     texts = base.join(dealt.hint("merge"), "rid").select("comp", "i", "j", "side", "node", "n", "text")
     grouped = texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "node")
-    verified = written(grouped.mapInArrow(_verify(threshold), "node long, links long, a long, b long"), "verified")
+    verified = written(grouped.mapInArrow(tidied(_verify(threshold)), "node long, links long, a long, b long"), "verified")
     links = verified.filter(F.col("node").isNotNull()).groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(verified.filter(F.col("a").isNotNull()).select("a", "b"))
     named = classes.join(nodes.select("node", "least"), "node")

@@ -13,9 +13,11 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
+from .common import claim
+
 SIZE = 5
 #: Words in one generation of a worker's memo; it holds two generations at most.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,6 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    claim("shingles", _memo.cache_clear)
     memo, find = _memo(), _WORD.findall
     memo.turn()
     return [np.array([memo[w] for w in find(t.lower())], dtype=np.uint64) if t else np.zeros(0, np.uint64) for t in texts]

@@ -93,7 +93,7 @@ def test_quality_edge_cases(spark, odd_docs, no_docs):
     model = quality.fit(odd_docs, labels, F.lit(True))
     out = quality.score(odd_docs, model)
     rows = out.collect()
-    assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows) and "__score" in out.columns
+    assert len(rows) == odd_docs.count() and all(0 <= r["score"] <= 1 for r in rows) and "quality_score" in out.columns
     assert quality.score(no_docs, model).count() == 0
     only = quality.fit(odd_docs, labels.filter("quality = 1"), F.lit(True))
     assert {r["score"] for r in quality.score(odd_docs, only).collect()} == {1.0}

@@ -16,7 +16,9 @@ def test_stages_keep_the_columns(spark, sf_dir, docs):
         table, before = out, out.count()
 
 
-def test_run(spark, sf_dir, docs):
+def test_run(spark):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest tables have 11 labels of class 0
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = corpus_pipeline.run(spark, sf_dir).collect()
     kept = {r["doc_id"] for r in pieces}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
