@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, tidied
 from .tokens import encoder
 
 CUTS = 4
@@ -147,5 +148,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     piece's ids as little-endian unsigned 32-bit integers in one binary."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pack_part(tokenizer_path, end_id, capacity), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return small_batches(rows).mapInArrow(tidied(_pack_part(tokenizer_path, end_id, capacity)), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 

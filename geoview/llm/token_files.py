@@ -3,9 +3,8 @@
 ``write_token_files`` encodes whole texts and writes one row per document, in
 ascending order of its id across and within files: the id column, ``part`` (the
 file's number), ``first`` (ids in the file before it), ``n_tokens`` and ``ids``,
-a list of 32-bit integers.  Id lists are dictionary-encoded, and delta-encoded
-where a dictionary grows too large (Parquet v2 pages); row groups and pages have
-set sizes and carry page indexes, so a reader of some documents or of the counts
+a list of 32-bit integers.  All numbers are delta-encoded (Parquet v2 pages);
+row groups and pages have set sizes and carry page indexes, so a reader of some documents or of the counts
 alone skips the id pages.
 
 Edge cases: a null or empty text has only the end id; null ids come first; rows
@@ -20,20 +19,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import small_batches, tidied
 from .tokens import encoder
 
+#: Ids are near uniform over a vocabulary: a dictionary of them saves nothing
+#: over packed deltas and costs a lookup for each.
 FILE_OPTIONS = {
-    "parquet.enable.dictionary": "true",
-    "parquet.dictionary.page.size": str(1 << 20),
+    "parquet.enable.dictionary": "false",
     "parquet.writer.version": "v2",
     "parquet.block.size": str(32 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "2000",
     "compression": "zstd",
 }
+TWO_LEVELS = "spark.sql.parquet.writeLegacyFormat"
 #: Rows of an encoded batch; it bounds what a worker holds at once.
 BATCH_ROWS = 512
 
@@ -46,10 +49,11 @@ def _encode_part(tokenizer_path: str, end_id: int):
             encode = encoder(tokenizer_path).encode
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                raw = [x + tail for x in encode(batch.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+                raw = encode(batch.column(1).to_pylist())
+                n = np.array([len(x) // 4 + 1 for x in raw], dtype=np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))]))
+                flat = pa.py_buffer(tail.join(raw) + tail)  # the end id follows each text
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, flat]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.full(len(raw), part, np.int32)), pa.array(first + ends[:-1]), pa.array(n), ids],
                     names=["id", "part", "first", "n_tokens", "ids"],
@@ -65,11 +69,20 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     Texts, which are smaller than their ids, cross the one range shuffle; they
     are encoded behind it, in file order, in bounded batches.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    out = ordered.mapInArrow(_encode_part(tokenizer_path, end_id), f"id {kind}, part int, first long, n_tokens long, ids array<int>")
-    out.withColumnRenamed("id", id_col).write.options(**FILE_OPTIONS).parquet(path)
+    whole, small = T.LongType(), T.IntegerType()
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", small), T.StructField("first", whole), T.StructField("n_tokens", whole), T.StructField("ids", T.ArrayType(small, False))])
+    out = small_batches(ordered).mapInArrow(tidied(_encode_part(tokenizer_path, end_id)), schema).withColumnRenamed("id", id_col)
+    # Lists of two levels, which Parquet allows where no element is null, save
+    # the writer two calls for every id.
+    before = spark.conf.get(TWO_LEVELS)
+    spark.conf.set(TWO_LEVELS, "true")
+    try:
+        out.write.options(**FILE_OPTIONS).parquet(path)
+    finally:
+        spark.conf.set(TWO_LEVELS, before)
 
 
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -80,9 +93,8 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
     """
     rows = spark.read.parquet(path)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    parts.createOrReplaceTempView("token_file_sizes")
-    before = spark.sql("SELECT part, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS before FROM token_file_sizes")
-    spark.catalog.dropTempView("token_file_sizes")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     return rows.join(F.broadcast(before), "part").select(id_col, (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 

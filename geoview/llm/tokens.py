@@ -15,12 +15,15 @@ from __future__ import annotations
 
 import os
 from array import array
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
 
+from .common import claim
+
 #: Units in one generation of a worker's memo; it holds two generations at most.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 450_000
 #: Longer units are encoded but not kept.
 MEMO_UNIT_CHARS = 40
 #: Marks that form one pre-token when they end a unit (no apostrophe: it may
@@ -79,12 +82,13 @@ class Encoder:
         # Strings of special tokens inside a text are ordinary text.
         self._tok.encode_special_tokens = True
         self._model = self._tok.model
-        self._letters = _byte_letters()
-        self._space = chr(self._letters[32])
+        self._letters = "".join(chr(c) for _, c in sorted(_byte_letters().items()))
+        self._space = self._letters[32]
         pre, norm = self._tok.pre_tokenizer, self._tok.normalizer
         self._direct = norm is None and "ByteLevel(add_prefix_space=False" in str(pre) and "use_regex=True" in str(pre)
         self._memo = _Memo(self)
         self._marks: dict[str, bytes] = {}
+        self._break = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -93,28 +97,54 @@ class Encoder:
         """Ids of one pre-token, given by the stand-ins of its bytes."""
         return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
 
+    def _piece(self, word: str) -> str | None:
+        """The stand-ins of a word's bytes, if it is of Latin letters."""
+        if word.isascii():
+            return word if word.isalpha() else None
+        if word.isalpha() and max(word) <= "\u024f":
+            return charmap_decode(word.encode(), "strict", self._letters)[0]
+        return None
+
+    def _mark_ids(self, marks: str) -> bytes:
+        if (ids := self._marks.get(marks)) is None:
+            ids = self._pretoken(marks)
+            if len(self._marks) < MEMO_ENTRIES:
+                self._marks[marks] = ids
+        return ids
+
     def unit(self, unit: str) -> bytes:
         """Ids of a space and ``unit``, which holds no space."""
-        if unit.isascii() and unit.isalpha():
-            return self._pretoken(self._space + unit)
+        if (piece := self._piece(unit)) is not None:
+            return self._pretoken(self._space + piece)
         if not unit or _spacelike(unit[0]) or _spacelike(unit[-1]):
             raise _Touching
         word = unit.rstrip(MARKS)
-        if not word.isalpha() or max(word) > "\u024f":
-            return self._whole(" " + unit)
-        if len(word) < len(unit):
-            marks = unit[len(word):]
-            if (ids := self._marks.get(marks)) is None:
-                ids = self._pretoken(marks)
-                if len(self._marks) < MEMO_ENTRIES:
-                    self._marks[marks] = ids
-            return self._memo[word] + ids
-        return self._pretoken(self._space + word.encode().decode("latin-1").translate(self._letters))
+        if len(word) < len(unit) and word.isalpha() and max(word) <= "\u024f":
+            return self._memo[word] + self._mark_ids(unit[len(word):])
+        if "\n" in unit:
+            # A line break between other characters is a pre-token, and what
+            # follows it starts one without a space.
+            first, *rest = unit.split("\n")
+            if first and all(rest) and not any(_spacelike(c) for p in (first, *rest) for c in (p[0], p[-1])):
+                return self._memo[first] + b"".join([self._break + self._line(p) for p in rest])
+        return self._whole(" " + unit)
+
+    def _line(self, text: str) -> bytes:
+        """Ids of what follows a line break, kept under a name with the break."""
+        key = "\n" + text
+        if (ids := self._memo.get(key)) is None:
+            ids = self.head(text)
+            if len(text) <= MEMO_UNIT_CHARS:
+                self._memo[key] = ids
+        return ids
 
     def head(self, text: str) -> bytes:
-        """Ids of what stands before the first space of a text."""
-        if text.isascii() and text.isalpha():
-            return self._pretoken(text)
+        """Ids of a text without a space before it."""
+        if (piece := self._piece(text)) is not None:
+            return self._pretoken(piece)
+        word = text.rstrip(MARKS)
+        if len(word) < len(text) and (piece := self._piece(word)) is not None:
+            return self._pretoken(piece) + self._mark_ids(text[len(word):])
         return self._whole(text)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -136,9 +166,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this process; its memo outlives the task that made it."""
-    return Encoder(path)
+    claim("tokens", _encoder.cache_clear)
+    return _encoder(path)
 
 
 def ids_of(raw: bytes) -> np.ndarray:
