@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, tidied, with_text
+from .common import claim, free_name, small_batches, tidied, with_text
 
 #: Rows to learn from, of each language, as expected under the row hash.
 SAMPLE_ROWS = 1_500
@@ -235,6 +235,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", result
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language", lambda: None)
         model = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):

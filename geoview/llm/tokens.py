@@ -23,7 +23,7 @@ import numpy as np
 from .common import claim
 
 #: Units in one generation of a worker's memo; it holds two generations at most.
-MEMO_ENTRIES = 450_000
+MEMO_ENTRIES = 700_000
 #: Longer units are encoded but not kept.
 MEMO_UNIT_CHARS = 40
 #: Marks that form one pre-token when they end a unit (no apostrophe: it may
@@ -159,7 +159,7 @@ class Encoder:
             try:
                 if not self._direct or not head or _spacelike(head[-1]):
                     raise _Touching
-                out.append(self.head(head) + b"".join([memo[u] for u in units]))
+                out.append(self.head(head) + b"".join(map(memo.__getitem__, units)))
             except _Touching:
                 out.append(self._whole(text))
         return out
