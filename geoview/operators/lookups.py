@@ -64,11 +64,22 @@ def neighbours(frames: DataFrame, before: Column | int, after: Column | int, str
     at multiples of ``stride``: phase 1 up to ``before`` frames earlier, phase 2
     up to ``after`` later.  The three may be columns of ``frames``.
 
-    The ids that may exist are listed per frame and found by an equi-join, so
-    the work is in the result's size and not in that of the flights squared.
+    With constant reach, frames meet in an equi-join by flight, remainder of the
+    stride and range of ids: each frame asks the two or three ranges that it
+    reaches, so the work follows the frames that exist.  With columns, the ids
+    that may exist are listed per frame and found by an equi-join.
     """
-    before, after, stride = (F.lit(v) if isinstance(v, int) else v for v in (before, after, stride))
     f = F.col(frame_col)
+    there = frames.select(flight_col, f.cast("long").alias("neighbour_id")).distinct()
+    if all(isinstance(v, int) for v in (before, after, stride)):
+        width = max(before, after, stride, 1)
+        span = lambda c: F.floor(c / width).cast("long")
+        asked = frames.select(flight_col, frame_col, F.pmod(f, F.lit(stride)).alias("rest__"), F.explode(F.sequence(span(f - max(before, 0)), span(f + max(after, 0)))).alias("span__"))
+        n = F.col("neighbour_id")
+        held = there.select(flight_col, n, F.pmod(n, F.lit(stride)).alias("rest__"), span(n).alias("span__"))
+        near = asked.join(held, [flight_col, "rest__", "span__"]).filter((n != f) & n.between(f - before, f + after))
+        return near.select(flight_col, frame_col, n, F.when(n < f, 1).otherwise(2).alias("phase"))
+    before, after, stride = (F.lit(v) if isinstance(v, int) else v for v in (before, after, stride))
 
     def steps(reach: Column, sign: int, phase: int) -> Column:
         n = F.floor(reach / stride).cast("int")
@@ -76,7 +87,6 @@ def neighbours(frames: DataFrame, before: Column | int, after: Column | int, str
         return F.transform(some, lambda k: F.struct((f + sign * k * stride).cast("long").alias("neighbour_id"), F.lit(phase).alias("phase")))
 
     wanted = frames.select(flight_col, frame_col, F.explode(F.concat(steps(before, -1, 1), steps(after, 1, 2))).alias("n"))
-    there = frames.select(flight_col, f.alias("neighbour_id")).distinct()
     return wanted.select(flight_col, frame_col, "n.*").join(there, [flight_col, "neighbour_id"]).select(flight_col, frame_col, "neighbour_id", "phase")
 
 

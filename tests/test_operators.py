@@ -22,6 +22,8 @@ def test_neighbours(spark):
     near = lk.neighbours(frames, 20, 10, 5).filter("frame_id = 100")
     got = sorted((r["phase"], r["neighbour_id"]) for r in near.collect())
     assert got == [(1, 80), (1, 85), (1, 90), (1, 95), (2, 105), (2, 110)]
+    by_column = lk.neighbours(frames, F.lit(20), F.lit(10), F.lit(5)).filter("frame_id = 100")
+    assert sorted((r["phase"], r["neighbour_id"]) for r in by_column.collect()) == got
     assert lk.neighbours(frames, 0, 0, 5).count() == 0
 
 
