@@ -38,7 +38,7 @@ class PipelineSettings:
     aspect_ratio: float = 1.0
     save_labeled_images: bool = False
     project_orthogonal: bool = False
-    merge_labels_in_alfs: bool = True
+    merge_labels: bool = True
     additional_rotations: int = 0
     rotation_limit: float = 2 * math.pi
     rotation_seed: int = -1
