@@ -596,6 +596,21 @@ def crop_borders(spark, sf_dir):
     return px.content_borders(p, "img", "q", 8, 8)
 
 
+def _sampled_shots(spark, sf_dir, of: DataFrame) -> DataFrame:
+    """Ground points of the frames ``of``, as their windows of five shots see
+    them; shot n shows image n modulo their column ``images``."""
+    frames = A.frames(spark, sf_dir)
+    ground = F.broadcast(A.vertices(spark, sf_dir).select("vid", *[F.col(c).alias(f"g{c}") for c in "xyz"]))  # a mesh of 25 vertices
+    window = of.select("frame_id", "images", F.explode(F.sequence(F.col("frame_id"), F.col("frame_id") + 4)).alias("at"))
+    shots = window.join(frames.withColumnRenamed("frame_id", "at"), "at").withColumn("shot_id", F.col("at") % F.col("images")).drop("images")
+    surface = of.select("frame_id").join(ground)
+    c = _frame_camera()
+    pixels = A.pixels(spark, sf_dir).select(F.col("img").alias("shot_id"), "x", "y", "v", "a")
+    seen = px.sample_shots(surface, shots, lambda: c.uv(Vec3.of("gx", "gy", "gz")), ["frame_id"], pixels, 8, 8)
+    out = px.integral(seen.withColumn("a", F.lit(1.0)), ["frame_id", "vid"], ("v",))
+    return out.select("frame_id", "vid", r(F.col("v"), "v"), F.col("overlap").cast("long").alias("overlap"))
+
+
 @query(
     f"""WITH s AS (SELECT f.frame_id, g.vid, g.x AS gx, g.y AS gy, g.z AS gz FROM {A.FRAMES} f, {A.VERTICES} g WHERE f.frame_id % 10 = 0),
 c AS (SELECT s.frame_id, s.vid, s.frame_id + d AS shot_id, gx, gy, gz FROM s, range(5) t(d)),
@@ -607,17 +622,17 @@ FROM n JOIN {A.PIXELS} p ON p.img = n.shot_id % 500 AND p.x = CAST(least(floor(n
 WHERE n.u BETWEEN 0 AND 1 AND n.v BETWEEN 0 AND 1 GROUP BY n.frame_id, n.vid"""
 )
 def shot_pixel_sampling(spark, sf_dir):
-    """Ground points of every tenth frame, as its window of five shots sees them."""
-    frames = A.frames(spark, sf_dir)
-    ground = F.broadcast(A.vertices(spark, sf_dir).select("vid", *[F.col(c).alias(f"g{c}") for c in "xyz"]))  # a mesh of 25 vertices
-    window = frames.filter(F.col("frame_id") % 10 == 0).select("frame_id", F.explode(F.sequence(F.col("frame_id"), F.col("frame_id") + 4)).alias("at"))
-    shots = window.join(frames.withColumnRenamed("frame_id", "at"), "at").withColumn("shot_id", F.col("at") % 500)
-    surface = frames.filter(F.col("frame_id") % 10 == 0).select("frame_id").join(ground)
-    c = _frame_camera()
-    images = A.pixels(spark, sf_dir).select(F.col("img").alias("shot_id"), "x", "y", "v", "a")
-    seen = px.sample_shots(surface, shots, lambda: c.uv(Vec3.of("gx", "gy", "gz")), ["frame_id"], images, 8, 8)
-    out = px.integral(seen.withColumn("a", F.lit(1.0)), ["frame_id", "vid"], ("v",))
-    return out.select("frame_id", "vid", r(F.col("v"), "v"), F.col("overlap").cast("long").alias("overlap"))
+    """Every tenth frame over the first 500 images, which is a part of
+    ``shot_pixel_sampling_whole``."""
+    return _sampled_shots(spark, sf_dir, A.frames(spark, sf_dir).filter(F.col("frame_id") % 10 == 0).withColumn("images", F.lit(500)))
+
+
+@query()
+def shot_pixel_sampling_whole(spark, sf_dir):
+    """Every frame, over all images.  Many points lie on the edges of pixels, where
+    the last bit decides, so tests hold it against brute force and not SQL."""
+    images = A.images(spark, sf_dir).agg((F.max("img") + 1).alias("images"))  # one row
+    return _sampled_shots(spark, sf_dir, A.frames(spark, sf_dir).crossJoin(F.broadcast(images)))
 
 
 @query("SELECT i % 24 AS x, i // 24 AS y, CASE WHEN ((i % 24) // 4 + i // 24 // 4) % 2 = 0 THEN 255 ELSE 0 END AS c0 FROM range(576) t(i)")

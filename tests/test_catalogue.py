@@ -58,3 +58,28 @@ def test_lookups_do_not_fall_back_to_nested_loops(spark, sf_dir):
     for name in ("frame_correction_lookup", "frame_correction_central_fallback", "neighbour_window", "raycast_nearest", "floor_lookup"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_whole_shot_sampling_takes_every_frame_and_image(spark, duck, sf_dir):
+    got = {(r["frame_id"], r["vid"]): (r["v"], r["overlap"]) for r in QUERIES["shot_pixel_sampling_whole"](spark, sf_dir).collect()}
+    images = dict(duck.execute("SELECT vec_id, embedding FROM embeddings").fetchall())
+    ground = duck.execute("SELECT n_nationkey, n_nationkey % 5 * 100, n_nationkey // 5 * 100, n_regionkey * 2.5 FROM nation").fetchall()
+    frames = {n for (n,) in duck.execute("SELECT event_id FROM events").fetchall()}
+    seen, edges = {}, set()
+    for at in frames:
+        a, t = math.radians(at * 13 % 360), math.tan(math.radians(25))
+        for vid, gx, gy, gz in ground:
+            x, y, z = gx - at % 400, gy - at * 7 % 400, at % 50 + 100 - float(gz)
+            u, v = ((math.cos(a) * x + math.sin(a) * y) / z / t + 1) * 4, 8 - ((math.cos(a) * y - math.sin(a) * x) / z / t + 1) * 4
+            windows = [(f, vid) for f in range(at - 4, at + 1) if f in frames]
+            if min(abs(u - round(u)), abs(v - round(v))) < 1e-6:
+                edges.update(windows)
+            elif 0 <= u <= 8 and 0 <= v <= 8:
+                for w in windows:
+                    seen.setdefault(w, []).append((at % len(images), images[at % len(images)][int(v) * 8 + int(u)]))
+    sure = {w: x for w, x in seen.items() if w not in edges}
+    assert got.keys() - edges == sure.keys() and len(sure) > 0.9 * len(got)
+    for w, x in sure.items():
+        assert got[w][1] == len(x) and abs(got[w][0] - sum(v for _, v in x) / len(x)) < 1e-6, w
+    assert {f % 10 for f, _ in sure} == set(range(10))
+    assert {i for x in seen.values() for i, _ in x} >= set(list(images)[-20:])
