@@ -473,8 +473,8 @@ def quad_measures(spark, sf_dir):
     return _triangles(spark, sf_dir).select("tid", r(q.center.x, "cx"), r(q.center.y, "cy"), q.flat().alias("flat"), r(box.size.x, "width"))
 
 
-def _hits_sql(tilt: float, join: str, digits: int = 6) -> str:
-    return f"""WITH rays AS {A.rays_sql(tilt)}, tri AS (SELECT *, bx - ax AS ux, by_ - ay AS uy, bz - az AS uz, cx - ax AS vx, cy - ay AS vy, cz - az AS vz FROM {A.TRIANGLES}),
+def _hits_sql(tilt: float, join: str, digits: int = 6, rays: str | None = None) -> str:
+    return f"""WITH rays AS {rays or A.rays_sql(tilt)}, tri AS (SELECT *, bx - ax AS ux, by_ - ay AS uy, bz - az AS uz, cx - ax AS vx, cy - ay AS vy, cz - az AS vz FROM {A.TRIANGLES}),
 m AS (SELECT ray_id, tid, ux, uy, uz, vx, vy, vz, ox, oy, oz, dx, dy, dz, dy * vz - dz * vy AS px, dz * vx - dx * vz AS py, dx * vy - dy * vx AS pz, ox - ax AS sx, oy - ay AS sy, oz - az AS sz FROM rays, tri),
 k AS (SELECT *, ux * px + uy * py + uz * pz AS det, sy * uz - sz * uy AS qx, sz * ux - sx * uz AS qy, sx * uy - sy * ux AS qz FROM m),
 h AS (SELECT ray_id, tid, (vx * qx + vy * qy + vz * qz) / det AS t, (sx * px + sy * py + sz * pz) / det AS u, (dx * qx + dy * qy + dz * qz) / det AS v FROM k WHERE abs(det) > 1e-9),
@@ -510,11 +510,9 @@ def surface_texture(spark, sf_dir):
     return seen.select("ray_id", r(F.col("u"), "u"), r(F.col("v"), "v"), (tile % 2 == 0).alias("lit"))
 
 
-@query(f"SELECT frame_id, CAST(frame_id % 1024 AS DOUBLE) AS px, CAST(frame_id * 3 % 1024 AS DOUBLE) AS py FROM {A.FRAMES} WHERE cam_x BETWEEN 100 AND 300 AND cam_y BETWEEN 100 AND 300")
-def pixel_world_roundtrip(spark, sf_dir):
+def _roundtrip(spark, sf_dir, frames: DataFrame) -> DataFrame:
     """Pixels cast on the mesh and projected back; they come out as they were."""
     c = _frame_camera()
-    frames = A.frames(spark, sf_dir).filter(F.col("cam_x").between(100, 300) & F.col("cam_y").between(100, 300))
     o, d = c.ray((F.col("frame_id") % 1024).cast("double"), (F.col("frame_id") * 3 % 1024).cast("double"), 1024, 1024)
     rays = frames.select(F.col("frame_id").alias("ray_id"), "frame_id", "cam_x", "cam_y", "cam_z", "rot_z_deg", "fovy", *o.columns("o"), *d.columns("d"))
     hits = rc.raycast(rays, _triangles(spark, sf_dir), keep=["frame_id", "cam_x", "cam_y", "cam_z", "rot_z_deg", "fovy"])
@@ -522,6 +520,24 @@ def pixel_world_roundtrip(spark, sf_dir):
     return hits.select("frame_id", r(x, "px", 3), r(y, "py", 3))
 
 
+@query(f"SELECT frame_id, CAST(frame_id % 1024 AS DOUBLE) AS px, CAST(frame_id * 3 % 1024 AS DOUBLE) AS py FROM {A.FRAMES} WHERE cam_x BETWEEN 100 AND 300 AND cam_y BETWEEN 100 AND 300")
+def pixel_world_roundtrip(spark, sf_dir):
+    """Frames around the middle of the mesh, which are a part of
+    ``pixel_world_roundtrip_whole``."""
+    return _roundtrip(spark, sf_dir, A.frames(spark, sf_dir).filter(F.col("cam_x").between(100, 300) & F.col("cam_y").between(100, 300)))
+
+
+#: Rays through a pixel of every frame.
+PIXEL_RAYS = f"""(SELECT frame_id AS ray_id, cam_x AS ox, cam_y AS oy, cam_z AS oz, cos(a) * ux - sin(a) * uy AS dx, sin(a) * ux + cos(a) * uy AS dy, CAST(-1 AS DOUBLE) AS dz FROM (
+  SELECT *, radians(rot_z_deg) AS a, (frame_id % 1024 / 512.0 - 1) * tan(radians(fovy) / 2) AS ux, (1 - frame_id * 3 % 1024 / 512.0) * tan(radians(fovy) / 2) AS uy FROM {A.FRAMES}))"""
+
+
+@query(f"SELECT ray_id AS frame_id, CAST(ray_id % 1024 AS DOUBLE) AS px, CAST(ray_id * 3 % 1024 AS DOUBLE) AS py FROM ({_hits_sql(1.0, '', rays=PIXEL_RAYS)})")
+def pixel_world_roundtrip_whole(spark, sf_dir):
+    """Every frame whose ray hits the mesh."""
+    return _roundtrip(spark, sf_dir, A.frames(spark, sf_dir))
+
+
 # --- pixels -----------------------------------------------------------------
 
 

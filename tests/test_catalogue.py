@@ -83,3 +83,21 @@ def test_whole_shot_sampling_takes_every_frame_and_image(spark, duck, sf_dir):
         assert got[w][1] == len(x) and abs(got[w][0] - sum(v for _, v in x) / len(x)) < 1e-6, w
     assert {f % 10 for f, _ in sure} == set(range(10))
     assert {i for x in seen.values() for i, _ in x} >= set(list(images)[-20:])
+
+
+def test_whole_roundtrip_reaches_the_edges_of_the_mesh(spark, sf_dir):
+    got = {r["frame_id"] for r in QUERIES["pixel_world_roundtrip_whole"](spark, sf_dir).collect()}
+    part = {r["frame_id"] for r in QUERIES["pixel_world_roundtrip"](spark, sf_dir).collect()}
+    hit, miss = set(), set()
+    for i in range(1000):
+        a, t = math.radians(i * 13 % 360), math.tan(math.radians(25))
+        x, y = (i % 1024 / 512 - 1) * t, (1 - i * 3 % 1024 / 512) * t
+        dx, dy = math.cos(a) * x - math.sin(a) * y, math.sin(a) * x + math.cos(a) * y
+        # Where the ray is at the mesh's greatest and least height.
+        ends = [(i % 400 + h * dx, i * 7 % 400 + h * dy) for h in (i % 50 + 90, i % 50 + 100)]
+        if all(1e-6 < c < 400 - 1e-6 for p in ends for c in p):
+            hit.add(i)
+        elif any(all(p[c] < -1e-6 for p in ends) or all(p[c] > 400 + 1e-6 for p in ends) for c in (0, 1)):
+            miss.add(i)
+    assert hit <= got and not miss & got and part < got
+    assert len(hit) > 2 * len(part) and len(miss) > 50
