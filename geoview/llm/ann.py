@@ -5,8 +5,10 @@ Vectors get one more component that makes all norms equal (so that the nearest
 direction is the largest inner product).  ``BITS`` code bits are the signs after
 learned rotations: principal axes, then iterative quantisation, from several
 starting rotations where one has fewer axes than bits.  The Hamming radius is
-the ``QUANTILE`` of distances between codes of sampled queries and their true
-neighbours, at the rank in the sample that matches ``k`` in the whole table.
+the ``QUANTILE`` of distances between codes of ``FIT_QUERIES`` sampled queries and
+their true neighbours, at the rank in the sample that matches ``k`` in the whole
+table.  The sample is in the order of that hash, so its first rows are a random
+draw wherever the rows lie in the table.
 
 Every row is indexed.  A task cuts its rows into blocks, and codes into 16-bit
 substrings, each of which has a table from value to rows.  By the generalised
@@ -41,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SAMPLE_ROWS = 8_192
+#: Sampled vectors that the radius is fitted on; each meets the whole sample.
+FIT_QUERIES = 256
 BITS = 256
 PART = 16
 QUANTILE = 0.985
@@ -91,10 +95,10 @@ def learn_rotation(x: np.ndarray, bits: int, seed: int = 5, rounds: int = 20) ->
 
 
 def fit(sample: np.ndarray, rows: int, norm: float, k: int) -> Coder:
-    """A coder from sampled vectors of a table with ``rows`` rows."""
+    """A coder from sampled vectors, in random order, of a table with ``rows`` rows."""
     rest = np.sqrt(np.maximum(norm**2 - (sample**2).sum(axis=1), 0))
     coder = Coder(sample.shape[1], norm, learn_rotation(np.concatenate([sample, rest[:, None]], axis=1), BITS), BITS)
-    queries = sample[:256]
+    queries = sample[:FIT_QUERIES]
     near = min(len(sample) - 1, max(1, round(k * len(sample) / max(rows, 1))))
     if near >= 1:
         score = queries @ sample.T
@@ -186,7 +190,8 @@ def nearest(table: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     if not stats["n"] or not stats["q"]:
         return empty
     span = 1 << 32
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(span)) < min(span, SAMPLE_ROWS * span // stats["n"]))
+    place = F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(span))
+    sample = rows.filter(place < min(span, SAMPLE_ROWS * span // stats["n"])).orderBy(place, "id", "x")
     got = np.array(sample.select("x").limit(2 * SAMPLE_ROWS).toArrow()["x"].to_pylist(), dtype=np.float64).reshape(-1, dim)
     if not len(got):
         got = np.array(rows.select("x").limit(SAMPLE_ROWS).toArrow()["x"].to_pylist(), dtype=np.float64).reshape(-1, dim)

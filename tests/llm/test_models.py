@@ -137,3 +137,22 @@ def test_nearest_edge_cases(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 20), (20, 1, 1), (20, 2, 2), (20, 3, 0), (20, 4, 0)]
     assert ann.nearest(table.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
+def test_nearest_recall_on_a_table_sorted_by_clusters(spark):
+    rng = np.random.default_rng(1)
+    clusters = []
+    for n, spread in ((300, 0.05), (1500, 0.3), (1500, 1.0)):
+        at = rng.normal(size=16)
+        clusters.append(3 * at / np.linalg.norm(at) + spread * rng.normal(size=(n, 16)))
+    x = np.concatenate(clusters)
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").coalesce(1)
+    got = defaultdict(set)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / len(range(0, len(x), 20)) / 20 >= 0.95
