@@ -17,25 +17,28 @@ which a rule decides: block counts as bad, allow as good.
 The tree is built from distinct (host, class path) rows with counts, which are
 aggregated before the shuffle, so a hot host is a set of small counts; parents
 meet children in equi-joins, which Spark can split; pages find their template by
-a broadcast only where the table of class paths has ``BROADCAST_ROWS`` rows or
-fewer, and by an equi-join beyond.
+a broadcast only where the table of class paths has ``BROADCAST_ROWS`` rows and
+``BROADCAST_BYTES`` bytes or fewer, and by an equi-join beyond.  Segments are
+whole and paths of any depth.  A class path that is alone under its node has no
+siblings from there on, so the rest of it joins the template at once, and levels
+are as many as class paths have in common.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and so
-the template of those; empty segments are left out; segments beyond
-``MAX_DEPTH`` form one; ids may be null or repeat; an empty table gives no rows.
+the template of those; empty segments are left out; ids may be null or repeat; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-MAX_DEPTH = 6
 MANY_CHILDREN = 16
 RARE_SHARE = 0.05
 #: 95th percentile of chi-square with two degrees of freedom.
@@ -45,8 +48,8 @@ PRIOR_BAD = 0.1
 REJECT = 0.5
 MAX_RULES = 500
 BROADCAST_ROWS = 50_000
-#: Longest class path that is kept as such, which bounds a broadcast's bytes.
-PATH_CHARS = 200
+#: Bytes of hosts, class paths and templates that a broadcast holds at most.
+BROADCAST_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -86,22 +89,22 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 def class_path(path: Column) -> Column:
     """Segments with numbers and hexadecimal strings as classes, joined by /."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.slice(parts, 1, MAX_DEPTH)
-    classed = F.transform(head, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b", "{x}"), r"\d+", "{n}"))
-    short = F.transform(classed, lambda s: F.substring(s, 1, PATH_CHARS // MAX_DEPTH))
-    whole = F.when(F.size(parts) > MAX_DEPTH, F.concat(short, F.array(F.lit("**")))).otherwise(short)
-    return F.array_join(whole, "/")
+    classed = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b", "{x}"), r"\d+", "{n}"))
+    return F.array_join(classed, "/")
 
 
 def templates(paths: DataFrame) -> DataFrame:
     """``paths`` (host, classes, n, bad, good) with template and purity."""
-    depth = paths.agg(F.max(F.size(F.split("classes", "/")))).first()[0] or 0
-    tree = paths.withColumn("template", F.lit(""))
-    for d in range(depth):
-        seg = F.get(F.split("classes", "/"), F.lit(d))
-        tree = written(tree.withColumn("seg", seg), "url-level")
-        child = tree.filter(F.col("seg").isNotNull() & (F.col("seg") != "")).groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
-        count = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("kinds"))
+    left = F.filter(F.split("classes", "/"), lambda s: s != "")
+    tree = written(paths.withColumns({"template": F.lit(""), "left": left}), "url-level")
+    done = []
+    while True:
+        done.append(tree.filter(F.size("left") == 0).drop("left"))
+        tree = tree.filter(F.size("left") > 0).withColumn("seg", F.get("left", F.lit(0)))
+        if tree.isEmpty():
+            break
+        child = tree.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.count(F.lit(1)).alias("paths"))
+        count = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("paths").alias("all_paths"), F.count(F.lit(1)).alias("kinds"))
         rare = (F.col("kinds") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("all_n"))
         named = child.join(count, ["host", "template"]).withColumn("name", F.when(rare, "*").otherwise(F.col("seg")))
         branch = named.groupBy("host", "template", "name").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
@@ -111,9 +114,13 @@ def templates(paths: DataFrame) -> DataFrame:
         chi = cell(F.col("bad"), bad) + cell(F.col("good"), good) + cell(F.col("n") - F.col("bad") - F.col("good"), 1 - bad - good)
         merged = branch.join(pooled, ["host", "template"]).withColumn("name2", F.when((F.col("branches") > 1) & (chi <= ALIKE), "~").otherwise(F.col("name")))
         # A node's branch name follows from its segment: segment -> name -> name2.
-        step = named.select("host", "template", "seg", "name").join(merged.select("host", "template", "name", "name2"), ["host", "template", "name"]).drop("name")
-        tree = tree.join(step, ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("name2").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "name2"))).drop("seg", "name2")
-    tree = written(tree, "url-templates")
+        step = named.select("host", "template", "seg", "name", (F.col("all_paths") == 1).alias("alone")).join(merged.select("host", "template", "name", "name2"), ["host", "template", "name"]).drop("name")
+        met = tree.join(step, ["host", "template", "seg"])
+        rest = F.slice("left", F.lit(2), F.size("left"))
+        tail = F.when(F.col("alone"), F.array_join("left", "/")).otherwise(F.col("name2"))
+        met = met.withColumn("template", F.concat_ws("/", "template", tail))
+        tree = written(met.withColumn("left", F.when(F.col("alone"), F.slice("left", 1, 0)).otherwise(rest)).drop("seg", "name2", "alone"), "url-level")
+    tree = written(reduce(DataFrame.unionByName, done), "url-templates")
     pure = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
     purity = (F.col("b") + PRIOR_WEIGHT * PRIOR_BAD) / (F.col("b") + F.col("g") + PRIOR_WEIGHT)
     return tree.join(pure.select("host", "template", purity.alias("purity")), ["host", "template"]).select("host", "classes", "template", "purity")
@@ -130,7 +137,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     )
     counts = written(counts, "url-paths")
     found = templates(counts)
-    if counts.count() <= BROADCAST_ROWS:
+    # A template has one character more than its class path at most.
+    held = counts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("host") + 2 * F.octet_length("classes") + 1).alias("bytes")).first()
+    if held["rows"] <= BROADCAST_ROWS and (held["bytes"] or 0) <= BROADCAST_BYTES:
         found = F.broadcast(found)
     judged = rows.join(found, ["host", "classes"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))

@@ -113,6 +113,29 @@ def test_templates(spark):
     assert {v for _, v in by[("h.com", "bad")]} == {"block"} and {v for _, v in by[("other.com", "bad")]} == {"allow"}
 
 
+def test_templates_tell_long_and_deep_siblings_apart(spark):
+    ways = {"long": "/" + "z" * 40, "deep": "/s" * 8 + "/"}
+    rows = [(way + end, f"http://h.com{at}{end}/{i}") for way, at in ways.items() for end in ("bad", "fine") for i in range(50)]
+    alone = "/q" + "/x" * 30 + "/" + "y" * 300
+    rows.append(("alone", f"http://other.com{alone}"))
+    pages = spark.createDataFrame(rows, "page_id string, url string")
+    rules = [url_filter.Rule("block", f"h.com{at}bad/{n}") for at in ways.values() for n in (1, 2, 3)]
+    by = {}
+    for r in url_filter.judge_urls(pages, rules).collect():
+        by.setdefault(r["page_id"], set()).add((r["template"], r["verdict"]))
+    for way in ways:
+        assert {v for _, v in by[way + "bad"]} == {"block"} and {v for _, v in by[way + "fine"]} == {"allow"}
+        assert not {t for t, _ in by[way + "bad"]} & {t for t, _ in by[way + "fine"]}
+    assert {t for t, _ in by["alone"]} == {alone}
+
+
+def test_large_class_paths_are_not_broadcast(spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = sorted(map(tuple, url_filter.judge_urls(pages, RULES).collect()), key=repr)
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, url_filter.judge_urls(pages, RULES).collect()), key=repr) == want
+
+
 def test_joins_instead_of_broadcasts_change_nothing(spark, sf_dir, monkeypatch):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     want = sorted(map(tuple, url_filter.judge_urls(pages, RULES).collect()), key=repr)
