@@ -11,8 +11,10 @@ language, exactly, with one array of columns per language.  A text's code
 length in a language is the sum over all its bytes; the shortest wins.
 
 Training counts bytes on executors over a bounded sample of labelled texts:
-about ``SAMPLE_ROWS`` of each language, chosen by a hash of the row, so that it
-is the same whatever the partitions.  Only counts reach the driver.  The model
+about ``SAMPLE_ROWS`` of each language, chosen by a hash of text and id, so that it
+is the same whatever the partitions and copies of a text under different ids are
+chosen apart; rows that agree in both, or a table without ids, come in together
+or not at all.  Only counts reach the driver.  The model
 is a few megabytes and is bound by ``MAX_GRAMS`` entries.
 
 Edge cases: a null text or one without letters gets ``und`` and score 0; texts
@@ -207,7 +209,7 @@ def _count_part(languages: list[str]):
     return run
 
 
-def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
     """A model from the rows of ``docs`` for which ``teach`` holds."""
     rows = docs.filter(teach & F.col(lang_col).isNotNull() & (F.col(lang_col) != ""))
     found = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect()
@@ -218,7 +220,7 @@ def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str =
     span = 1 << 32
     below = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(span, SAMPLE_ROWS * span // sizes[lang]))])
     # The hash is of text and id alone, so a row is chosen wherever it lies.
-    place = F.pmod(F.xxhash64(F.lit("sample"), text_col), F.lit(span))
+    place = F.pmod(F.xxhash64(F.lit("sample"), *[c for c in (text_col, id_col) if c in docs.columns]), F.lit(span))
     sample = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), place.alias("p")).filter(F.col("text").isNotNull() & (F.col("p") < below[F.col("lang")]))
     counts = small_batches(sample.select("text", "lang")).mapInArrow(tidied(_count_part(languages)), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counts.orderBy(F.desc("n"), "gram", "lang").limit(MAX_GRAMS).toArrow()

@@ -75,6 +75,17 @@ def test_language_edge_cases(odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.predict(odd_docs, None).collect()} == {"und"}
 
 
+def test_language_sample_takes_its_share_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 300)
+    seen = {}
+    monkeypatch.setattr(langid.Model, "fit", lambda languages, lang, gram, count: seen.update(zip(gram.tolist(), count.tolist())))
+    for text in ("qqqq", "zzzz", "jjjj"):
+        langid.fit(spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, text).otherwise(F.concat(F.lit("xxxx "), F.col("id").cast("string"))).alias("text"), F.lit("en").alias("lang")), F.lit(True))
+        copies, others = (seen.get(int.from_bytes(c * 4, "big"), 0) for c in (text[:1].encode(), b"x"))
+        assert 60 <= copies <= 145 and 140 <= others <= 265, text
+        seen.clear()
+
+
 def test_held_out(spark):
     rows = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
