@@ -7,8 +7,11 @@ each unit encoded alone.  Natural text repeats its units, so a bounded memo
 answers most of them.  Of the others, a word of Latin letters, with or without
 marks after it, is known to be one pre-token (and one for the marks) and goes
 straight to the library's model; anything else goes through its whole pipeline.
-Texts in which a space touches other white space are encoded whole.  Ids are
-those of ``encode(text, add_special_tokens=False)`` in every case.
+Texts in which a space touches other white space, or that hold an added token
+which the library cuts out, are encoded whole.  Ids are those of
+``encode(text, add_special_tokens=False)`` in every case: of the library as it is
+loaded, or with ``literal`` of one whose ``encode_special_tokens`` is set, for which
+strings of special tokens inside a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ ODD_SPACES = "\u180e\u200b\u2060\ufeff"
 
 
 class _Touching(Exception):
-    """A space touches other white space."""
+    """A space touches other white space, or a text holds an added token."""
 
 
 def _byte_letters() -> dict[int, int]:
@@ -74,13 +77,14 @@ class _Memo(dict):
 class Encoder:
     """Encodes texts into little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, literal: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        # Strings of special tokens inside a text are ordinary text.
-        self._tok.encode_special_tokens = True
+        if literal:
+            self._tok.encode_special_tokens = True
+        self._added = [t.content for t in self._tok.get_added_tokens_decoder().values() if not (literal and t.special)]
         self._model = self._tok.model
         self._letters = "".join(chr(c) for _, c in sorted(_byte_letters().items()))
         self._space = self._letters[32]
@@ -157,7 +161,7 @@ class Encoder:
                 continue
             head, *units = text.split(" ")
             try:
-                if not self._direct or not head or _spacelike(head[-1]):
+                if not self._direct or not head or _spacelike(head[-1]) or any(t in text for t in self._added):
                     raise _Touching
                 out.append(self.head(head) + b"".join(map(memo.__getitem__, units)))
             except _Touching:
@@ -166,14 +170,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, literal: bool) -> Encoder:
+    return Encoder(path, literal)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool = False) -> Encoder:
     """The encoder of this process; its memo outlives the task that made it."""
     claim("tokens", _encoder.cache_clear)
-    return _encoder(path)
+    return _encoder(path, literal)
 
 
 def ids_of(raw: bytes) -> np.ndarray:

@@ -103,3 +103,21 @@ def test_differencing():
         assert all(sum(sizes[i] for i in w) <= 2048 for w in windows)
         assert len(windows) <= -(-sum(sizes) // 2048) + 1 + n // 100
     assert len(packing.pack([2048] * 3, 2048)) == 3 and packing.pack([], 10) == []
+
+
+def test_special_tokens_are_those_of_the_unchanged_library(spark, docs, tmp_path):
+    plain = Tokenizer.from_file(bpe_path())
+    ids = lambda text: plain.encode(text or "", add_special_tokens=False).ids
+    end = "<|endoftext|>"
+    texts = [*ODD, end, f"a{end}b", f"a {end} b", f"a {end}{end}, b", f"x\n{end}\ny", f"foo bar. {end}", f"{end}Foo 's {end[:-1]}"]
+    assert any(50256 in ids(t) for t in texts)
+    e = Encoder(bpe_path(), literal=False)
+    for _ in range(2):  # the second time from the memo
+        for t, raw in zip(texts, e.encode(texts), strict=True):
+            assert np.frombuffer(raw, "<u4").tolist() == ids(t), t
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_token_files(table, str(tmp_path / "s"), bpe_path(), end_id=2)
+    got = {r["doc_id"]: r["ids"] for r in token_files.read_token_files(spark, str(tmp_path / "s")).collect()}
+    assert got == {i: ids(t) + [2] for i, t in enumerate(texts)}
+    pieces = packing.pack_documents(table, bpe_path(), 1, 2048).collect()
+    assert {p["doc_id"]: np.frombuffer(p["ids"], "<u4").tolist() for p in pieces} == {i: ids(t) + [1] for i, t in enumerate(texts)}
