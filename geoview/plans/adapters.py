@@ -42,6 +42,15 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORRECTIONS = "(SELECT s_suppkey AS pos, s_suppkey * 100 AS lo, s_suppkey * 100 + 149 AS hi, s_acctbal / CAST(10000 AS DOUBLE) AS tz FROM supplier WHERE s_suppkey % 3 <> 2)"
 
 
+def corrections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every supplier; gaps lie between the intervals."""
+    s = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(s.alias("pos"), (s * 100).alias("lo"), (s * 100 + 69).alias("hi"), (F.col("s_acctbal") / 10000).alias("tz"))
+
+
+CORRECTIONS_WHOLE = "(SELECT s_suppkey AS pos, s_suppkey * 100 AS lo, s_suppkey * 100 + 69 AS hi, s_acctbal / CAST(10000 AS DOUBLE) AS tz FROM supplier)"
+
+
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("n_nationkey")
     return table(spark, sf_dir, "nation").select(v.cast("long").alias("vid"), (v % 5 * 100).cast("double").alias("x"), (F.floor(v / 5) * 100).cast("double").alias("y"), (F.col("n_regionkey") * 2.5).alias("z"))

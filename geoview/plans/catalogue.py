@@ -127,14 +127,24 @@ def polyline_bbox(spark, sf_dir):
 # --- lookups ----------------------------------------------------------------
 
 
+def _corrected(frames: DataFrame, corrections: DataFrame, central: str | None = None) -> DataFrame:
+    out = lk.interval_lookup(frames, corrections, {"pos": 0, "tz": 0.0}, central_col=central)
+    return out.select("frame_id", "pos", r(F.col("tz"), "tz"))
+
+
 @query(
     f"""SELECT frame_id, coalesce(pos, 0) AS pos, {rs('coalesce(tz, 0)', 'tz')} FROM (
   SELECT f.frame_id, c.pos, c.tz, row_number() OVER (PARTITION BY f.frame_id ORDER BY c.pos) AS n
   FROM {A.FRAMES} f LEFT JOIN {A.CORRECTIONS} c ON f.frame_id BETWEEN c.lo AND c.hi) WHERE n = 1"""
 )
 def frame_correction_lookup(spark, sf_dir):
-    out = lk.interval_lookup(A.frames(spark, sf_dir).select("frame_id"), A.corrections(spark, sf_dir), {"pos": 0, "tz": 0.0})
-    return out.select("frame_id", "pos", r(F.col("tz"), "tz"))
+    """Two of three suppliers; ``frame_correction_lookup_whole`` takes all."""
+    return _corrected(A.frames(spark, sf_dir).select("frame_id"), A.corrections(spark, sf_dir))
+
+
+@query(ORACLE_SQL["frame_correction_lookup"].replace(A.CORRECTIONS, A.CORRECTIONS_WHOLE))
+def frame_correction_lookup_whole(spark, sf_dir):
+    return _corrected(A.frames(spark, sf_dir).select("frame_id"), A.corrections_whole(spark, sf_dir))
 
 
 @query(
@@ -145,9 +155,15 @@ SELECT f.frame_id, coalesce(own.pos, mid.pos, 0) AS pos, {rs('coalesce(c.tz, 0)'
 FROM f LEFT JOIN own USING (frame_id) LEFT JOIN mid USING (frame_id) LEFT JOIN {A.CORRECTIONS} c ON c.pos = coalesce(own.pos, mid.pos)"""
 )
 def frame_correction_central_fallback(spark, sf_dir):
+    """Two of three suppliers; ``frame_correction_central_fallback_whole`` takes all."""
     frames = A.frames(spark, sf_dir).select("frame_id", (F.col("frame_id") + 125).alias("central"))
-    out = lk.interval_lookup(frames, A.corrections(spark, sf_dir), {"pos": 0, "tz": 0.0}, central_col="central")
-    return out.select("frame_id", "pos", r(F.col("tz"), "tz"))
+    return _corrected(frames, A.corrections(spark, sf_dir), "central")
+
+
+@query(ORACLE_SQL["frame_correction_central_fallback"].replace(A.CORRECTIONS, A.CORRECTIONS_WHOLE))
+def frame_correction_central_fallback_whole(spark, sf_dir):
+    frames = A.frames(spark, sf_dir).select("frame_id", (F.col("frame_id") + 125).alias("central"))
+    return _corrected(frames, A.corrections_whole(spark, sf_dir), "central")
 
 
 WINDOW = f"""(SELECT f.flight_id, f.frame_id, n.frame_id AS neighbour_id, CASE WHEN n.frame_id < f.frame_id THEN 1 ELSE 2 END AS phase

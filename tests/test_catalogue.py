@@ -101,3 +101,11 @@ def test_whole_roundtrip_reaches_the_edges_of_the_mesh(spark, sf_dir):
             miss.add(i)
     assert hit <= got and not miss & got and part < got
     assert len(hit) > 2 * len(part) and len(miss) > 50
+
+
+def test_whole_lookups_use_every_correction(spark, duck, sf_dir):
+    every = {s for (s,) in duck.execute("SELECT s_suppkey FROM supplier").fetchall()}
+    for name in ("frame_correction_lookup_whole", "frame_correction_central_fallback_whole"):
+        found = {r["frame_id"]: r["pos"] for r in QUERIES[name](spark, sf_dir).collect()}
+        assert set(found.values()) == every | {0} and found[170] == 0
+        assert found[180] == (3 if "fallback" in name else 0)
