@@ -167,3 +167,51 @@ def test_nearest_recall_on_a_table_sorted_by_clusters(spark):
         score[q] = -np.inf
         hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
     assert hits / len(range(0, len(x), 20)) / 20 >= 0.95
+
+
+def test_probes_by_flips_and_by_values_agree():
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 1 << 16, (3000, 4), dtype=np.uint16)
+    table = ann.HashTable(codes, 1)
+    for flips in (0, 1, 2, 4, 9):
+        q, r = table.probe(codes[:20], flips)
+        want = np.nonzero(np.bitwise_count(codes[:20, 1, None] ^ codes[None, :, 1]) <= flips)
+        assert set(zip(q.tolist(), r.tolist())) == set(zip(*[x.tolist() for x in want])) and len(q) == len(want[0])
+    assert ann.flip_count(2) < len(table.values) < ann.flip_count(9)
+
+
+def clusters(rows, seed=3):
+    rng = np.random.default_rng(seed)
+    at = rng.normal(size=(rows // 40, 32))
+    x = np.concatenate([at + 0.15 * rng.normal(size=at.shape) for _ in range(40)])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_probing_spares_most_pairs_of_tables_with_structure():
+    shares = []
+    for rows in (800, 4000):
+        x = clusters(rows)
+        x = x[np.random.default_rng(1).permutation(len(x))]
+        coder = ann.fit(x, len(x), float(np.linalg.norm(x, axis=1).max()), float(np.abs(x).max()), 20)
+        shares.append((coder.touched, coder.kept))
+    assert all(touched < 0.5 for touched, _ in shares) and shares[1][1] < 0.03 and shares[1][1] < shares[0][1]
+
+
+def test_cells_and_parts_change_nothing(spark, monkeypatch):
+    x = clusters(2000)
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(5000 + i, x[0].tolist()) for i in range(700)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = lambda: {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 20).collect()}
+    want = ask()
+    monkeypatch.setattr(ann, "CELL_ROWS", 50)
+    assert ask() == want
+    # Copies of one vector: ties go to the smaller ids, all of which are there.
+    assert [want[(5000, k)][0] for k in range(1, 21)] == [0, *range(5001, 5020)]
+
+
+def test_nearest_of_very_large_and_mixed_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [-1e200, -1e200]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 0.0, 0.0]), (40, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()]
+    inf = float("inf")
+    assert got == [(0, 1, 1, inf), (0, 2, 2, -inf), (20, 1, 21, 1.0)]
