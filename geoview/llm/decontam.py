@@ -3,17 +3,24 @@
 For an item of m words, every window of m words of a document (the whole
 document where it is shorter) has a SimHash of ``BITS`` bits over its word
 shingles, weighted by how often each occurs.  Items of one size stand in a
-multi-index of 16-bit blocks, which by the pigeonhole principle finds every item
-within ``RADIUS`` bits of a window.  Candidates are verified by exact weighted
-Jaccard similarity, sum(min) / sum(max) of the shingles' counts, and those of
-``threshold`` or more are leaks; a document reports its best window for an item.
+multi-index of 16-bit blocks, hash tables that by the pigeonhole principle find
+every item within ``RADIUS`` bits of a window.  Candidates are verified by exact
+weighted Jaccard similarity, sum(min) / sum(max) of the shingles' counts, and
+those of ``threshold`` or more are leaks; a document reports its best window for
+an item.
 
 Windows that hold none of the benchmark's shingles have similarity 0 to every
 item and get no fingerprint; this loses nothing and leaves few windows.
 
-The benchmark is broadcast in parts: items are dealt by hash into as many parts
-as keep each under ``PART_CHARS`` characters, and each part is one pass over the
-documents.  Documents are not shuffled, and a task holds one batch of them.
+The benchmark is broadcast in parts: equal rows are counted, and distinct ones
+are dealt by hash into as many parts as keep each near ``PART_CHARS`` characters;
+a worker makes a part's tables once.  One part is one pass over the documents,
+which are not shuffled.  Of several parts each is a pass of its own that writes
+what it finds by a 128-bit hash of the text, and documents meet that in one join.
+
+A task holds one document at a time: its text is taken apart in slices, as one
+64-bit number for each word and shingle; ``WINDOWS`` windows are fingerprinted at
+once, from sums over ``SPAN`` shingles at a time.
 
 Edge cases: null or empty texts and items have no leaks; items and documents of
 fewer than five words are one shingle; repeated items and documents report each;
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +40,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import MultiIndex
-from .common import free_name, small_batches, tidied, with_text
+from .common import free_name, small_batches, tidied, with_text, written
 from .shingles import SIZE, shingle_hashes, word_hashes
 
 BITS = 64
-#: A window of similarity 0.8 differs in about 10 of 64 bits, with a standard
-#: deviation of 3; more than 22 would be four deviations away.
-RADIUS = 22
+#: A window of similarity 0.8 differs in about 9.6 of 64 bits, with a standard
+#: deviation of 2.9; more than 19 is over three deviations away.
+RADIUS = 19
 THRESHOLD = 0.8
 PART_CHARS = 16_000_000
+#: Rows of an output batch.
 BATCH_ROWS = 256
-#: Windows fingerprinted together; it bounds the arrays.
-WINDOWS = 1 << 15
+#: Windows fingerprinted together, and shingles that are summed at a time.
+WINDOWS = 1 << 10
+SPAN = 1 << 15
+#: Items whose shingles are kept as counts, once a window came near them.
+COUNTED = 4_096
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
@@ -57,25 +69,48 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(sums > 0, axis=1)).view(np.uint16)
 
 
+def sums_before(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of signs of all shingles from the first of ``at`` (which rises) to
+    each of the others."""
+    out = np.zeros((len(at), BITS), np.int64)
+    total = np.zeros(BITS, np.int64)
+    for lo in range(int(at[0]), int(at[-1]), SPAN):
+        hi = min(lo + SPAN, int(at[-1]))
+        run = np.cumsum(signs(shingles[lo:hi]), axis=0)
+        mine = slice(np.searchsorted(at, lo, "right"), np.searchsorted(at, hi, "right"))
+        out[mine] = total + run[at[mine] - lo - 1]
+        total += run[-1]
+    return out
+
+
+def fingerprints(shingles: np.ndarray, starts: np.ndarray, inside: int) -> np.ndarray:
+    """SimHashes of the windows of ``inside`` shingles at rising ``starts``."""
+    at = np.unique(np.concatenate([starts, starts + inside]))
+    sums = sums_before(shingles, at)
+    return packed(sums[np.searchsorted(at, starts + inside)] - sums[np.searchsorted(at, starts)])
+
+
 def similarity(a: Counter, b: Counter) -> float:
     both = sum((a & b).values())
     return both / max(1, sum(a.values()) + sum(b.values()) - both)
 
 
 class Benchmark:
-    """Items by size in words, each size with its multi-index."""
+    """Items (item_id, text, how often) by size in words, each size with its
+    multi-index."""
 
     def __init__(self, items: list[tuple]) -> None:
         self.sizes: dict[int, tuple] = {}
+        self._counted: dict[tuple[int, int], Counter] = {}
         by: dict[int, list] = {}
-        for (item_id, _), words in zip(items, word_hashes([t for _, t in items])):
+        for (item_id, _, times), words in zip(items, word_hashes(t for _, t, _ in items)):
             if len(words):
-                by.setdefault(len(words), []).append((item_id, shingle_hashes(words)))
+                by.setdefault(len(words), []).append((item_id, times, shingle_hashes(words)))
         known: dict[int, list] = {}
         for m, group in sorted(by.items()):
-            prints = packed(np.stack([signs(s).sum(axis=0) for _, s in group]))
-            self.sizes[m] = ([i for i, _ in group], [Counter(s.tolist()) for _, s in group], MultiIndex(prints))
-            known.setdefault(min(m, SIZE), []).extend(s for _, s in group)
+            prints = np.concatenate([fingerprints(s, np.zeros(1, np.int64), len(s)) for *_, s in group])
+            self.sizes[m] = (group, MultiIndex(prints))
+            known.setdefault(min(m, SIZE), []).extend(s for *_, s in group)
         #: All shingles of items, by the number of words that they have.
         self.known = {k: np.unique(np.concatenate(s)) for k, s in known.items()}
         self.maps = {k: self._bitmap(s) for k, s in self.known.items()}
@@ -97,6 +132,13 @@ class Benchmark:
         at = np.minimum(np.searchsorted(known, shingles[maybe]), len(known) - 1)
         return maybe[known[at] == shingles[maybe]]
 
+    def counts(self, m: int, i: int) -> Counter:
+        if (c := self._counted.get((m, i))) is None:
+            if len(self._counted) >= COUNTED:
+                self._counted.clear()
+            c = self._counted[m, i] = Counter(self.sizes[m][0][i][2].tolist())
+        return c
+
     def leaks(self, words: np.ndarray, threshold: float) -> list[tuple]:
         """(item_id, first word, words, similarity) for every leaked item."""
         found: list[tuple] = []
@@ -107,74 +149,95 @@ class Benchmark:
             if k <= len(words) or k == min(self.known):
                 s = shingle_hashes(words, k)
                 shingled[min(k, len(words))] = (s, self.hits(s, k) if k <= len(words) else np.zeros(0, np.int64))
-        sums: dict[int, np.ndarray] = {}
-        for m, (ids, counts, index) in self.sizes.items():
+        for m, (group, index) in self.sizes.items():
             width = min(m, len(words))
             k = min(SIZE, width)
             s, hit = shingled.get(k, (None, ()))
             if not len(hit):
                 continue
-            if k not in sums:
-                sums[k] = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(s), axis=0, dtype=np.int32)])
             inside = width - k + 1  # shingles of a window
-            # Windows that hold a hit: marks at both ends of the range of starts.
-            edge = np.zeros(len(s) - inside + 2, dtype=np.int32)
-            np.add.at(edge, np.maximum(hit - inside + 1, 0), 1)
-            np.add.at(edge, np.minimum(hit, len(s) - inside) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            # Starts of windows that hold a hit: ranges before each, which may overlap.
+            low, high = np.maximum(hit - inside + 1, 0), np.minimum(hit, len(s) - inside)
+            low[1:] = np.maximum(low[1:], high[:-1] + 1)
+            n = np.maximum(high - low + 1, 0)
+            starts = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             best: dict[int, tuple] = {}
-            for lo in range(0, len(starts), WINDOWS):
-                some = starts[lo : lo + WINDOWS]
-                prints = packed(sums[k][some + inside] - sums[k][some])
-                for w, i in zip(*(x.tolist() for x in self._within(index, prints))):
+            lo = 0
+            while lo < len(starts):
+                # Windows that lie far apart are not summed across.
+                hi = min(lo + WINDOWS, int(np.searchsorted(starts, starts[lo] + max(SPAN, inside))))
+                some = starts[lo:hi]
+                for w, i in zip(*(x.tolist() for x in index.within(fingerprints(s, some, inside), RADIUS))):
                     at = int(some[w])
-                    score = similarity(Counter(s[at : at + inside].tolist()), counts[i])
-                    if score >= threshold and score > best.get(i, (0, 0))[0]:
-                        best[i] = (score, at)
-            found += [(ids[i], at, width, score) for i, (score, at) in sorted(best.items())]
+                    score = similarity(Counter(s[at : at + inside].tolist()), self.counts(m, i))
+                    if score >= threshold and (score, -at) > best.get(i, (0, 0)):
+                        best[i] = (score, -at)
+                lo = hi
+            found += [(group[i][0], -at, width, score) for i, (score, at) in sorted(best.items()) for _ in range(group[i][1])]
         return found
 
-    @staticmethod
-    def _within(index: MultiIndex, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return index.within(prints, RADIUS)
+
+class Part:
+    """Items as they are broadcast; a worker makes tables of them once."""
+
+    def __init__(self, items: list[tuple]) -> None:
+        self.items, self.made = items, None
+
+    def __getstate__(self) -> list[tuple]:
+        return self.items
+
+    def __setstate__(self, items: list[tuple]) -> None:
+        self.items, self.made = items, None
+
+    def tables(self) -> Benchmark:
+        self.made = self.made or Benchmark(self.items)
+        return self.made
 
 
 LEAK = "array<struct<item_id:long,start:long,words:long,similarity:double>>"
+LEAK_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64())]))
+
+
+def _find(shared, threshold: float, text_at: int, keep: list[str], result: str, all_rows: bool):
+    """Batches with columns ``keep`` (the first ones) and the leaks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bench = shared.value.tables()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BATCH_ROWS):
+                b = whole.slice(lo, BATCH_ROWS)
+                found = [bench.leaks(words, threshold) for words in word_hashes(t.as_py() for t in b.column(text_at))]
+                rows = [[dict(zip(("item_id", "start", "words", "similarity"), x)) for x in one] for one in found]
+                out = pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(rows, LEAK_ARROW)], names=[*keep, result])
+                yield out if all_rows else out.filter(pa.array([bool(x) for x in rows]))
+
+    return tidied(run)
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", result: str = "leaks") -> DataFrame:
     """``docs`` with the leaked items of each, an empty list where none is."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-chars // PART_CHARS))
+    items = written(items.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times")), "benchmark")
+    parts = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS))
+
+    def part(i: int):
+        own = items.filter(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == i).orderBy("item_id", "text").collect()
+        return spark.sparkContext.broadcast(Part([(r["item_id"], r["text"], r["times"]) for r in own]))
+
     keep = [c for c in docs.columns if c != result]
-    at = len(keep)
-    out, text_at = with_text(docs, keep, text_col)
-    found_ = free_name(out, "leaks_found")
-    inner = out.columns  # passes before the last hand the text on
-    out = out.withColumn(found_, F.array().cast(LEAK))
-    kinds = [f"`{c}` {out.schema[c].dataType.simpleString()}" for c in inner]
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64())]))
-
-    for part in range(parts):
-        # Items that equal in text and id are reported once for each row.
-        own = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own])
-
-        last = part == parts - 1
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value)
-            for whole in batches:
-                for lo in range(0, whole.num_rows, BATCH_ROWS):
-                    b = whole.slice(lo, BATCH_ROWS)
-                    found = [bench.leaks(words, threshold) for words in word_hashes(b.column(text_at).to_pylist())]
-                    before = b.column(len(inner)).to_pylist()
-                    rows = [old + [dict(zip(("item_id", "start", "words", "similarity"), x)) for x in new] for old, new in zip(before, found)]
-                    passed = inner[:at] if last else inner
-                    yield pa.RecordBatch.from_arrays([*b.columns[: len(passed)], pa.array(rows, kind)], names=[*passed, found_])
-
-        # Texts leave the last pass only if they are a column of ``docs``.
-        out = small_batches(out).mapInArrow(tidied(run), ", ".join([*(kinds[:at] if last else kinds), f"`{found_}` {LEAK}"]))
-    return out.select(*keep, F.col(found_).alias(result))
+    if parts == 1:
+        rows, text_at = with_text(docs, keep, text_col)
+        schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"`{result}` {LEAK}"])
+        return small_batches(rows).mapInArrow(_find(part(0), threshold, text_at, keep, result, True), schema)
+    text = F.col(text_col).cast("string")
+    keys = [F.xxhash64(text), F.xxhash64(F.lit("leaks"), text)]
+    texts = docs.select(keys[0].alias("k0"), keys[1].alias("k1"), text.alias("text"))
+    found = []
+    for i in range(parts):
+        some = small_batches(texts).mapInArrow(_find(part(i), threshold, 2, ["k0", "k1"], "leaks", False), f"k0 long, k1 long, leaks {LEAK}")
+        found.append(written(some.groupBy("k0", "k1").agg(F.first("leaks").alias("leaks")), "leaks"))
+    every = reduce(DataFrame.unionByName, found).groupBy("k0", "k1").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    k0, k1, got = (free_name(docs, n) for n in ("leak_key0", "leak_key1", "leaks_found"))
+    met = docs.withColumns({k0: keys[0], k1: keys[1]}).join(every.toDF(k0, k1, got), [k0, k1], "left")
+    return met.select(*keep, F.coalesce(got, F.array().cast(LEAK)).alias(result))

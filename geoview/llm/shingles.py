@@ -8,6 +8,7 @@ shingle of all of them; a text without words has none.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,7 +19,10 @@ from .common import claim
 SIZE = 5
 #: Words in one generation of a worker's memo; it holds two generations at most.
 MEMO_ENTRIES = 300_000
+#: Characters of a text that are taken apart at once.
+SLICE_CHARS = 1 << 20
 _WORD = re.compile(r"\w+")
+_SPACE = re.compile(r"\s")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,11 +56,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    claim("shingles", _memo.cache_clear)
+def slices(text: str, size: int) -> Iterator[str]:
+    """``text`` in slices of about ``size`` characters, which end at white space;
+    words, and the lower case of each, are the same as in the whole."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + size) if len(text) - at > size else None
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """Hashes of the words of one text, which is read in slices."""
     memo, find = _memo(), _WORD.findall
-    memo.turn()
-    return [np.array([memo[w] for w in find(t.lower())], dtype=np.uint64) if t else np.zeros(0, np.uint64) for t in texts]
+    parts = []
+    for part in slices(text or "", SLICE_CHARS):
+        memo.turn()
+        parts.append(np.array([memo[w] for w in find(part.lower())], dtype=np.uint64))
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
+def word_hashes(texts: Iterable[str | None]) -> list[np.ndarray]:
+    claim("shingles", _memo.cache_clear)
+    return [words_of(t) for t in texts]
 
 
 def shingle_hashes(words: np.ndarray, size: int = SIZE) -> np.ndarray:

@@ -1,4 +1,8 @@
+import os
+import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -58,6 +62,53 @@ def test_benchmark_in_parts(spark, sf_dir, docs, monkeypatch):
     assert leaks(some, items) == want
 
 
+def test_recall_of_fingerprints(spark):
+    """Passages of similarity 0.8 to 1, against brute force."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice((30, 60, 120))))) for i in range(15)]
+    docs = []
+    for i in range(150):
+        w = items[i % 15][1].split()
+        for _ in range(rng.randint(0, max(1, len(w) // 40))):
+            w[rng.randrange(len(w))] = word()
+        docs.append((i, " ".join([word() for _ in range(rng.randrange(40))] + w + [word() for _ in range(rng.randrange(40))])))
+    want = brute_force(docs, items)
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert len([1 for *_, s in want if s < 0.9]) > 20 and got <= want
+    assert len(got) >= 0.98 * len(want)
+
+
+def test_repeated_items_report_each(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, ITEM), (0, ITEM), (1, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (None, ITEM), (2, "short")], "item_id long, text string")
+    for chars in (decontam.PART_CHARS, 100):
+        monkeypatch.setattr(decontam, "PART_CHARS", chars)
+        got = [(r["doc_id"], sorted(str(x["item_id"]) for x in r["leaks"])) for r in decontam.with_leaks(docs, items).orderBy("doc_id").collect()]
+        assert got == [(0, ["1", "1", "None"])] * 2 + [(1, [])]
+
+
+def test_long_texts_and_many_items_stay_small():
+    """20,000 items of one size and a text of 50 MB, in a process of its own."""
+    code = """
+import random, resource
+from geoview.llm import decontam
+from geoview.llm.shingles import words_of
+rng = random.Random(1)
+words = ["word%d" % i for i in range(4000)]
+items = [(i, " ".join(rng.choices(words, k=60)), 1) for i in range(20000)]
+bench = decontam.Benchmark(items)
+block = " ".join(rng.choices(words, k=100000)) + " "
+text = block * (50_000_000 // len(block) + 1) + items[7][1] + " " + items[19999][1]
+found = bench.leaks(words_of(text), 0.8)
+assert {(i, s) for i, _, _, s in found} == {(7, 1.0), (19999, 1.0)}, found[:5]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, env={**os.environ, "PYTHONPATH": os.getcwd()})
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1000
+
+
 def test_leaks_edge_cases(spark, odd_docs, no_docs, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontam.with_leaks(odd_docs, items)
