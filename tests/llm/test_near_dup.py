@@ -102,9 +102,63 @@ def test_one_of_each_class_stays(spark, odd_docs):
     assert {r["doc_id"] for r in near_dup.keep_one(df).collect()} == want
 
 
-def test_recall_of_the_forest():
-    d = near_dup.match_depth(0.8)
-    assert 1 - (1 - 0.8**d) ** near_dup.TREES >= near_dup.RECALL and d < near_dup.DEPTH
+def test_prefixes_are_shortened_until_recall_is_reached():
+    rng = np.random.default_rng(1)
+    sample = rng.integers(0, 1 << 16, (500, near_dup.TREES * near_dup.DEPTH), dtype=np.uint16)
+    sample[:, : 5 * near_dup.DEPTH] %= 2  # the first five trees are crowded
+    depths = near_dup.tree_depths(sample, 0.8)
+    assert near_dup.chance(depths, 0.8) >= near_dup.RECALL
+    assert near_dup.chance([d + 1 for d in depths], 0.8) < near_dup.RECALL
+    assert min(depths[:5]) > max(depths[5:])
+    assert near_dup.chance(near_dup.tree_depths(sample[:0], 0.8), 0.8) >= near_dup.RECALL
+
+
+def test_linked_sets_by_both_ways_of_counting(monkeypatch):
+    rng = np.random.default_rng(2)
+    core = rng.integers(0, 1 << 60, 100, dtype=np.uint64)
+    make = lambda n: [np.unique(np.concatenate([core[: rng.integers(85, 101)], rng.integers(0, 1 << 60, rng.integers(0, 15), dtype=np.uint64)])) for _ in range(n)]
+    left, right = make(30), make(20)
+    for few in (0, 8, 1000):
+        monkeypatch.setattr(near_dup, "FEW", few)
+        for a, b, alone in ((left, right, False), (left, left, True)):
+            got = near_dup._linked(a, b, 0.8, alone)
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    if not (alone and i == j):
+                        assert got[i, j] == (len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)))
+
+
+def test_recall_on_thousands_of_documents(spark):
+    """Chains and clusters of changed copies, some near the threshold: links are
+    those of comparing all pairs of a family, classes follow from them."""
+    rng = random.Random(12)
+    families, rows = [], []
+    for f in range(150):
+        w = [f"f{f}w{rng.randrange(4000)}" for _ in range(rng.randint(60, 200))]
+        texts = copies_of(rng, w, rng.randint(1, 30), max(1, len(w) // 45))
+        families.append(list(range(len(rows), len(rows) + len(texts))))
+        rows += list(enumerate(texts, len(rows)))
+    rng.shuffle(order := list(rows))
+    got = result(spark.createDataFrame(order, "doc_id long, text string").repartition(6))
+    want = sorted((r for ids in families for r in brute_force([rows[i] for i in ids])), key=repr)
+    assert len(rows) > 2000
+    assert got == want
+
+
+def test_many_repeats_of_a_row(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    docs = spark.range(200_000).select(F.lit(7).alias("doc_id"), F.lit(long).alias("text")).unionByName(spark.createDataFrame([(8, long + " more"), (9, "other")], "doc_id long, text string"))
+    got = {tuple(r): r["count"] for r in near_dup.near_duplicates(docs).groupBy("doc_id", "class_id", "n_links", "n_copies").count().collect()}
+    assert {k[:4]: n for k, n in got.items()} == {(7, 7, 1, 200_000): 200_000, (8, 7, 200_000, 1): 1, (9, 9, 0, 1): 1}
+    assert near_dup.keep_one(docs).count() == 2
+
+
+def test_leaders_of_hot_prefixes_meet_in_blocks(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for name, value in (("HOT_SAMPLE", 1.0), ("HOT_ROWS", 3), ("SALT_ROWS", 2), ("LEADERS", 2), ("HUB_ROWS", 3), ("REPEATS", 0), ("BLOCK_SHINGLES", 500)):
+        monkeypatch.setattr(near_dup, name, value)
+    assert result(df) == brute_force(rows)
 
 
 def test_estimates_are_close():
