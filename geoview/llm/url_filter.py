@@ -7,12 +7,18 @@ Other pages get the verdict of their template.  Every host has a tree of path
 segments, whose numbers and long hexadecimal strings are classes from the start.
 Level by level, segments that are variable (a node has more than
 ``MANY_CHILDREN`` and the segment less than ``RARE_SHARE`` of its pages) become
-a wildcard ``*``; then siblings whose labels are statistically alike (a
-chi-square test of (bad, good, unlabelled) against all siblings together doesn't
-reject) merge into one branch ``~``.  What remains of each path is a template;
-its purity is (bad + PRIOR_WEIGHT * PRIOR_BAD) / (bad + good + PRIOR_WEIGHT), and
-a template of purity ``REJECT`` or more is blocked.  Labels are the pages for
-which a rule decides: block counts as bad, allow as good.
+a wildcard; so a node has 20 branches at most.  Then branches of a node are
+ordered by their smoothed share of bad labels, (bad + PRIOR_WEIGHT * PRIOR_BAD) /
+(bad + good + PRIOR_WEIGHT), and neighbours in that order that a test of two
+shares with these weights doesn't tell apart merge into one branch.  The prior
+keeps a branch with few or no labels apart from one with many bad ones.  What
+remains of each path is a template; its purity is its smoothed share of bad
+labels, and a template of purity ``REJECT`` or more is blocked.  Labels are the
+pages for which a rule decides: block counts as bad, allow as good.
+
+In templates ``?n`` and ``?x`` stand for numbers and hexadecimal strings, ``?*`` for
+variable segments and ``?1``, ``?2`` ... for merged branches; no segment of a path
+holds a question mark.
 
 The tree is built from distinct (host, class path) rows with counts, which are
 aggregated before the shuffle, so a hot host is a set of small counts; parents
@@ -23,9 +29,12 @@ whole and paths of any depth.  A class path that is alone under its node has no
 siblings from there on, so the rest of it joins the template at once, and levels
 are as many as class paths have in common.
 
+Rules up to ``MAX_RULES`` are one expression; more are a table that distinct hosts
+and paths meet by the host's suffixes.
+
 Edge cases: a null url, or one without ``://``, has an empty host and path and so
 the template of those; empty segments are left out; ids may be null or repeat; an
-empty table gives no rows.
+empty table gives no rows; an id column that is named as a result raises an error.
 """
 
 from __future__ import annotations
@@ -34,15 +43,15 @@ import string
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 MANY_CHILDREN = 16
 RARE_SHARE = 0.05
-#: 95th percentile of chi-square with two degrees of freedom.
-ALIKE = 5.991
+#: 95th percentile of chi-square with one degree of freedom.
+ALIKE = 3.841
 PRIOR_WEIGHT = 4.0
 PRIOR_BAD = 0.1
 REJECT = 0.5
@@ -77,8 +86,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """Text and verdict of the longest rule that fits, or nulls."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -86,10 +93,23 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return text, verdict
 
 
+def with_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``rows`` (host, path and others) with rule and ruled."""
+    if len(rules) <= MAX_RULES:
+        rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
+        return rows.withColumns({"rule": rule, "ruled": ruled})
+    table = rows.sparkSession.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in rules], "at string, start string, rule string, ruled string")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = rows.select("host", "path").distinct().withColumn("at", F.explode(suffixes)).join(table, "at").filter(F.col("path").startswith(F.col("start")))
+    best = asked.groupBy("host", "path").agg(F.max_by(F.struct("rule", "ruled"), F.struct(F.length("rule"), F.col("rule"))).alias("best"))
+    return rows.join(best.select("host", "path", "best.*"), ["host", "path"], "left")
+
+
 def class_path(path: Column) -> Column:
     """Segments with numbers and hexadecimal strings as classes, joined by /."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    classed = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b", "{x}"), r"\d+", "{n}"))
+    classed = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"(?i)\b(?=[0-9a-f-]*\d)[0-9a-f-]{8,}\b", "?x"), r"\d+", "?n"))
     return F.array_join(classed, "/")
 
 
@@ -106,13 +126,18 @@ def templates(paths: DataFrame) -> DataFrame:
         child = tree.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.count(F.lit(1)).alias("paths"))
         count = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("paths").alias("all_paths"), F.count(F.lit(1)).alias("kinds"))
         rare = (F.col("kinds") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("all_n"))
-        named = child.join(count, ["host", "template"]).withColumn("name", F.when(rare, "*").otherwise(F.col("seg")))
-        branch = named.groupBy("host", "template", "name").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
-        pooled = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "bad", "good")], F.count(F.lit(1)).alias("branches"))
-        cell = lambda seen, share: F.when(share > 0, F.pow(seen - F.col("n") * share, F.lit(2.0)) / (F.col("n") * share)).otherwise(0.0)
-        bad, good = F.col("all_bad") / F.col("all_n"), F.col("all_good") / F.col("all_n")
-        chi = cell(F.col("bad"), bad) + cell(F.col("good"), good) + cell(F.col("n") - F.col("bad") - F.col("good"), 1 - bad - good)
-        merged = branch.join(pooled, ["host", "template"]).withColumn("name2", F.when((F.col("branches") > 1) & (chi <= ALIKE), "~").otherwise(F.col("name")))
+        named = child.join(count, ["host", "template"]).withColumn("name", F.when(rare, "?*").otherwise(F.col("seg")))
+        branch = named.groupBy("host", "template", "name").agg(*[F.sum(c).alias(c) for c in ("bad", "good")])
+        weight = F.col("bad") + F.col("good") + PRIOR_WEIGHT
+        branch = branch.withColumns({"weight": weight, "rate": (F.col("bad") + PRIOR_WEIGHT * PRIOR_BAD) / weight})
+        # Windows over the branches of one node, of which there are 20 at most.
+        ordered = Window.partitionBy("host", "template").orderBy("rate", "name")
+        rate, m, rate0, m0 = F.col("rate"), F.col("weight"), F.lag("rate").over(ordered), F.lag("weight").over(ordered)
+        pooled = (rate * m + rate0 * m0) / (m + m0)
+        apart = F.pow(rate - rate0, F.lit(2.0)) > ALIKE * pooled * (1 - pooled) * (1 / m + 1 / m0)
+        merged = branch.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("cluster", 1 + F.sum("apart").over(ordered))
+        alike = F.count(F.lit(1)).over(Window.partitionBy("host", "template", "cluster"))
+        merged = merged.withColumn("name2", F.when(alike > 1, F.concat(F.lit("?"), F.col("cluster").cast("string"))).otherwise(F.col("name")))
         # A node's branch name follows from its segment: segment -> name -> name2.
         step = named.select("host", "template", "seg", "name", (F.col("all_paths") == 1).alias("alone")).join(merged.select("host", "template", "name", "name2"), ["host", "template", "name"]).drop("name")
         met = tree.join(step, ["host", "template", "seg"])
@@ -128,10 +153,11 @@ def templates(paths: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity."""
+    if id_col in ("host", "path", "rule", "verdict", "template", "purity", "ruled", "classes"):
+        raise ValueError(f"the id column {id_col!r} has the name of a result")
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.select(id_col, "host", "path", rule.alias("rule"), ruled.alias("ruled"), class_path(F.col("path")).alias("classes"))
+    rows = with_rules(pages.select(F.col(id_col), host.alias("host"), path.alias("path")), rules)
+    rows = rows.select(id_col, "host", "path", "rule", "ruled", class_path(F.col("path")).alias("classes"))
     counts = rows.groupBy("host", "classes").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count_if(F.col("ruled") == "allow").alias("good")
     )

@@ -194,9 +194,73 @@ def test_joins_instead_of_broadcasts_change_nothing(spark, sf_dir, monkeypatch):
     assert sorted(map(tuple, url_filter.judge_urls(pages, RULES).collect()), key=repr) == want
 
 
-def test_too_many_rules(spark):
+def test_many_rules_as_a_table(spark, sf_dir, monkeypatch):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = sorted(map(tuple, url_filter.judge_urls(pages, RULES).collect()), key=repr)
+    monkeypatch.setattr(url_filter, "MAX_RULES", 2)
+    assert sorted(map(tuple, url_filter.judge_urls(pages, RULES).collect()), key=repr) == want
     with pytest.raises(ValueError):
-        url_filter.longest_rule(F.lit("h"), F.lit("/"), [url_filter.Rule("block", f"h{i}/") for i in range(url_filter.MAX_RULES + 1)])
+        url_filter.judge_urls(pages.withColumnRenamed("page_id", "host"), RULES, id_col="host")
+
+
+def tree_by_hand(paths):
+    """Template of each (host, classes) from rows (host, classes, n, bad, good)."""
+    done = {}
+    work = [(h, "", [([s for s in c.split("/") if s], c, n, b, g) for hh, c, n, b, g in paths if hh == h]) for h in sorted({p[0] for p in paths})]
+    while work:
+        host, at, rows = work.pop()
+        done.update({(host, c): at for left, c, *_ in rows if not left})
+        rows = [r for r in rows if r[0]]
+        if len(rows) == 1:
+            left, c, *_ = rows[0]
+            done[(host, c)] = "/".join([at, *left])
+            continue
+        pages = Counter()
+        for left, _, n, _, _ in rows:
+            pages[left[0]] += n
+        many = len(pages) > url_filter.MANY_CHILDREN
+        name = {s: "?*" if many and n < url_filter.RARE_SHARE * sum(pages.values()) else s for s, n in pages.items()}
+        bad, good = Counter(), Counter()
+        for left, _, _, b, g in rows:
+            bad[name[left[0]]] += b
+            good[name[left[0]]] += g
+        weight = {x: bad[x] + good[x] + 4.0 for x in set(name.values())}
+        rate = {x: (bad[x] + 0.4) / w for x, w in weight.items()}
+        order = sorted(weight, key=lambda x: (rate[x], x))
+        cluster = {}
+        for i, x in enumerate(order):
+            k = cluster[order[i - 1]] if i else 1
+            if i:
+                y = order[i - 1]
+                p = (rate[x] * weight[x] + rate[y] * weight[y]) / (weight[x] + weight[y])
+                k += (rate[x] - rate[y]) ** 2 > 3.841 * p * (1 - p) * (1 / weight[x] + 1 / weight[y])
+            cluster[x] = k
+        final = {x: f"?{cluster[x]}" if list(cluster.values()).count(cluster[x]) > 1 else x for x in order}
+        below = {}
+        for left, *r in rows:
+            below.setdefault("/".join([at, final[name[left[0]]]]), []).append((left[1:], *r))
+        work += [(host, t, some) for t, some in below.items()]
+    return done
+
+
+def test_templates_against_a_tree_by_hand(spark):
+    rng = random.Random(5)
+    rows = []
+    for host in ("a.com", "b.com"):
+        for s in ("news", "shop", "casino", "pills", "blog", "*", "?", "~", "{n}"):
+            for i in range(rng.randint(5, 40)):
+                rows.append((host, f"{s}/{rng.choice(['x', 'y', 'z'])}/{rng.choice('abcdefghijklmnopqrstuvwxyz')}", s))
+    counts = Counter()
+    for host, c, s in rows:
+        counts[(host, c, s)] += 1
+    paths = [(h, c, n, n if s == "casino" else n // 2 if s == "pills" else 0, n if s in ("news", "blog") else 0) for (h, c, s), n in sorted(counts.items())]
+    df = spark.createDataFrame(paths, "host string, classes string, n long, bad long, good long")
+    got = {(r["host"], r["classes"]): r["template"] for r in url_filter.templates(df).collect()}
+    assert got == tree_by_hand(paths)
+    by = {}
+    for r in url_filter.templates(df).collect():
+        by.setdefault(r["classes"].split("/")[0], set()).add(r["purity"] >= url_filter.REJECT)
+    assert by["casino"] == {True} and by["news"] == by["blog"] == by["shop"] == {False}
 
 
 def test_preferences(spark):
