@@ -10,12 +10,20 @@ four bytes; the tables below hold it for each known context and byte of any
 language, exactly, with one array of columns per language.  A text's code
 length in a language is the sum over all its bytes; the shortest wins.
 
+The score is the posterior of the best language, all alike before, on the evidence
+of ``EVIDENCE`` average bytes of the text (or of all, if it has fewer): with all
+bytes it would be 1 for any text of some words.  So it says how far the text
+as a whole is from the next languages, and one that fits several alike, as
+lists of codes or mixtures do, has a low score.
+
 Training counts bytes on executors over a bounded sample of labelled texts:
 about ``SAMPLE_ROWS`` of each language, chosen by a hash of text and id, so that it
 is the same whatever the partitions and copies of a text under different ids are
-chosen apart; rows that agree in both, or a table without ids, come in together
-or not at all.  Only counts reach the driver.  The model
-is a few megabytes and is bound by ``MAX_GRAMS`` entries.
+chosen apart; rows that agree in both, or a table without ids, count once.
+Only counts reach the driver; they grow with the sample, not with the corpus.
+Languages are taken in groups of ``GROUP``, each with tables of its own; code
+lengths of one language do not depend on others, so several groups are as many
+passes, each of which hands on the best language so far.
 
 Edge cases: a null text or one without letters gets ``und`` and score 0; texts
 of any length are scored whole, in blocks; if nothing can be learned, every
@@ -34,14 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, free_name, small_batches, tidied, with_text
+from .common import claim, free_name, small_batches, tidied, with_text, written
 
 #: Rows to learn from, of each language, as expected under the row hash.
 SAMPLE_ROWS = 1_500
-#: Most frequent languages that a model tells apart.
-MAX_LANGUAGES = 256
-#: Four-byte entries kept, the most frequent first.
-MAX_GRAMS = 2_000_000
+#: Languages of one set of tables, which a worker holds.
+GROUP = 16
+#: Bytes on whose evidence the score is given.
+EVIDENCE = 4.0
 #: Bytes scored at a time.
 BLOCK = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -209,32 +217,40 @@ def _count_part(languages: list[str]):
     return run
 
 
-def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
-    """A model from the rows of ``docs`` for which ``teach`` holds."""
+def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[Model]:
+    """Models of groups of languages, from the rows for which ``teach`` holds; none
+    if there is nothing to learn."""
     rows = docs.filter(teach & F.col(lang_col).isNotNull() & (F.col(lang_col) != ""))
-    found = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect()
-    if not found:
-        return None
-    sizes = {r[lang_col]: r["n"] for r in found}
+    # The languages that labels name, one small row each.
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).agg(F.count(F.lit(1))).collect()}
     languages = sorted(sizes)
     span = 1 << 32
-    below = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(span, SAMPLE_ROWS * span // sizes[lang]))])
+    models = []
     # The hash is of text and id alone, so a row is chosen wherever it lies.
     place = F.pmod(F.xxhash64(F.lit("sample"), *[c for c in (text_col, id_col) if c in docs.columns]), F.lit(span))
-    sample = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"), place.alias("p")).filter(F.col("text").isNotNull() & (F.col("p") < below[F.col("lang")]))
-    counts = small_batches(sample.select("text", "lang")).mapInArrow(tidied(_count_part(languages)), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = counts.orderBy(F.desc("n"), "gram", "lang").limit(MAX_GRAMS).toArrow()
-    if not got.num_rows:
-        return None
-    return Model.fit(languages, got["lang"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy())
-
-
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text", results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the language and its score, the posterior of the best one."""
-    keep = [c for c in docs.columns if c not in results]
-    given, text_at = with_text(docs, keep, text_col)
-    at = len(keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    for lo in range(0, len(languages), GROUP):
+        some = languages[lo : lo + GROUP]
+        below = F.create_map(*[F.lit(x) for lang in some for x in (lang, min(span, SAMPLE_ROWS * span // sizes[lang]))])
+        lang = F.col(lang_col).cast("string")
+        sample = rows.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang"), place.alias("p")).filter(F.col("text").isNotNull() & (F.col("p") < F.try_element_at(below, "lang")))
+        sample = sample.dropDuplicates(["p", "lang"])
+        counts = small_batches(sample.select("text", "lang")).mapInArrow(tidied(_count_part(some)), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        got = counts.toArrow()
+        if got.num_rows:
+            models.append(Model.fit(some, got["lang"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy()))
+    return models
+
+
+def score_of(gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sum over languages of their odds against the best one, from bits more than
+    its code length, on the evidence of a few average bytes."""
+    part = np.minimum(1.0, EVIDENCE / np.maximum(sizes, 1))
+    return np.exp2(-np.minimum(gaps * part[:, None], 1000.0)).sum(axis=1)
+
+
+def _predict_part(shared, text_at: int, ok_at: int, before: int | None, keep: int, names: list[str]):
+    """Columns ``keep`` (the first ones) and the best language, its bits and the
+    sum of odds; ``before`` is where these stand for languages that came before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("language", lambda: None)
@@ -242,18 +258,43 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", result
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 b = whole.slice(lo, 1024)
-                ok = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
-                lang = np.full(b.num_rows, "und", dtype=object)
-                score = np.zeros(b.num_rows)
-                if model is not None and ok.any():
-                    texts = [t.lower().encode("utf-8", "surrogatepass") for t, k in zip(b.column(text_at).to_pylist(), ok) if k]
-                    bits = model.lengths(texts)
-                    best = bits.argmin(axis=1)
-                    lang[ok] = np.array(model.languages, dtype=object)[best]
-                    odds = np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000.0))
-                    score[ok] = 1.0 / odds.sum(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(lang, pa.string()), pa.array(score)], names=[*keep, *results])
-
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+                ok = b.column(ok_at).to_numpy(zero_copy_only=False).astype(bool)
+                lang, bits, odds = np.full(b.num_rows, "und", dtype=object), np.zeros(b.num_rows), np.zeros(b.num_rows)
+                if ok.any():
+                    texts = [t.as_py().lower().encode("utf-8", "surrogatepass") for t, k in zip(b.column(text_at), ok) if k]
+                    size = np.array([len(t) for t in texts])
+                    length = model.lengths(texts)
+                    least = length.min(axis=1)
+                    mine, total = np.array(model.languages, dtype=object)[length.argmin(axis=1)], score_of(length - least[:, None], size)
+                    if before is not None:
+                        old_lang, old_least, old_total = (b.column(before + i).to_numpy(zero_copy_only=False)[ok] for i in range(3))
+                        best = np.minimum(least, old_least)
+                        total = total * score_of((least - best)[:, None], size) + old_total * score_of((old_least - best)[:, None], size)
+                        mine, least = np.where(old_least <= least, old_lang, mine), best
+                    lang[ok], bits[ok], odds[ok] = mine, least, total
+                yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(lang, pa.string()), pa.array(bits), pa.array(odds)], names=names)
+
+    return tidied(run)
+
+
+def predict(docs: DataFrame, models: list[Model], text_col: str = "text", results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score."""
+    keep = [c for c in docs.columns if c not in results]
+    if not models:
+        return docs.select(*keep, F.lit("und").alias(results[0]), F.lit(0.0).alias(results[1]))
+    given, text_at = with_text(docs, keep, text_col)
     given = given.withColumn(free_name(given, "lettered"), F.coalesce(F.col(given.columns[text_at]).rlike(r"\p{L}"), F.lit(False)))
-    return small_batches(given).mapInArrow(tidied(run), f"{schema}, `{results[0]}` string, `{results[1]}` double")
+    ok_at = len(given.columns) - 1
+    state = [free_name(given, n) for n in ("best_lang", "best_bits", "best_odds")]
+    rows = given
+    for i, model in enumerate(models):
+        last = i == len(models) - 1
+        names = [*(keep if last else given.columns), *state]
+        kinds = [*(given.schema[c].dataType.simpleString() for c in names[:-3]), "string", "double", "double"]
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        run = _predict_part(shared, text_at, ok_at, ok_at + 1 if i else None, len(names) - 3, names)
+        rows = small_batches(rows).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in zip(names, kinds)))
+        if not last:
+            # One group's tables at a time: the next pass has tasks of its own.
+            rows = written(rows, "languages")
+    return rows.select(*keep, F.col(state[0]).alias(results[0]), F.when(F.col(state[2]) > 0, 1.0 / F.col(state[2])).otherwise(0.0).alias(results[1]))

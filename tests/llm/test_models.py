@@ -71,8 +71,25 @@ def test_language_edge_cases(odd_docs, no_docs):
     got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in langid.predict(odd_docs, model).collect()}
     assert got[(4, None)] == got[(5, "")] == got[(6, "   ")] == got[(9, "12 34 !!")] == ("und", 0.0)
     assert got[(7, "a")][0] == "en"
-    assert langid.fit(no_docs, F.lit(True)) is None and langid.predict(no_docs, None).count() == 0
-    assert {r["lang_pred"] for r in langid.predict(odd_docs, None).collect()} == {"und"}
+    assert langid.fit(no_docs, F.lit(True)) == [] and langid.predict(no_docs, []).count() == langid.predict(no_docs, model).count() == 0
+    assert {r["lang_pred"] for r in langid.predict(odd_docs, []).collect()} == {"und"}
+
+
+def test_groups_of_languages_change_nothing(spark, docs, monkeypatch):
+    some = docs.select("doc_id", "text", "lang")
+    ask = lambda: {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(some, langid.fit(docs, F.lit(True))).collect()}
+    want = ask()
+    monkeypatch.setattr(langid, "GROUP", 1)
+    assert ask() == want and len({lang for lang, _ in want.values()}) > 3
+
+
+def test_scores_tell_how_far_languages_are_apart(spark, docs):
+    models = langid.fit(docs, F.lit(True))
+    texts = {r["lang"]: r["text"] for r in docs.filter("lang is not null and n_chars between 300 and 3000").orderBy("doc_id").collect()}
+    (a, one), (b, two), *_ = sorted(texts.items())
+    rows = [(0, one), (1, two), (2, one[:150] + " " + two[:150]), (3, "1x 7z 9q 4w 0v " * 20)]
+    got = {r["doc_id"]: r["score"] for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), models).collect()}
+    assert min(got[0], got[1]) > max(got[2], got[3]) and all(0 < x < 1 for x in got.values())
 
 
 def test_language_sample_takes_its_share_of_copies(spark, monkeypatch):
@@ -215,3 +232,44 @@ def test_nearest_of_very_large_and_mixed_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect()]
     inf = float("inf")
     assert got == [(0, 1, 1, inf), (0, 2, 2, -inf), (20, 1, 21, 1.0)]
+
+
+def test_quality_learns_from_long_texts_and_bounds_its_sample(spark, monkeypatch):
+    long = " ".join(["Fine words stand here in good order."] * 3000)
+    bad = " ".join(["BUY!! NOW!! $$$ 999%%"] * 5000)
+    rows = [(i, long if i % 2 else bad) for i in range(40)] + [(1000, long[:60_000]), (1001, bad[:60_000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    model = quality.fit(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert got[1001] < 0.5 < got[1000] and got[0] < 0.1 and got[1] > 0.9
+    # A hot id doesn't fill the sample, and equal labels count once.
+    seen = []
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 20)
+    monkeypatch.setattr(quality, "train", lambda context, x, y, share: seen.append((len(y), share)))
+    hot = docs.unionByName(spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("more "), F.col("id").cast("string")).alias("text")))
+    quality.fit(hot, labels.unionByName(labels), F.lit(True))
+    assert seen[0][0] <= 80 and seen[0][1] == 0.5
+
+
+def test_pooled_features_against_their_definition(spark):
+    texts = ["aa bb aa aa", "", None, "Zq9% bb", "x" * 100 + " yy"]
+    context = quality.context_vectors(spark.createDataFrame([("aa bb cc aa bb",)] * 6, "text string"))
+    assert set(context) == {"aa", "bb", "cc"}
+    pairs = Counter()
+    w = "aa bb cc aa bb".split()
+    for i in range(5):
+        for j in range(max(0, i - 2), min(5, i + 3)):
+            if i != j:
+                pairs[(w[i], w[j])] += 6
+    for word in context:
+        v = sum(np.log1p(n) * quality.index_vector("word " + b) for (a, b), n in pairs.items() if a == word)
+        assert np.allclose(context[word], v / np.linalg.norm(v), atol=1e-5)
+    got = quality.WordTable(context).pooled(texts)
+    for text, row in zip(texts, got):
+        words = (text or "").split()
+        vectors = [context.get(x, 0) + quality.index_vector("shape " + quality.shape_of(x)) + 0.5 * quality.index_vector("end " + x[-2:].lower()) for x in words]
+        mean = np.mean(vectors, axis=0) if words else np.zeros(quality.DIM)
+        assert np.allclose(row[: quality.DIM], mean, atol=1e-5)
+        again = np.mean([np.allclose(a, b) for a, b in zip(vectors, vectors[1:])]) if len(words) > 1 else 0
+        assert np.allclose(row[quality.DIM :], [np.log1p(len(words)), len(words) == 0, again])
