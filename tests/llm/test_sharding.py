@@ -47,3 +47,54 @@ def test_query_is_native(spark, sf_dir):
     import zlib
 
     assert row["size"] == len(text.encode()) + 1 and row["text_crc32"] == zlib.crc32(text.encode()) and row["law"] == "rows"
+
+
+def feistel_by_hand(number, n, seed):
+    """The permutation in plain Python, with the hash of 64-bit numbers from its
+    own library."""
+    import math
+
+    import xxhash
+
+    def chained(*values):
+        h = 42
+        for v, size in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(size, "little"), seed=h)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    x = number
+    while True:
+        left, right = divmod(x, b)
+        for i in range(4):
+            left = (left + chained((right, 8), (2 * i, 4), (seed, 4)) % a) % a
+            right = (right + chained((left, 8), (2 * i + 1, 4), (seed, 4)) % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [5, 77, 3000])
+def test_feistel_by_hand(spark, n):
+    got = [r[0] for r in spark.range(n).orderBy("id").select(feistel(F.col("id"), n, 3).alias("p")).collect()]
+    assert got == [feistel_by_hand(i, n, 3) for i in range(n)]
+
+
+def test_equal_rows_are_spread_over_buckets(spark, monkeypatch):
+    from geoview.llm import sharding
+
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    rows = spark.range(6000).select(F.when(F.col("id") < 2000, 7).when(F.col("id") < 3000, 8).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 3000, "same").otherwise("other").alias("text"))
+
+    def place(df):
+        out = {}
+        for r in shard_rows(df, 16, seed=1).collect():
+            out.setdefault((r["doc_id"], r["text"]), []).append((r["shard"], r["slot"]))
+        return {k: sorted(v) for k, v in out.items()}
+
+    got = place(rows)
+    assert sorted(x for v in got.values() for x in v) == sorted((s, i) for s in range(16) for i in range(375))
+    assert got == place(rows.repartition(7, "text")) and len(got[(7, "same")]) == 2000
+    plan = shard_rows(rows, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
