@@ -87,4 +87,4 @@ def format_neighbours(turns: DataFrame, trained: tuple[str, ...] = ("assistant",
         F.expr("conv_id - pmod(conv_id, 2L)").alias("base"), "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     side = F.when(F.col("conv_id") == F.col("base"), "chosen").otherwise("rejected")
-    return _formatted(rows.select((F.col("base") / 2).cast("long").alias("pair_id"), side.alias("side"), "conv_id", "turn", "role", "text"), trained)
+    return _formatted(rows.select(F.expr("base div 2").alias("pair_id"), side.alias("side"), "conv_id", "turn", "role", "text"), trained)

@@ -8,7 +8,8 @@ row groups and pages have set sizes and carry page indexes, so a reader of some
 alone skips the id pages.
 
 Edge cases: a null or empty text has only the end id; null ids come first; rows
-with equal ids stand next to each other in order of their texts; an empty table
+with equal ids stand next to each other, in an order that follows from their
+texts, and many of one id lie in several files; an empty table
 gives an empty set of files; other columns are not written.
 """
 
@@ -71,7 +72,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
     whole, small = T.LongType(), T.IntegerType()
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("part", small), T.StructField("first", whole), T.StructField("n_tokens", whole), T.StructField("ids", T.ArrayType(small, False))])
     out = small_batches(ordered).mapInArrow(tidied(_encode_part(tokenizer_path, end_id)), schema).withColumnRenamed("id", id_col)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from geoview.llm import packing, token_files
@@ -121,3 +122,40 @@ def test_special_tokens_are_those_of_the_unchanged_library(spark, docs, tmp_path
     assert got == {i: ids(t) + [2] for i, t in enumerate(texts)}
     pieces = packing.pack_documents(table, bpe_path(), 1, 2048).collect()
     assert {p["doc_id"]: np.frombuffer(p["ids"], "<u4").tolist() for p in pieces} == {i: ids(t) + [1] for i, t in enumerate(texts)}
+
+
+def test_a_hot_id_lies_in_several_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.range(4000).select(F.when(F.col("id") < 3000, 5).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+        token_files.write_token_files(docs, str(tmp_path / "t"), bpe_path(), end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = token_files.read_token_files(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows) and len(rows) == 4000
+    assert [r["start"] for r in rows[1:]] == np.cumsum([r["n_tokens"] for r in rows])[:-1].tolist()
+    parts = spark.read.parquet(str(tmp_path / "t")).filter("doc_id = 5").select("part").distinct().count()
+    assert parts > 1
+
+
+def test_selective_reads_skip_pages(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some text of a document"), F.col("id").cast("string")).alias("text")).coalesce(1)
+    at = str(tmp_path / "t")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_files.write_token_files(docs, at, bpe_path(), end_id=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    meta = pq.ParquetFile(next((tmp_path / "t").glob("*.parquet"))).metadata
+    columns = {meta.row_group(0).column(i).path_in_schema.split(".")[0]: meta.row_group(0).column(i) for i in range(meta.num_columns)}
+    assert meta.num_row_groups == 1 and all(c.has_column_index and c.has_offset_index for c in columns.values())
+    assert columns["n_tokens"].total_compressed_size < columns["ids"].total_compressed_size / 5
+    some = spark.read.parquet(at).filter("doc_id = 7777").select("doc_id", "n_tokens", "ids")
+    assert [r["doc_id"] for r in some.collect()] == [7777]
+    plan = some._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    scanned = leaves.apply(0).metrics().apply("numOutputRows").value()
+    # One page of ids of 2,000 rows, not the row group's 20,000.
+    assert 0 < scanned <= 4000
