@@ -11,6 +11,10 @@ from ..functions.geometry import Aabb
 from ..functions.vec import Vec3
 
 
+#: Frames whose growth one task adds up.
+RANGE = 1 << 16
+
+
 def strided(frames: DataFrame, pos: Column, initial_skip: int = 0, skip: int = 1, count: int | None = None) -> DataFrame:
     """Rows initial_skip, initial_skip + skip, ... of the first count + initial_skip."""
     keep = (pos >= initial_skip) & (F.pmod(pos - initial_skip, F.lit(skip)) == 0)
@@ -66,10 +70,13 @@ def shutter_plan(spark, shots: int, reference: int, grow: Callable[[Column], Col
     than shots - reference.  If growth stays at 0 the plan ends after ``shots``
     frames, where a loop would not end.
     """
-    i = F.col("frame")
-    upto = F.aggregate(F.transform(F.sequence(F.lit(0), i.cast("int")), lambda k: grow(k).cast("long")), F.lit(0).cast("long"), lambda a, g: a + g)
-    plan = spark.range(max(shots - reference, 0)).select(F.col("id").alias("frame")).withColumn("grown", upto)
-    before = F.col("grown") - grow(i.cast("int")).cast("long")
+    # Sums within ranges of frames, and one row for each range before them.
+    rows = spark.range(max(shots - reference, 0)).select(F.col("id").alias("frame")).withColumns({"grow__": grow(F.col("frame").cast("int")).cast("long"), "range__": F.expr(f"frame div {RANGE}")})
+    within = F.sum("grow__").over(Window.partitionBy("range__").orderBy("frame"))
+    ahead = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("range__").agg(F.sum("grow__").alias("n__")).select("range__", F.coalesce(F.sum("n__").over(ahead), F.lit(0)).alias("start__"))
+    plan = rows.withColumn("within__", within).join(starts, "range__").withColumn("grown", F.col("start__") + F.col("within__"))
+    before = F.col("grown") - F.col("grow__")
     first = F.greatest(F.lit(reference) - F.col("grown"), F.lit(0)) if symmetrical else F.lit(reference).cast("long")
     last = F.least(F.lit(reference) + F.col("grown") + 1, F.lit(shots))
     return plan.filter(before < shots - reference).select("frame", "grown", first.cast("long").alias("first"), last.cast("long").alias("last"))

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 #: Rows under which the small side of a lookup is broadcast.
 BROADCAST_ROWS = 200_000
+#: Keys whose quantiles cut a floor lookup into ranges.
+SAMPLE_KEYS = 8_192
+RANGE_ROWS = 100_000
+MAX_RANGES = 512
 
 
 def _small(df: DataFrame, rows: int | None) -> DataFrame:
@@ -90,31 +94,43 @@ def neighbours(frames: DataFrame, before: Column | int, after: Column | int, str
     return wanted.select(flight_col, frame_col, "n.*").join(there, [flight_col, "neighbour_id"]).select(flight_col, frame_col, "neighbour_id", "phase")
 
 
-def floor_lookup(probes: DataFrame, table: DataFrame, key_col: str, value_cols: list[str], by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+def _range_of(key: Column, edges: list) -> Column:
+    """How many of the sorted ``edges`` are not above ``key``, by halving."""
+
+    def at(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < F.lit(edges[mid]), at(lo, mid)).otherwise(at(mid + 1, hi))
+
+    return at(0, len(edges))
+
+
+def floor_lookup(probes: DataFrame, table: DataFrame, key_col: str, value_cols: list[str], by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """``probes`` with the values at the greatest key of ``table`` that is not
     above theirs; null where there is none, as for a null key.
 
-    Keys are cut into ranges of equal width between the least and the greatest
-    (one small aggregate); a running last value within each (by, range) answers
-    most probes, and the last row of the nearest earlier range that has one, from
-    a summary of one row per range, answers the others.  So no task holds all
-    keys, with or without ``by``.
+    Keys, of any type that has an order, are cut into ranges of about as many
+    rows each, at quantiles of ``SAMPLE_KEYS`` of them; a running last value within
+    each (by, range) answers most probes, and the last row of the nearest earlier
+    range that has one, from a summary of one row for each range that exists,
+    answers the others.  So no task holds all keys, with or without ``by``.  There
+    are ``buckets`` ranges, or one for every ``RANGE_ROWS`` rows of the table, up to
+    ``MAX_RANGES``.
     """
     by = by or []
-    ends = table.agg(F.min(key_col), F.max(key_col)).first()
-    low, high = (0, 1) if ends[0] is None else (ends[0], ends[1])
-    width = max((high - low) / buckets, 1e-12)
-    at = F.floor((F.col(key_col) - F.lit(low)) / F.lit(float(width))).cast("long")
-    at = F.greatest(F.lit(-1), F.least(F.lit(buckets), at))
+    buckets = buckets or min(MAX_RANGES, max(8, table.count() // RANGE_ROWS))
+    some = sorted(r[0] for r in table.select(key_col).filter(F.col(key_col).isNotNull()).orderBy(F.rand(7)).limit(SAMPLE_KEYS).collect())
+    edges = sorted({some[len(some) * i // buckets] for i in range(1, buckets)}) if some else []
+    at = _range_of(F.col(key_col), edges)
     hit = F.struct(F.col(key_col).alias("key__"), *value_cols)
     rows = table.filter(F.col(key_col).isNotNull()).select(*by, key_col, hit.alias("hit__"), at.alias("bucket__"))
-    last = rows.groupBy(*by, "bucket__").agg(F.max_by("hit__", "hit__.key__").alias("hit__"))
-    grid = Window.partitionBy(*by).orderBy("bucket__")
-    # The summary has at most ``buckets`` + 2 rows for each value of ``by``.
-    spans = last.select(*by, F.col("bucket__").alias("from__"), F.col("hit__").alias("before__"), F.coalesce(F.lead("bucket__").over(grid), F.lit(buckets + 1)).alias("to__"))
-    spans = spans.select(*by, "before__", F.explode(F.sequence(F.col("from__") + 1, F.greatest("to__", F.col("from__") + 1))).alias("bucket__"))
     asked = probes.withColumn("bucket__", at).withColumn("hit__", F.lit(None).cast(rows.schema["hit__"].dataType)).withColumn("probe__", F.lit(True))
     both = asked.unionByName(rows.withColumn("probe__", F.lit(False)), allowMissingColumns=True)
+    last = both.groupBy(*by, "bucket__").agg(F.max_by("hit__", F.when(~F.col("probe__"), F.col(key_col))).alias("last__"))
+    # A window over at most ``buckets`` rows for each value of ``by``.
+    earlier = Window.partitionBy(*by).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+    spans = last.select(*by, "bucket__", F.last("last__", ignorenulls=True).over(earlier).alias("before__"))
     order = Window.partitionBy(*by, "bucket__").orderBy(F.col(key_col), F.col("probe__")).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("hit__", F.last("hit__", ignorenulls=True).over(order)).filter("probe__").join(spans, [*by, "bucket__"], "left")
     got = F.when(F.col(key_col).isNotNull(), F.coalesce("hit__", "before__"))

@@ -11,17 +11,24 @@ EPSILON = 1e-9
 #: Cells of the XY grid that one triangle or one ray's ground track may cover
 #: before it goes to the coarser grid.
 MAX_CELLS = 64
+#: Bytes of a mesh that is broadcast, with all copies of its triangles in grids.
+MESH_BYTES = 8 << 20
+#: Bytes of a triangle in one grid: nine cells at most where it is of mean size.
+PLACED_BYTES = 9 * 128
 
 
 def hit_distance(o: Vec3, d: Vec3, a: Vec3, b: Vec3, c: Vec3) -> Column:
-    """Distance along the ray to the triangle (Moeller-Trumbore), or null."""
-    e1, e2 = b - a, c - a
-    p = d.cross(e2)
-    det = e1.dot(p)
+    """Distance along the ray to the triangle, or null."""
+    return plane_distance(o, d, a, b - a, c - a, (b - a).cross(c - a))
+
+
+def plane_distance(o: Vec3, d: Vec3, a: Vec3, e1: Vec3, e2: Vec3, n: Vec3) -> Column:
+    """As ``hit_distance``, from two edges and their cross product, which belong to
+    the triangle alone: barycentric weights follow from s x d with s = o - a."""
+    det = -d.dot(n)
     s = o - a
-    u = s.dot(p) / det
-    q = s.cross(e1)
-    v, t = d.dot(q) / det, e2.dot(q) / det
+    m = s.cross(d)
+    u, v, t = e2.dot(m) / det, -e1.dot(m) / det, s.dot(n) / det
     hit = (F.abs(det) > EPSILON) & (u >= -EPSILON) & (v >= -EPSILON) & (u + v <= 1 + EPSILON) & (t > EPSILON)
     return F.when(hit, t)
 
@@ -47,64 +54,81 @@ def raycast(rays: DataFrame, triangles: DataFrame, include_misses: bool = False,
     equi-join.  Cell size follows from the mean extent of triangles, and the
     track's cells are those of its bounding box, or of a grid twice, four times
     ... as coarse where these would be more than ``MAX_CELLS``; triangles stand
-    in every grid that some ray uses.  Ties at equal distance go to the least
-    tid.  One aggregate over the mesh runs at once; rays are read once.
+    in every grid that some ray uses.  A mesh that takes at most ``MESH_BYTES`` in
+    all grids is broadcast; then rays are shuffled once, by their id.  What is kept
+    of a ray goes along with its hits, of which each task keeps the nearest.  Ties at equal distance go to the least
+    tid.  One aggregate over the mesh runs at once.
     """
     span = triangles.agg(
         F.min(F.least("az", "bz", "cz")).alias("z0"), F.max(F.greatest("az", "bz", "cz")).alias("z1"),
         F.min(F.least("ax", "bx", "cx")).alias("x0"), F.max(F.greatest("ax", "bx", "cx")).alias("x1"),
         F.min(F.least("ay", "by", "cy")).alias("y0"), F.max(F.greatest("ay", "by", "cy")).alias("y1"),
+        F.count(F.lit(1)).alias("n"),
         F.avg(F.greatest("ax", "bx", "cx") - F.least("ax", "bx", "cx") + F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy")).alias("extent"),
     ).first()
     keep = keep or []
     rays = rays.select("ray_id", *keep, "ox", "oy", "oz", "dx", "dy", "dz")
-    found: DataFrame
     if span["z0"] is None:
-        found = rays.select("ray_id").limit(0).withColumns({"tid": F.lit(None).cast("long"), "t": F.lit(None).cast("double")})
+        none = rays.withColumns({"tid": F.lit(None).cast("long"), "t": F.lit(None).cast("double")})
+        return _with_points(none if include_misses else none.limit(0), keep)
+    cell = max((span["extent"] or 1.0) / 2, 1e-6)
+    levels = 1
+    while (span["x1"] - span["x0"] + span["y1"] - span["y0"]) / (cell * 2 ** (levels - 1)) > 8 and levels < 24:
+        levels += 1
+    # Distances at which the ray crosses the height range; a level ray
+    # crosses all of it or none.
+    down = F.abs(F.col("dz")) > EPSILON
+    t0, t1 = (span["z0"] - F.col("oz")) / F.col("dz"), (span["z1"] - F.col("oz")) / F.col("dz")
+    reach = abs(span["x1"] - span["x0"]) + abs(span["y1"] - span["y0"])
+    near = F.when(down, F.greatest(F.least(t0, t1), F.lit(0.0))).otherwise(F.lit(0.0))
+    flat = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    # Only the part of a track over the mesh matters.
+    away = F.greatest(F.abs(F.col("ox") - span["x0"]), F.abs(F.col("ox") - span["x1"])) + F.greatest(F.abs(F.col("oy") - span["y0"]), F.abs(F.col("oy") - span["y1"])) + reach
+    far = F.when(down, F.greatest(t0, t1)).otherwise(F.when(flat > 0, away / flat).otherwise(F.lit(0.0)))
+    # Distances become columns before boxes use them, which keeps the
+    # generated code small.
+    spanned = rays.withColumns({"near": near, "far": far})
+    near, far = F.col("near"), F.col("far")
+    box = {}
+    for c in "xy":
+        a, b = F.col(f"o{c}") + near * F.col(f"d{c}"), F.col(f"o{c}") + far * F.col(f"d{c}")
+        pad = cell * 1e-6
+        box[f"{c}lo"] = F.greatest(F.least(a, b) - pad, F.lit(span[f"{c}0"] - pad))
+        box[f"{c}hi"] = F.least(F.greatest(a, b) + pad, F.lit(span[f"{c}1"] + pad))
+    tracks = spanned.withColumns(box).filter((F.col("xlo") <= F.col("xhi")) & (F.col("ylo") <= F.col("yhi")) & (far >= 0)).drop("near", "far")
+    cells = lambda lo, hi, size: F.floor(F.col(hi) / size) - F.floor(F.col(lo) / size) + 1
+    level = F.lit(levels - 1)
+    for i in reversed(range(levels)):
+        size = cell * 2**i
+        level = F.when(cells("xlo", "xhi", size) * cells("ylo", "yhi", size) <= MAX_CELLS, F.lit(i)).otherwise(level)
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    grid = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))
+    on_cells = lambda df: df.withColumn("gx", F.explode(grid("xlo", "xhi"))).withColumn("gy", F.explode(grid("ylo", "yhi")))
+    boxed = tracks.withColumn("level", level)
+    spread = {f"{c}{e}": f(f"a{c}", f"b{c}", f"c{c}") for c in "xy" for e, f in (("lo", F.least), ("hi", F.greatest))}
+    every = F.explode(F.array(*[F.lit(i) for i in range(levels)]))
+    # What belongs to a triangle alone is computed before it meets rays.
+    a, e1, e2 = _corner("a"), _corner("b") - _corner("a"), _corner("c") - _corner("a")
+    planes = triangles.select("tid", *[f"{k}{c}" for k in "abc" for c in "xyz"], *e1.columns("e1"), *e2.columns("e2"), *e1.cross(e2).columns("n"))
+    placed = on_cells(planes.withColumns(spread).withColumn("level", every)).select("level", "gx", "gy", "tid", "ax", "ay", "az", *[f"{k}{c}" for k in ("e1", "e2", "n") for c in "xyz"])
+    if span["n"] * levels * PLACED_BYTES <= MESH_BYTES:
+        placed = F.broadcast(placed)
+        # The one shuffle: by ray, as the nearest hits are taken.
+        tracks = on_cells(boxed.repartition("ray_id")).drop("xlo", "xhi", "ylo", "yhi")
     else:
-        cell = max((span["extent"] or 1.0) / 2, 1e-6)
-        levels = 1
-        while (span["x1"] - span["x0"] + span["y1"] - span["y0"]) / (cell * 2 ** (levels - 1)) > 8 and levels < 24:
-            levels += 1
-        # Distances at which the ray crosses the height range; a level ray
-        # crosses all of it or none.
-        down = F.abs(F.col("dz")) > EPSILON
-        t0, t1 = (span["z0"] - F.col("oz")) / F.col("dz"), (span["z1"] - F.col("oz")) / F.col("dz")
-        reach = abs(span["x1"] - span["x0"]) + abs(span["y1"] - span["y0"])
-        near = F.when(down, F.greatest(F.least(t0, t1), F.lit(0.0))).otherwise(F.lit(0.0))
-        flat = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-        # Only the part of a track over the mesh matters.
-        away = F.greatest(F.abs(F.col("ox") - span["x0"]), F.abs(F.col("ox") - span["x1"])) + F.greatest(F.abs(F.col("oy") - span["y0"]), F.abs(F.col("oy") - span["y1"])) + reach
-        far = F.when(down, F.greatest(t0, t1)).otherwise(F.when(flat > 0, away / flat).otherwise(F.lit(0.0)))
-        # Distances become columns before boxes use them, which keeps the
-        # generated code small.
-        spanned = rays.select("ray_id", "ox", "oy", "oz", "dx", "dy", "dz").withColumns({"near": near, "far": far})
-        near, far = F.col("near"), F.col("far")
-        box = {}
-        for c in "xy":
-            a, b = F.col(f"o{c}") + near * F.col(f"d{c}"), F.col(f"o{c}") + far * F.col(f"d{c}")
-            pad = cell * 1e-6
-            box[f"{c}lo"] = F.greatest(F.least(a, b) - pad, F.lit(span[f"{c}0"] - pad))
-            box[f"{c}hi"] = F.least(F.greatest(a, b) + pad, F.lit(span[f"{c}1"] + pad))
-        tracks = spanned.withColumns(box).filter((F.col("xlo") <= F.col("xhi")) & (F.col("ylo") <= F.col("yhi")) & (far >= 0)).drop("near", "far")
-        cells = lambda lo, hi, size: F.floor(F.col(hi) / size) - F.floor(F.col(lo) / size) + 1
-        level = F.lit(levels - 1)
-        for i in reversed(range(levels)):
-            size = cell * 2**i
-            level = F.when(cells("xlo", "xhi", size) * cells("ylo", "yhi", size) <= MAX_CELLS, F.lit(i)).otherwise(level)
-        size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
-        grid = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))
-        on_cells = lambda df: df.withColumn("gx", F.explode(grid("xlo", "xhi"))).withColumn("gy", F.explode(grid("ylo", "yhi")))
-        tracks = on_cells(tracks.withColumn("level", level)).drop("xlo", "xhi", "ylo", "yhi")
-        spread = {f"{c}{e}": f(f"a{c}", f"b{c}", f"c{c}") for c in "xy" for e, f in (("lo", F.least), ("hi", F.greatest))}
-        every = F.explode(F.array(*[F.lit(i) for i in range(levels)]))
-        placed = on_cells(triangles.withColumns(spread).withColumn("level", every)).drop("xlo", "xhi", "ylo", "yhi")
-        met = tracks.join(placed, ["level", "gx", "gy"])
-        t = hit_distance(Vec3.of("ox", "oy", "oz"), Vec3.of("dx", "dy", "dz"), *[_corner(k) for k in "abc"])
-        hits = met.select("ray_id", "tid", t.alias("t")).filter(F.col("t").isNotNull())
-        found = hits.groupBy("ray_id").agg(F.min(F.struct("t", "tid")).alias("h")).select("ray_id", F.col("h.tid").alias("tid"), F.col("h.t").alias("t"))
-    out = rays.join(found, "ray_id", "left" if include_misses else "inner")
-    return out.select("ray_id", *keep, "tid", "t", *[(F.col(f"o{c}") + F.col("t") * F.col(f"d{c}")).alias(c) for c in "xyz"])
+        tracks = on_cells(boxed).drop("xlo", "xhi", "ylo", "yhi")
+    met = tracks.join(placed, ["level", "gx", "gy"])
+    t = plane_distance(Vec3.of("ox", "oy", "oz"), Vec3.of("dx", "dy", "dz"), a, _corner("e1"), _corner("e2"), _corner("n"))
+    own = [c for c in rays.columns if c != "ray_id"]
+    hits = met.select(*rays.columns, "tid", t.alias("t")).filter(F.col("t").isNotNull()).select(*rays.columns, F.struct("t", "tid").alias("hit"))
+    if include_misses:
+        hits = hits.unionByName(rays.withColumn("hit", F.lit(None).cast(hits.schema["hit"].dataType)))
+    found = hits.groupBy("ray_id").agg(F.min("hit").alias("hit"), *[F.first(c).alias(c) for c in own])
+    return _with_points(found.withColumns({"tid": F.col("hit.tid"), "t": F.col("hit.t")}), keep)
+
+
+def _with_points(rays: DataFrame, keep: list[str]) -> DataFrame:
+    return rays.select("ray_id", *keep, "tid", "t", *[(F.col(f"o{c}") + F.col("t") * F.col(f"d{c}")).alias(c) for c in "xyz"])
 
 
 def interpolate(hits: DataFrame, triangles: DataFrame, values: list[str], keys: tuple[str, ...] = ("ray_id",)) -> DataFrame:

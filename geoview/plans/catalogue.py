@@ -379,8 +379,7 @@ EULERS = f"(SELECT *, radians(rot_z_deg) AS c, radians(cam_x % 90) AS a, radians
 
 
 @query(
-    f"""SELECT frame_id, {rs('sin(a) * sin(c) - cos(a) * sin(b) * cos(c)', 'bx', 9)}, {rs('sin(a) * cos(c) + cos(a) * sin(b) * sin(c)', 'by', 9)}, {rs('cos(a) * cos(b)', 'bz', 9)} FROM (
-  SELECT frame_id, -c AS c, a, b FROM {EULERS})""".replace("sin(a) * sin(c) - cos(a) * sin(b) * cos(c)", "cos(a) * sin(b) * cos(c) - sin(a) * sin(c)").replace("sin(a) * cos(c) + cos(a) * sin(b) * sin(c)", "-(cos(a) * sin(b) * sin(c) + sin(a) * cos(c))")
+    f"""SELECT frame_id, {rs('cos(a) * sin(b) * cos(c) + sin(a) * sin(c)', 'bx', 9)}, {rs('cos(a) * sin(b) * sin(c) - sin(a) * cos(c)', 'by', 9)}, {rs('cos(a) * cos(b)', 'bz', 9)} FROM {EULERS}"""
 )
 def transform_directions(spark, sf_dir):
     """The back direction of a pose turned about x, then y, then z."""
@@ -718,7 +717,7 @@ def label_json_reshape(spark, sf_dir):
     return out.select("flight_id", F.col("frame_id").cast("int").alias("frame_id"), "label_key", "label", "track", F.size("coordinates").alias("values"))
 
 
-@query(f"SELECT frame_id, CAST(flight_id AS VARCHAR) AS flight, frame_id AS frame, frame_id % 4 <> 3 AS is_image FROM {A.FRAMES}")
+@query(f"SELECT frame_id, CAST(flight_id AS VARCHAR) AS flight, frame_id AS frame, frame_id % 4 < 2 AS is_image FROM {A.FRAMES}")
 def filename_parse(spark, sf_dir):
     f = A.frames(spark, sf_dir)
     ending = F.element_at(F.array(*[F.lit(e) for e in ("png", "jpg", "PNG", "txt")]), (F.col("frame_id") % 4 + 1).cast("int"))

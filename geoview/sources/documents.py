@@ -17,7 +17,8 @@ def file_key(path: Column) -> tuple[Column, Column]:
 
 
 def is_image(path: Column) -> Column:
-    return F.lower(path).rlike(r"\.(png|jpg)$")
+    """Names that end in .png or .jpg, in small letters."""
+    return path.rlike(r"\.(png|jpg)$")
 
 
 def image_listing(spark: SparkSession, directory: str, flight: str | None = None) -> DataFrame:
