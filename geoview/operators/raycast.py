@@ -95,7 +95,9 @@ def raycast(rays: DataFrame, triangles: DataFrame, include_misses: bool = False,
         pad = cell * 1e-6
         box[f"{c}lo"] = F.greatest(F.least(a, b) - pad, F.lit(span[f"{c}0"] - pad))
         box[f"{c}hi"] = F.least(F.greatest(a, b) + pad, F.lit(span[f"{c}1"] + pad))
-    tracks = spanned.withColumns(box).filter((F.col("xlo") <= F.col("xhi")) & (F.col("ylo") <= F.col("yhi")) & (far >= 0)).drop("near", "far")
+    # A track beside the mesh covers no cells; a filter would be moved below and
+    # repeat all that rays are computed from.
+    tracks = spanned.withColumns(box).withColumn("over", (F.col("xlo") <= F.col("xhi")) & (F.col("ylo") <= F.col("yhi")) & (far >= 0)).drop("near", "far")
     cells = lambda lo, hi, size: F.floor(F.col(hi) / size) - F.floor(F.col(lo) / size) + 1
     level = F.lit(levels - 1)
     for i in reversed(range(levels)):
@@ -103,20 +105,20 @@ def raycast(rays: DataFrame, triangles: DataFrame, include_misses: bool = False,
         level = F.when(cells("xlo", "xhi", size) * cells("ylo", "yhi", size) <= MAX_CELLS, F.lit(i)).otherwise(level)
     size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
     grid = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size).cast("long"), F.floor(F.col(hi) / size).cast("long"))
-    on_cells = lambda df: df.withColumn("gx", F.explode(grid("xlo", "xhi"))).withColumn("gy", F.explode(grid("ylo", "yhi")))
+    on_cells = lambda df: df.withColumn("gx", F.explode(F.when(F.col("over"), grid("xlo", "xhi")))).withColumn("gy", F.explode(grid("ylo", "yhi")))
     boxed = tracks.withColumn("level", level)
     spread = {f"{c}{e}": f(f"a{c}", f"b{c}", f"c{c}") for c in "xy" for e, f in (("lo", F.least), ("hi", F.greatest))}
     every = F.explode(F.array(*[F.lit(i) for i in range(levels)]))
     # What belongs to a triangle alone is computed before it meets rays.
     a, e1, e2 = _corner("a"), _corner("b") - _corner("a"), _corner("c") - _corner("a")
     planes = triangles.select("tid", *[f"{k}{c}" for k in "abc" for c in "xyz"], *e1.columns("e1"), *e2.columns("e2"), *e1.cross(e2).columns("n"))
-    placed = on_cells(planes.withColumns(spread).withColumn("level", every)).select("level", "gx", "gy", "tid", "ax", "ay", "az", *[f"{k}{c}" for k in ("e1", "e2", "n") for c in "xyz"])
+    placed = on_cells(planes.withColumns(spread).withColumn("over", F.lit(True)).withColumn("level", every)).select("level", "gx", "gy", "tid", "ax", "ay", "az", *[f"{k}{c}" for k in ("e1", "e2", "n") for c in "xyz"])
     if span["n"] * levels * PLACED_BYTES <= MESH_BYTES:
         placed = F.broadcast(placed)
         # The one shuffle: by ray, as the nearest hits are taken.
-        tracks = on_cells(boxed.repartition("ray_id")).drop("xlo", "xhi", "ylo", "yhi")
+        tracks = on_cells(boxed.repartition("ray_id")).drop("xlo", "xhi", "ylo", "yhi", "over")
     else:
-        tracks = on_cells(boxed).drop("xlo", "xhi", "ylo", "yhi")
+        tracks = on_cells(boxed).drop("xlo", "xhi", "ylo", "yhi", "over")
     met = tracks.join(placed, ["level", "gx", "gy"])
     t = plane_distance(Vec3.of("ox", "oy", "oz"), Vec3.of("dx", "dy", "dz"), a, _corner("e1"), _corner("e2"), _corner("n"))
     own = [c for c in rays.columns if c != "ray_id"]

@@ -300,8 +300,8 @@ def shutter_growth(spark, sf_dir):
 )
 def focus_ramp(spark, sf_dir):
     """Every shot at every frame's focus, against which the camera moves."""
-    steps = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.struct(i.cast("long").alias("frame"), (F.lit(1.5) + i * ((9.0 - 1.5) / 12)).alias("z")))
-    rows = A.sequence(spark, sf_dir).select("shot", "size", F.explode(steps).alias("f"))
+    plan = fr.focus_plan(spark, 1.5, 9.0, 12).agg(F.array_sort(F.collect_list(F.struct("frame", "z"))).alias("plan"))
+    rows = A.sequence(spark, sf_dir).crossJoin(F.broadcast(plan)).select("shot", "size", F.explode("plan").alias("f"))  # one row of plan
     return rows.select("shot", "f.frame", r(F.col("size") - F.col("f.z"), "z"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import scenes  # noqa: F401  registers its queries
 from .plans.catalogue import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

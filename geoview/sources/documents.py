@@ -37,16 +37,20 @@ def read_poses(spark: SparkSession, path: str, count: int | None = None, fovy: f
     degrees (applied as z, y, x), one of four a quaternion; other lengths, and a
     missing file, location or rotation, raise an error.
     """
-    docs = spark.read.schema(types.POSES).json(path, multiLine=True)
+    return poses_of(spark.read.schema(types.POSES).json(path, multiLine=True), F.lit(flight_id), count, fovy, image_dir)
+
+
+def poses_of(docs: DataFrame, flight_id: Column, count: int | None = None, fovy: float = 50.0, image_dir: str | None = None) -> DataFrame:
+    """The same from documents that are rows with a column ``images``."""
     images = F.col("images") if count is None else F.slice("images", 1, count)
-    rows = docs.select(F.posexplode(images).alias("frame_id", "i"))
+    rows = docs.select(flight_id.alias("flight_id"), F.posexplode(images).alias("frame_id", "i"))
     need = lambda c, what: F.when(c.isNull(), F.raise_error(F.lit(f"a pose has no {what}")).cast("array<double>")).otherwise(c)
     file = F.coalesce("i.imagefile", "i.file", "i.image")
     rotation = need(F.coalesce("i.rotation", "i.rot", "i.quaternion"), "rotation")
     angle = F.coalesce("i.fovy", "i.fov", "i.fieldofview")
     angle = F.coalesce(F.get(F.from_json(angle, "array<double>"), F.lit(0)), angle.try_cast("double"), F.lit(fovy))
     rows = rows.select(
-        F.lit(flight_id).alias("flight_id"),
+        "flight_id",
         F.col("frame_id").cast("bigint").alias("frame_id"),
         F.when(file.isNull(), F.raise_error(F.lit("a pose has no file")).cast("string")).otherwise(F.concat(F.lit(f"{image_dir.rstrip('/')}/" if image_dir else ""), file)).alias("image"),
         need(F.coalesce("i.location", "i.pos", "i.loc"), "location").alias("location"),
@@ -99,14 +103,23 @@ def _interval(c: str) -> list[Column]:
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     """(flight_id, pos, lo, hi, tx..rz) of one file for all flights; a flight
     that is not in it has no rows."""
-    docs = spark.read.schema(types.CORRECTIONS).json(path, multiLine=True).select(F.explode("corrections").alias("flight_id", "all"))
+    return corrections_of(spark.read.schema(types.CORRECTIONS).json(path, multiLine=True))
+
+
+def corrections_of(docs: DataFrame) -> DataFrame:
+    """The same from documents that are rows with a column ``corrections``."""
+    docs = docs.select(F.explode("corrections").alias("flight_id", "all"))
     return docs.select("flight_id", F.posexplode("all").alias("pos", "c")).select("flight_id", "pos", *_interval("c"))
 
 
 def read_flight_corrections(spark: SparkSession, path: str, flight_id: str) -> tuple[DataFrame, DataFrame]:
     """Corrections and the default of one flight's file, which holds either
     ``corrections`` and ``default`` or just the default."""
-    doc = spark.read.schema(types.FLIGHT_CORRECTIONS).json(path, multiLine=True).withColumn("flight_id", F.lit(flight_id))
+    return flight_corrections_of(spark.read.schema(types.FLIGHT_CORRECTIONS).json(path, multiLine=True).withColumn("flight_id", F.lit(flight_id)))
+
+
+def flight_corrections_of(doc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from rows with a flight_id and the fields of such a file."""
     rows = doc.select("flight_id", F.posexplode("corrections").alias("pos", "c")).select("flight_id", "pos", *_interval("c"))
     parts = [F.coalesce(F.col(f"default.{k}.{a}"), F.col(f"{k}.{a}"), F.lit(0.0)).alias(f"{p}{a}") for k, p in (("translation", "t"), ("rotation", "r")) for a in "xyz"]
     return rows, doc.select("flight_id", *parts)
