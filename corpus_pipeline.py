@@ -14,8 +14,9 @@ from geoview.llm import decontam, langid, near_dup, packing, quality
 from geoview.llm.common import free_name, held_out, written
 from geoview.llm.queries import QUALITY_THRESHOLD, bpe_path
 
-#: Below this posterior a text's language is taken as unknown.
-LANGUAGE_SCORE = 0.5
+#: Below this score a text is about as near to three languages as to one, and its
+#: language is taken as unknown; texts that mix two languages stay above it.
+LANGUAGE_SCORE = 0.35
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

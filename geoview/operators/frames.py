@@ -71,7 +71,7 @@ def shutter_plan(spark, shots: int, reference: int, grow: Callable[[Column], Col
     frames, where a loop would not end.
     """
     # Sums within ranges of frames, and one row for each range before them.
-    rows = spark.range(max(shots - reference, 0)).select(F.col("id").alias("frame")).withColumns({"grow__": grow(F.col("frame").cast("int")).cast("long"), "range__": F.expr(f"frame div {RANGE}")})
+    rows = spark.range(shots if reference < shots else 0).select(F.col("id").alias("frame")).withColumns({"grow__": grow(F.col("frame").cast("int")).cast("long"), "range__": F.expr(f"frame div {RANGE}")})
     within = F.sum("grow__").over(Window.partitionBy("range__").orderBy("frame"))
     ahead = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("range__").agg(F.sum("grow__").alias("n__")).select("range__", F.coalesce(F.sum("n__").over(ahead), F.lit(0)).alias("start__"))

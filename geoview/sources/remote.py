@@ -1,7 +1,7 @@
 """Remote file trees: the interface of a store, and reads through it.
 
 A store lists, reads and writes items by path or id.  Failures of one item do
-not end a scan: reads return null bytes after ``retries``.  No store is built in
+not end a scan: reads return null bytes and the error after ``retries``.  No store is built in
 except a local folder; a client for a remote one implements ``Store``.
 """
 
@@ -102,7 +102,17 @@ def upload(store: Store, path: str, data: bytes, overwrite: bool = False, progre
 
 
 def read_remote(paths: DataFrame, make_store: Callable[[], Store], path_col: str = "path", retries: int = 3, suffixes: tuple[str, ...] | None = None, default: bytes | None = None) -> DataFrame:
-    """(path, content) for every path; each task opens its own store."""
+    """(path, content, error) for every path; each task opens its own store.  After
+    ``retries`` failures the content is ``default`` and the error says why."""
+
+    def one(store: Store, path: str | None) -> tuple[bytes | None, str | None]:
+        error = None
+        for _ in range(retries):
+            try:
+                return store.read(path), None
+            except Exception as e:  # whatever a client raises is a failure of this item
+                error = f"{type(e).__name__}: {e}"
+        return default, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = make_store()
@@ -110,13 +120,7 @@ def read_remote(paths: DataFrame, make_store: Callable[[], Store], path_col: str
             for path in b.column(0).to_pylist():
                 if path is not None and suffixes and not path.lower().endswith(suffixes):
                     raise ValueError(f"{path} has none of the endings {suffixes}")
-                content = default
-                for _ in range(retries):
-                    try:
-                        content = store.read(path)
-                        break
-                    except Exception:
-                        continue
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
-
-    return paths.select(path_col).toDF("path").mapInArrow(run, "path string, content binary")
+                content, error = one(store, path)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "error"])
+
+    return paths.select(path_col).toDF("path").mapInArrow(run, "path string, content binary, error string")

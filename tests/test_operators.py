@@ -145,3 +145,53 @@ def test_overlay_and_colors(spark):
         px.overlay(F.lit(10.0), F.lit(20.0), F.lit(0.5)).alias("c"), px.binary_mask(F.lit(254)).alias("d"), px.soft_mask(F.lit(255)).alias("e"),
     ).first()
     assert tuple(row) == pytest.approx((20, 20, 15, 0, 1))
+
+
+def test_floor_lookup_of_texts_and_skewed_keys(spark):
+    from geoview.operators import lookups as lk
+
+    keys = ["b"] * 50 + ["d", "m", "x"]
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(sorted(set(keys)))], "k string, v int")
+    probes = spark.createDataFrame([(k,) for k in ["a", "b", "c", "d", "zz", None]], "k string")
+    got = {r["k"]: r["floor_key"] for r in lk.floor_lookup(probes, table, "k", ["v"], buckets=3).collect()}
+    assert got == {"a": None, "b": "b", "c": "b", "d": "d", "zz": "x", None: None}
+    table = spark.range(300).select(F.when(F.col("id") < 290, 5).otherwise(F.col("id") * 100).alias("k"), (F.col("id") % 2).alias("g"), F.col("id").alias("v")).dropDuplicates(["k", "g"])
+    probes = spark.range(0, 40_000, 1000).select(F.col("id").alias("k"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("g"))
+    have = [(r["g"], r["k"]) for r in table.collect()]
+    for r in lk.floor_lookup(probes, table, "k", ["v"], by=["g"], buckets=4).collect():
+        assert r["floor_key"] == max((k for g, k in have if g == r["g"] and k <= r["k"]), default=None)
+
+
+def test_shutter_plan_in_ranges(spark, monkeypatch):
+    from geoview.operators import frames as fr
+
+    monkeypatch.setattr(fr, "RANGE", 7)
+    got = [tuple(r) for r in fr.shutter_plan(spark, 60, 10, lambda i: i % 3, symmetrical=True).orderBy("frame").collect()]
+    want, grown = [], 0
+    for i in range(60):
+        if grown >= 50:
+            break
+        grown += i % 3
+        want.append((i, grown, max(10 - grown, 0), min(10 + grown + 1, 60)))
+    assert got == want
+
+
+def test_sums_of_exposures(spark, monkeypatch):
+    from geoview.operators import frames as fr
+    from geoview.operators import render
+
+    monkeypatch.setattr(fr, "RANGE", 7)
+    shots = spark.range(40).select((F.col("id") * 3).alias("shot"), (F.col("id") * F.col("id")).alias("light"))
+    plan = spark.createDataFrame([(0, 0, 1), (1, 5, 25), (2, 39, 40), (3, 0, 40), (4, 8, 8)], "frame long, first long, last long")
+    got = {r["frame"]: r["light"] for r in render.shutter_sums(plan, shots, "shot", ["light"]).collect()}
+    assert got == {f: sum(i * i for i in range(a, b)) for f, a, b in ((0, 0, 1), (1, 5, 25), (2, 39, 40), (3, 0, 40), (4, 8, 8))}
+
+
+def test_large_images_are_assembled_in_linear_time(spark):
+    from geoview.sources import png
+
+    n = 512
+    pixels = spark.range(n * n).filter("id % 5 > 1").select(F.lit(1).alias("k"), (F.col("id") % n).cast("int").alias("x"), F.expr(f"cast(id div {n} as int)").alias("y"), *[(F.col("id") % 251).cast("int").alias(c) for c in "rgba"])
+    rgba = png.images_from_pixels(pixels.unionByName(pixels.limit(3)), "k", n, n).first()["rgba"]
+    assert len(rgba) == 4 * n * n
+    assert all(rgba[4 * i] == (i % 251 if i % 5 > 1 else 0) for i in range(n * n))
