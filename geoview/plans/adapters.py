@@ -35,20 +35,14 @@ LABELS = """(SELECT l_orderkey AS frame_id, l_linenumber AS line, l_suppkey AS t
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every supplier: every third interval overlaps the next, gaps lie behind
+    the others."""
     s = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").filter(s % 3 != 2).select(s.alias("pos"), (s * 100).alias("lo"), (s * 100 + 149).alias("hi"), (F.col("s_acctbal") / 10000).alias("tz"))
+    hi = s * 100 + F.when(s % 3 == 0, 149).otherwise(69)
+    return table(spark, sf_dir, "supplier").select(s.alias("pos"), (s * 100).alias("lo"), hi.alias("hi"), (F.col("s_acctbal") / 10000).alias("tz"))
 
 
-CORRECTIONS = "(SELECT s_suppkey AS pos, s_suppkey * 100 AS lo, s_suppkey * 100 + 149 AS hi, s_acctbal / CAST(10000 AS DOUBLE) AS tz FROM supplier WHERE s_suppkey % 3 <> 2)"
-
-
-def corrections_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every supplier; gaps lie between the intervals."""
-    s = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(s.alias("pos"), (s * 100).alias("lo"), (s * 100 + 69).alias("hi"), (F.col("s_acctbal") / 10000).alias("tz"))
-
-
-CORRECTIONS_WHOLE = "(SELECT s_suppkey AS pos, s_suppkey * 100 AS lo, s_suppkey * 100 + 69 AS hi, s_acctbal / CAST(10000 AS DOUBLE) AS tz FROM supplier)"
+CORRECTIONS = "(SELECT s_suppkey AS pos, s_suppkey * 100 AS lo, s_suppkey * 100 + CASE WHEN s_suppkey % 3 = 0 THEN 149 ELSE 69 END AS hi, s_acctbal / CAST(10000 AS DOUBLE) AS tz FROM supplier)"
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

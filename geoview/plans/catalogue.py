@@ -138,15 +138,9 @@ def _corrected(frames: DataFrame, corrections: DataFrame, central: str | None =
   FROM {A.FRAMES} f LEFT JOIN {A.CORRECTIONS} c ON f.frame_id BETWEEN c.lo AND c.hi) WHERE n = 1"""
 )
 def frame_correction_lookup(spark, sf_dir):
-    """Two of three suppliers; ``frame_correction_lookup_whole`` takes all."""
     return _corrected(A.frames(spark, sf_dir).select("frame_id"), A.corrections(spark, sf_dir))
 
 
-@query(ORACLE_SQL["frame_correction_lookup"].replace(A.CORRECTIONS, A.CORRECTIONS_WHOLE))
-def frame_correction_lookup_whole(spark, sf_dir):
-    return _corrected(A.frames(spark, sf_dir).select("frame_id"), A.corrections_whole(spark, sf_dir))
-
-
 @query(
     f"""WITH f AS (SELECT frame_id, frame_id + 125 AS central FROM {A.FRAMES}),
 own AS (SELECT f.frame_id, min(c.pos) AS pos FROM f JOIN {A.CORRECTIONS} c ON f.frame_id BETWEEN c.lo AND c.hi GROUP BY f.frame_id),
@@ -155,17 +149,10 @@ SELECT f.frame_id, coalesce(own.pos, mid.pos, 0) AS pos, {rs('coalesce(c.tz, 0)'
 FROM f LEFT JOIN own USING (frame_id) LEFT JOIN mid USING (frame_id) LEFT JOIN {A.CORRECTIONS} c ON c.pos = coalesce(own.pos, mid.pos)"""
 )
 def frame_correction_central_fallback(spark, sf_dir):
-    """Two of three suppliers; ``frame_correction_central_fallback_whole`` takes all."""
     frames = A.frames(spark, sf_dir).select("frame_id", (F.col("frame_id") + 125).alias("central"))
     return _corrected(frames, A.corrections(spark, sf_dir), "central")
 
 
-@query(ORACLE_SQL["frame_correction_central_fallback"].replace(A.CORRECTIONS, A.CORRECTIONS_WHOLE))
-def frame_correction_central_fallback_whole(spark, sf_dir):
-    frames = A.frames(spark, sf_dir).select("frame_id", (F.col("frame_id") + 125).alias("central"))
-    return _corrected(frames, A.corrections_whole(spark, sf_dir), "central")
-
-
 WINDOW = f"""(SELECT f.flight_id, f.frame_id, n.frame_id AS neighbour_id, CASE WHEN n.frame_id < f.frame_id THEN 1 ELSE 2 END AS phase
   FROM {A.FRAMES} f JOIN {A.FRAMES} n ON f.flight_id = n.flight_id AND n.frame_id <> f.frame_id AND n.frame_id BETWEEN f.frame_id - 200 AND f.frame_id + 200
   AND abs(f.frame_id - n.frame_id) % 5 = 0)"""
@@ -525,32 +512,22 @@ def surface_texture(spark, sf_dir):
     return seen.select("ray_id", r(F.col("u"), "u"), r(F.col("v"), "v"), (tile % 2 == 0).alias("lit"))
 
 
-def _roundtrip(spark, sf_dir, frames: DataFrame) -> DataFrame:
-    """Pixels cast on the mesh and projected back; they come out as they were."""
-    c = _frame_camera()
-    o, d = c.ray((F.col("frame_id") % 1024).cast("double"), (F.col("frame_id") * 3 % 1024).cast("double"), 1024, 1024)
-    rays = frames.select(F.col("frame_id").alias("ray_id"), "frame_id", "cam_x", "cam_y", "cam_z", "rot_z_deg", "fovy", *o.columns("o"), *d.columns("d"))
-    hits = rc.raycast(rays, _triangles(spark, sf_dir), keep=["frame_id", "cam_x", "cam_y", "cam_z", "rot_z_deg", "fovy"])
-    x, y = c.world_to_pixel(Vec3.of("x", "y", "z"), 1024, 1024)
-    return hits.select("frame_id", r(x, "px", 3), r(y, "py", 3))
-
-
-@query(f"SELECT frame_id, CAST(frame_id % 1024 AS DOUBLE) AS px, CAST(frame_id * 3 % 1024 AS DOUBLE) AS py FROM {A.FRAMES} WHERE cam_x BETWEEN 100 AND 300 AND cam_y BETWEEN 100 AND 300")
-def pixel_world_roundtrip(spark, sf_dir):
-    """Frames around the middle of the mesh, which are a part of
-    ``pixel_world_roundtrip_whole``."""
-    return _roundtrip(spark, sf_dir, A.frames(spark, sf_dir).filter(F.col("cam_x").between(100, 300) & F.col("cam_y").between(100, 300)))
-
-
 #: Rays through a pixel of every frame.
 PIXEL_RAYS = f"""(SELECT frame_id AS ray_id, cam_x AS ox, cam_y AS oy, cam_z AS oz, cos(a) * ux - sin(a) * uy AS dx, sin(a) * ux + cos(a) * uy AS dy, CAST(-1 AS DOUBLE) AS dz FROM (
   SELECT *, radians(rot_z_deg) AS a, (frame_id % 1024 / 512.0 - 1) * tan(radians(fovy) / 2) AS ux, (1 - frame_id * 3 % 1024 / 512.0) * tan(radians(fovy) / 2) AS uy FROM {A.FRAMES}))"""
 
 
 @query(f"SELECT ray_id AS frame_id, CAST(ray_id % 1024 AS DOUBLE) AS px, CAST(ray_id * 3 % 1024 AS DOUBLE) AS py FROM ({_hits_sql(1.0, '', rays=PIXEL_RAYS)})")
-def pixel_world_roundtrip_whole(spark, sf_dir):
-    """Every frame whose ray hits the mesh."""
-    return _roundtrip(spark, sf_dir, A.frames(spark, sf_dir))
+def pixel_world_roundtrip(spark, sf_dir):
+    """Pixels cast on the mesh and projected back, which come out as they were, of
+    every frame whose ray hits the mesh."""
+    c = _frame_camera()
+    o, d = c.ray((F.col("frame_id") % 1024).cast("double"), (F.col("frame_id") * 3 % 1024).cast("double"), 1024, 1024)
+    pose = ["frame_id", "cam_x", "cam_y", "cam_z", "rot_z_deg", "fovy"]
+    rays = A.frames(spark, sf_dir).select(F.col("frame_id").alias("ray_id"), *pose, *o.columns("o"), *d.columns("d"))
+    hits = rc.raycast(rays, _triangles(spark, sf_dir), keep=pose)
+    x, y = c.world_to_pixel(Vec3.of("x", "y", "z"), 1024, 1024)
+    return hits.select("frame_id", r(x, "px", 3), r(y, "py", 3))
 
 
 # --- pixels -----------------------------------------------------------------
@@ -627,43 +604,36 @@ def crop_borders(spark, sf_dir):
     return px.content_borders(p, "img", "q", 8, 8)
 
 
-def _sampled_shots(spark, sf_dir, of: DataFrame) -> DataFrame:
-    """Ground points of the frames ``of``, as their windows of five shots see
-    them; shot n shows image n modulo their column ``images``."""
-    frames = A.frames(spark, sf_dir)
-    ground = F.broadcast(A.vertices(spark, sf_dir).select("vid", *[F.col(c).alias(f"g{c}") for c in "xyz"]))  # a mesh of 25 vertices
-    window = of.select("frame_id", "images", F.explode(F.sequence(F.col("frame_id"), F.col("frame_id") + 4)).alias("at"))
-    shots = window.join(frames.withColumnRenamed("frame_id", "at"), "at").withColumn("shot_id", F.col("at") % F.col("images")).drop("images")
-    surface = of.select("frame_id").join(ground)
-    c = _frame_camera()
-    pixels = A.pixels(spark, sf_dir).select(F.col("img").alias("shot_id"), "x", "y", "v", "a")
-    seen = px.sample_shots(surface, shots, lambda: c.uv(Vec3.of("gx", "gy", "gz")), ["frame_id"], pixels, 8, 8)
-    out = px.integral(seen.withColumn("a", F.lit(1.0)), ["frame_id", "vid"], ("v",))
-    return out.select("frame_id", "vid", r(F.col("v"), "v"), F.col("overlap").cast("long").alias("overlap"))
-
-
 @query(
-    f"""WITH s AS (SELECT f.frame_id, g.vid, g.x AS gx, g.y AS gy, g.z AS gz FROM {A.FRAMES} f, {A.VERTICES} g WHERE f.frame_id % 10 = 0),
-c AS (SELECT s.frame_id, s.vid, s.frame_id + d AS shot_id, gx, gy, gz FROM s, range(5) t(d)),
-k AS (SELECT c.*, cos(a) * (gx - cam_x) + sin(a) * (gy - cam_y) AS ux, -sin(a) * (gx - cam_x) + cos(a) * (gy - cam_y) AS uy, gz - cam_z AS uz, tan(radians(fovy) / 2) AS t
-  FROM c JOIN (SELECT *, radians(rot_z_deg) AS a FROM {A.FRAMES}) f ON f.frame_id = c.shot_id),
-n AS (SELECT frame_id, vid, shot_id, ux / -uz / t / 2 + 0.5 AS u, uy / -uz / t / 2 + 0.5 AS v FROM k WHERE uz < 0)
-SELECT n.frame_id, n.vid, {rs('sum(p.v) / count(*)', 'v')}, count(*) AS overlap
-FROM n JOIN {A.PIXELS} p ON p.img = n.shot_id % 500 AND p.x = CAST(least(floor(n.u * 8), 7) AS INTEGER) AND p.y = CAST(least(floor((1 - n.v) * 8), 7) AS INTEGER)
-WHERE n.u BETWEEN 0 AND 1 AND n.v BETWEEN 0 AND 1 GROUP BY n.frame_id, n.vid"""
+    f"""WITH m AS (SELECT max(vec_id) + 1 AS images FROM embeddings),
+k AS (SELECT f.frame_id AS shot_id, g.vid, cos(a) * (g.x - cam_x) + sin(a) * (g.y - cam_y) AS ux, -sin(a) * (g.x - cam_x) + cos(a) * (g.y - cam_y) AS uy, g.z - cam_z AS uz, tan(radians(fovy) / 2) AS t
+  FROM (SELECT *, radians(rot_z_deg) AS a FROM {A.FRAMES}) f, {A.VERTICES} g),
+n AS (SELECT shot_id, vid, shot_id % images AS img, round(ux / -uz / t / 2 + 0.5, 9) AS u, round(uy / -uz / t / 2 + 0.5, 9) AS v FROM k, m WHERE uz < 0),
+q AS (SELECT n.shot_id, n.vid, p.v FROM n JOIN {A.PIXELS} p ON p.img = n.img AND p.x = CAST(least(floor(n.u * 8), 7) AS INTEGER) AND p.y = CAST(least(floor((1 - n.v) * 8), 7) AS INTEGER)
+  WHERE n.u BETWEEN 0 AND 1 AND n.v BETWEEN 0 AND 1)
+SELECT f.frame_id, q.vid, {rs('sum(q.v) / count(*)', 'v')}, count(*) AS overlap
+FROM (SELECT frame_id, frame_id + unnest(range(5)) AS shot_id FROM {A.FRAMES}) f JOIN q USING (shot_id) GROUP BY f.frame_id, q.vid"""
 )
 def shot_pixel_sampling(spark, sf_dir):
-    """Every tenth frame over the first 500 images, which is a part of
-    ``shot_pixel_sampling_whole``."""
-    return _sampled_shots(spark, sf_dir, A.frames(spark, sf_dir).filter(F.col("frame_id") % 10 == 0).withColumn("images", F.lit(500)))
+    """Ground points of every frame, as its window of five shots sees them; shot n
+    shows image n modulo their number.  Many points lie on the edges of pixels, so
+    coordinates are rounded before they choose one."""
+    frames, images = A.frames(spark, sf_dir), A.images(spark, sf_dir)
+    count = F.broadcast(images.agg((F.max("img") + 1).alias("images")))  # one row
+    corners = A.vertices(spark, sf_dir).agg(F.collect_list(F.struct("vid", *[F.col(c).alias(f"g{c}") for c in "xyz"])).alias("g"))  # a mesh of 25 vertices
+    surface = frames.select("frame_id").crossJoin(F.broadcast(corners)).select("frame_id", F.inline("g"))
+    window = frames.select("frame_id", F.explode(F.sequence(F.col("frame_id"), F.col("frame_id") + 4)).alias("at"))
+    shots = window.join(frames.withColumnRenamed("frame_id", "at"), "at").crossJoin(count).withColumn("shot_id", F.col("at") % F.col("images"))
+    c = _frame_camera()
 
+    def project():
+        u, v, front = c.uv(Vec3.of("gx", "gy", "gz"))
+        return F.round(u, 9), F.round(v, 9), front
 
-@query()
-def shot_pixel_sampling_whole(spark, sf_dir):
-    """Every frame, over all images.  Many points lie on the edges of pixels, where
-    the last bit decides, so tests hold it against brute force and not SQL."""
-    images = A.images(spark, sf_dir).agg((F.max("img") + 1).alias("images"))  # one row
-    return _sampled_shots(spark, sf_dir, A.frames(spark, sf_dir).crossJoin(F.broadcast(images)))
+    pixels = A.pixels(spark, sf_dir).select(F.col("img").alias("shot_id"), "x", "y", "v", "a")
+    seen = px.sample_shots(surface, shots, project, ["frame_id"], pixels, 8, 8)
+    out = px.integral(seen.withColumn("a", F.lit(1.0)), ["frame_id", "vid"], ("v",))
+    return out.select("frame_id", "vid", r(F.col("v"), "v"), F.col("overlap").cast("long").alias("overlap"))
 
 
 @query("SELECT i % 24 AS x, i // 24 AS y, CASE WHEN ((i % 24) // 4 + i // 24 // 4) % 2 = 0 THEN 255 ELSE 0 END AS c0 FROM range(576) t(i)")
@@ -674,7 +644,7 @@ def checkerboard(spark, sf_dir):
 
 # --- suppression ------------------------------------------------------------
 
-NMS_ROWS = f"(SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY line, track_id, class_id, x1, y1, x2, y2) AS n FROM {CORNERS} WHERE frame_id % 1 = 0)"
+NMS_ROWS = f"(SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY line, track_id, class_id, x1, y1, x2, y2) AS n FROM {CORNERS})"
 
 
 @query(

@@ -27,7 +27,7 @@ LABEL_RAYS = f"""(SELECT {{'f': frame_id, 'n': neighbour_id, 'p': phase, 't': tr
   cos(a) * ux + sin(a) * uy AS dx, -sin(a) * ux + cos(a) * uy AS dy, CAST(-1 AS DOUBLE) AS dz FROM (
   SELECT DISTINCT w.frame_id, w.neighbour_id, w.phase, l.track_id, l.class_id, l.line, l.x, l.y, n.cam_x AS ox, n.cam_y AS oy, n.cam_z + c.tz AS oz, radians(n.rot_z_deg) AS a,
     (l.x / 512.0 - 1) * tan(radians(n.fovy) / 2) AS ux, (1 - l.y / 512.0) * tan(radians(n.fovy) / 2) AS uy
-  FROM WINDOWS w JOIN {A.FRAMES} n ON n.frame_id = w.neighbour_id JOIN ({ORACLE_SQL["frame_correction_lookup_whole"]}) c ON c.frame_id = w.frame_id
+  FROM WINDOWS w JOIN {A.FRAMES} n ON n.frame_id = w.neighbour_id JOIN ({ORACLE_SQL["frame_correction_lookup"]}) c ON c.frame_id = w.frame_id
   JOIN (SELECT frame_id, track_id, class_id, line, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y FROM {CORNERS}) l ON l.frame_id = w.neighbour_id))"""
 
 
@@ -42,7 +42,7 @@ FROM t JOIN {A.FRAMES} f USING (frame_id) WHERE NOT (x1 > 2048 OR x2 < 0 OR y1 >
 def _batch(spark, sf_dir, settings: PipelineSettings) -> DataFrame:
     frames = A.frames(spark, sf_dir).withColumns({"rot_x_deg": F.lit(0.0), "rot_y_deg": F.lit(0.0)})
     zero = {c: F.lit(0.0) for c in rd.CORRECTION if c != "tz"}
-    corrections = A.corrections_whole(spark, sf_dir).withColumns(zero)
+    corrections = A.corrections(spark, sf_dir).withColumns(zero)
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     labels = _corners(spark, sf_dir).select("frame_id", "line", "track_id", "class_id", F.array(at(x1, y1), at(x2, y1), at(x2, y2), at(x1, y2)).alias("corners"))
@@ -209,7 +209,10 @@ def pose_documents(spark, sf_dir):
     return met.select("flight_id", F.col("frame_id").alias("position"), "image", r(at("location", 0), "x"), r(F.col("fovy"), "fovy"), r(at("quaternion", 2), "qz", 9), r(at("quaternion", 3), "qw", 9))
 
 
-@query("SELECT CAST(s_suppkey % 10 AS VARCHAR) AS flight_id, row_number() OVER (PARTITION BY s_suppkey % 10 ORDER BY s_suppkey) - 1 AS pos, CAST(s_suppkey * 100 AS INTEGER) AS lo, CAST(s_suppkey * 100 + 69 AS INTEGER) AS hi, round(s_acctbal / 10000, 6) + 0.0 AS tz, CAST(0.5 AS DOUBLE) AS rx FROM supplier")
+@query(
+    f"""SELECT CAST(pos % 10 AS VARCHAR) AS flight_id, row_number() OVER (PARTITION BY pos % 10 ORDER BY pos) - 1 AS pos, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi,
+  round(tz, 6) + 0.0 AS tz, CAST(0.5 AS DOUBLE) AS rx FROM {A.CORRECTIONS}"""
+)
 def correction_documents(spark, sf_dir):
     """Corrections of all flights as one JSON document, read again."""
     none = F.lit(0.0)
@@ -217,7 +220,7 @@ def correction_documents(spark, sf_dir):
         F.col("lo").cast("int").alias("start frame"), F.col("hi").cast("int").alias("end frame"), F.struct(none.alias("x"), none.alias("y"), F.col("tz").alias("z")).alias("translation"),
         F.struct(F.lit(0.5).alias("x"), none.alias("y"), none.alias("z")).alias("rotation"),
     )
-    rows = A.corrections_whole(spark, sf_dir).groupBy((F.col("pos") % 10).cast("string").alias("flight")).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    rows = A.corrections(spark, sf_dir).groupBy((F.col("pos") % 10).cast("string").alias("flight")).agg(F.array_sort(F.collect_list(one)).alias("all"))
     docs = rows.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("flight", "all"))).alias("corrections"))).alias("json"))
     out = doc.corrections_of(docs.select(F.from_json("json", types.CORRECTIONS).alias("d")).select("d.*"))
     return out.select("flight_id", "pos", "lo", "hi", r(F.col("tz"), "tz"), r(F.col("rx"), "rx"))
@@ -226,7 +229,7 @@ def correction_documents(spark, sf_dir):
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS flight_id, CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS intervals, round(s_acctbal / 10000, 6) + 0.0 AS default_tz FROM supplier")
 def flight_corrections(spark, sf_dir):
     """A document for every flight: intervals and a default, or just the default."""
-    c = A.corrections_whole(spark, sf_dir)
+    c = A.corrections(spark, sf_dir)
     move = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("tz").alias("z"))
     both = F.to_json(F.struct(F.array(F.struct(F.lit(0).alias("start frame"), F.lit(9).alias("end frame"), move.alias("translation"), move.alias("rotation"))).alias("corrections"), F.struct(move.alias("translation"), move.alias("rotation")).alias("default")))
     alone = F.to_json(F.struct(move.alias("translation"), move.alias("rotation")))
