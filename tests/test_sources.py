@@ -1,12 +1,14 @@
+import base64
 import json
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from geoview.config import LABEL_COLORS, PipelineSettings
 from geoview.sources import documents as doc
-from geoview.sources import glb, remote
+from geoview.sources import glb, png, remote
 
 
 def save(path, content):
@@ -105,6 +107,54 @@ def test_glb(spark, tmp_path):
         glb.chunks(b"nothing here")
 
 
+def uri(data, kind="application/octet-stream"):
+    return f"data:{kind};base64," + base64.b64encode(data).decode()
+
+
+def embedded_mesh(**more):
+    """A triangle in JSON: zeros, of which two points are stored sparsely."""
+    body = struct.pack("<2H", 1, 2) + struct.pack("<6f", 1, 0, 0, 0, 2, 0.5)
+    return {
+        "meshes": [{"primitives": [{"attributes": {"POSITION": 0}} | ({"material": 0} if more else {})]}],
+        "accessors": [{"componentType": 5126, "type": "VEC3", "count": 3, "sparse": {"count": 2, "indices": {"bufferView": 0, "componentType": 5123}, "values": {"bufferView": 1}}}],
+        "bufferViews": [{"byteLength": 4}, {"byteOffset": 4, "byteLength": 24}],
+        "buffers": [{"byteLength": 28, "uri": uri(body)}],
+    } | more
+
+
+def test_embedded_gltf(spark, tmp_path):
+    at = save(tmp_path / "m.gltf", embedded_mesh())
+    v = glb.read_glb(spark, at).orderBy("vid").collect()
+    assert [(r["x"], r["y"], r["z"], r["u"]) for r in v] == [(0, 0, 0, None), (1, 0, 0, None), (0, 2, 0.5, None)]
+    assert [(r["a"], r["b"], r["c"]) for r in glb.read_glb(spark, at, "triangles").collect()] == [(0, 1, 2)]
+    assert glb.mesh_rows(json.dumps({"asset": {}}).encode(), "vertices") == []
+    with pytest.raises(ValueError):
+        glb.chunks(json.dumps({"buffers": [{"uri": "elsewhere.bin"}]}).encode())
+
+
+def test_textures(spark, tmp_path):
+    image = np.arange(2 * 3 * 4, dtype=np.uint8).reshape(2, 3, 4)
+    color = {"materials": [{"pbrMetallicRoughness": {"baseColorTexture": {"index": 0}}}]}
+    file = png.encode(image)
+    save(tmp_path / "uri.gltf", embedded_mesh(**color, images=[{"uri": uri(file, "image/png")}]))
+    inside = embedded_mesh(**color, textures=[{"source": 1}], images=[{}, {"bufferView": 2}])
+    inside["buffers"].append({"uri": uri(b"..." + file)})
+    inside["bufferViews"].append({"buffer": 1, "byteOffset": 3, "byteLength": len(file)})
+    save(tmp_path / "view.gltf", inside)
+    save(tmp_path / "plain.gltf", embedded_mesh())
+    save(tmp_path / "none.gltf", {"asset": {}})
+    save(tmp_path / "jpg.gltf", embedded_mesh(**color, images=[{"uri": uri(b"no image")}]))
+    (tmp_path / "m.glb").write_bytes(mesh())
+    got = {r["path"].rsplit("/", 1)[1]: r for r in glb.read_textures(spark, str(tmp_path)).collect()}
+    for name in ("uri.gltf", "view.gltf"):
+        assert (got[name]["width"], got[name]["height"]) == (3, 2) and got[name]["rgba"] == image[::-1].reshape(-1).tolist()
+    for name in ("plain.gltf", "m.glb"):
+        rgba = np.array(got[name]["rgba"]).reshape(64, 64, 4)
+        assert rgba[7, 7].tolist() == [255, 0, 255, 255] and rgba[7, 8].tolist() == [0, 0, 0, 255] and rgba[8, 8].tolist() == [255, 0, 255, 255]
+    assert got["none.gltf"]["rgba"] is None and "no mesh" in got["none.gltf"]["error"]
+    assert got["jpg.gltf"]["rgba"] is None and got["jpg.gltf"]["error"]
+
+
 def test_remote(spark, tmp_path):
     root = str(tmp_path)
     store = remote.FolderStore(root)
