@@ -168,20 +168,40 @@ def center_delta(width: int, height: int) -> dict[str, Column]:
     }
 
 
-def sample_shots(surface: DataFrame, shots: DataFrame, project: Callable[[], tuple[Column, Column, Column]], on: list[str], pixels: DataFrame, width: int, height: int) -> DataFrame:
+def sample_shots(
+    surface: DataFrame, shots: DataFrame, project: Callable[[], tuple[Column, Column, Column]], on: list[str], pixels: DataFrame, width: int, height: int, bilinear: tuple[str, ...] = (),
+) -> DataFrame:
     """Pixels of shots seen at surface points: ``project`` gives u, v and whether
     the point is in front, from columns of both; points outside [0, 1] x [0, 1]
     are discarded, others take the nearest pixel.
 
+    With columns of ``pixels`` named ``bilinear``, a point has a row for each of the
+    pixels around it, up to four, and those columns hold that pixel's share: their
+    sums over a point's rows are the values between pixel centres.  Beyond the
+    outer centres the border repeats.
+
     ``surface`` and ``shots`` meet on the keys ``on`` (a frame and its window),
     so the product is as large as the overlap of views and no larger.
     """
     u, v, front = project()
     seen = surface.join(shots, on).withColumns({"u__": u, "v__": v, "front__": front}).filter(F.col("front__") & F.col("u__").between(0, 1) & F.col("v__").between(0, 1))
-    nearest = lambda t, n: F.least(F.floor(t * n), F.lit(n - 1)).cast("int")
-    seen = seen.withColumns({"px": nearest(F.col("u__"), width), "py": nearest(1 - F.col("v__"), height)}).drop("u__", "v__", "front__")
     side = pixels.withColumnRenamed("x", "px").withColumnRenamed("y", "py")
-    return seen.join(side, ["shot_id", "px", "py"])
+    if not bilinear:
+        nearest = lambda t, n: F.least(F.floor(t * n), F.lit(n - 1)).cast("int")
+        seen = seen.withColumns({"px": nearest(F.col("u__"), width), "py": nearest(1 - F.col("v__"), height)}).drop("u__", "v__", "front__")
+        return seen.join(side, ["shot_id", "px", "py"])
+
+    def around(t: Column, n: int) -> Column:
+        """The one or two pixels at ``t`` along an axis, and their weights."""
+        at = F.greatest(F.lit(0.0), F.least(t * n - 0.5, F.lit(n - 1.0)))
+        low = F.floor(at)
+        both = F.array(F.struct(low.cast("int").alias("p"), (1 - (at - low)).alias("w")), F.struct((low + 1).cast("int").alias("p"), (at - low).alias("w")))
+        return F.filter(both, lambda s: s["w"] > 0)
+
+    seen = seen.withColumn("x__", F.explode(around(F.col("u__"), width))).withColumn("y__", F.explode(around(1 - F.col("v__"), height)))
+    seen = seen.withColumns({"px": F.col("x__.p"), "py": F.col("y__.p"), "w__": F.col("x__.w") * F.col("y__.w")}).drop("u__", "v__", "front__", "x__", "y__")
+    out = seen.join(side, ["shot_id", "px", "py"])
+    return out.withColumns({c: F.col(c) * F.col("w__") for c in bilinear}).drop("w__")
 
 
 def laplacian_of_rows(pixels: DataFrame, image: list[str], value: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """PNG images as pixel arrays and back, without an image library.
 
-Reads 8-bit grey, grey with alpha, RGB, RGBA and palette images that are not
-interlaced; others give null and a reason.  Files come through Spark's
+Reads grey, grey with alpha, RGB, RGBA and palette images of every depth, interlaced
+or not; of 16 bits the upper eight are kept.  Others give null and a reason.  Files come through Spark's
 ``binaryFile`` reader, one image a row, so any path that Spark can open works.
 """
 
@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 #: Fixed values of the format: its signature, and channels by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+#: Fixed values of the format: bits a sample by colour type; first column and row
+#: and steps of the passes of an interlaced image.
+DEPTHS = {0: (1, 2, 4, 8, 16), 2: (8, 16), 3: (1, 2, 4, 8), 4: (8, 16), 6: (8, 16)}
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
 
 
 def chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -45,9 +49,9 @@ def _paeth(now: list[int], above: list[int], step: int) -> bytearray:
     return out
 
 
-def _unfiltered(raw: bytes, width: int, height: int, step: int) -> np.ndarray:
-    """Scan lines without their filters; ``step`` is the bytes of a pixel."""
-    line = width * step
+def _unfiltered(raw: bytes, line: int, height: int, step: int) -> np.ndarray:
+    """Scan lines of ``line`` bytes without their filters; ``step`` is the bytes of a
+    pixel, at least one."""
     rows = np.frombuffer(raw, np.uint8, height * (line + 1)).reshape(height, line + 1)
     out = np.zeros((height + 1, line + step), np.uint8)  # a border of zeros above and to the left
     for y in range(height):
@@ -56,14 +60,41 @@ def _unfiltered(raw: bytes, width: int, height: int, step: int) -> np.ndarray:
         if kind == 0:
             mine[step:] = now
         elif kind == 1:  # the pixel to the left: a running sum
-            mine[step:] = np.cumsum(now.reshape(width, step), axis=0, dtype=np.uint32).astype(np.uint8).reshape(-1)
+            mine[step:] = np.cumsum(now.reshape(-1, step), axis=0, dtype=np.uint32).astype(np.uint8).reshape(-1)
         elif kind == 2:
             mine[step:] = now + above[step:]
         elif kind in (3, 4):  # each byte needs the one before: plain numbers are fastest
             mine[:] = np.frombuffer((_averaged if kind == 3 else _paeth)(now.tolist(), above.tolist(), step), np.uint8)
         else:
             raise ValueError(f"unknown filter {kind}")
-    return out[1:, step:].reshape(height, width, step)
+    return out[1:, step:]
+
+
+def _samples(raw: bytes, width: int, height: int, depth: int, channels: int) -> tuple[np.ndarray, int]:
+    """Height x width x channels, and the bytes that they took."""
+    bits = depth * channels
+    line = (width * bits + 7) // 8
+    if len(raw) < height * (line + 1):
+        raise ValueError("too little data")
+    rows = np.ascontiguousarray(_unfiltered(raw, line, height, max(1, bits // 8)))
+    if depth == 16:
+        rows = rows.view(">u2")
+    elif depth < 8:
+        places = 1 << np.arange(depth - 1, -1, -1)
+        rows = np.unpackbits(rows, axis=1).reshape(height, -1, depth) @ places
+        rows = rows[:, : width * channels]
+    return rows.reshape(height, width, channels), height * (line + 1)
+
+
+def _interlaced(raw: bytes, width: int, height: int, depth: int, channels: int) -> np.ndarray:
+    out = np.zeros((height, width, channels), np.uint16)
+    for x, y, dx, dy in PASSES:
+        place = out[y::dy, x::dx]
+        if place.size:
+            part, took = _samples(raw, place.shape[1], place.shape[0], depth, channels)
+            place[:] = part
+            raw = raw[took:]
+    return out
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -83,9 +114,10 @@ def decode(data: bytes) -> np.ndarray:
     if head is None:
         raise ValueError("no header")
     width, height, depth, color, _, _, interlace = head
-    if depth != 8 or interlace or color not in CHANNELS:
+    if depth not in DEPTHS.get(color, ()) or interlace > 1:
         raise ValueError(f"depth {depth}, colour type {color}, interlace {interlace}")
-    px = _unfiltered(zlib.decompress(b"".join(body)), width, height, CHANNELS[color])
+    raw = zlib.decompress(b"".join(body))
+    px = _interlaced(raw, width, height, depth, CHANNELS[color]) if interlace else _samples(raw, width, height, depth, CHANNELS[color])[0]
     out = np.full((height, width, 4), 255, np.uint8)
     if color == 3:
         index = px[:, :, 0]
@@ -95,6 +127,9 @@ def decode(data: bytes) -> np.ndarray:
             alpha[: len(clear)] = clear
             out[:, :, 3] = alpha[index]
         return out
+    if clear is not None and color in (0, 2):  # one colour that is clear
+        out[:, :, 3] = np.where((px == clear.view(">u2")).all(axis=2), 0, 255)
+    px = (px >> 8 if depth == 16 else px * (255 // ((1 << depth) - 1))).astype(np.uint8)
     out[:, :, :3] = px[:, :, :1] if color in (0, 4) else px[:, :, :3]
     if color in (4, 6):
         out[:, :, 3] = px[:, :, -1]

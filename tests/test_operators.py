@@ -195,3 +195,17 @@ def test_large_images_are_assembled_in_linear_time(spark):
     rgba = png.images_from_pixels(pixels.unionByName(pixels.limit(3)), "k", n, n).first()["rgba"]
     assert len(rgba) == 4 * n * n
     assert all(rgba[4 * i] == (i % 251 if i % 5 > 1 else 0) for i in range(n * n))
+
+
+def test_bilinear_samples(spark):
+    values = [[0.0, 4.0, 8.0], [2.0, 6.0, 1.0]]
+    pixels = spark.createDataFrame([(1, x, y, values[y][x], 1.0) for y in range(2) for x in range(3)], "shot_id long, x int, y int, v double, a double")
+    at = [(0.5, 0.5), (0.0, 1.0), (1.0, 0.0), (1 / 6, 0.75), (0.4, 0.6), (0.97, 0.31)]
+    surface = spark.createDataFrame([(1, i, *p) for i, p in enumerate(at)], "k long, vid long, gu double, gv double")
+    shots = spark.createDataFrame([(1, 1)], "k long, shot_id long")
+    seen = px.sample_shots(surface, shots, lambda: (F.col("gu"), F.col("gv"), F.lit(True)), ["k"], pixels, 3, 2, bilinear=("v", "a"))
+    got = {r["vid"]: r for r in px.integral(seen, ["vid"], ("v",)).collect()}
+    for i, (u, v) in enumerate(at):
+        x, y = min(max(u * 3 - 0.5, 0), 2), min(max((1 - v) * 2 - 0.5, 0), 1)
+        want = sum(values[r][c] * max(0, 1 - abs(x - c)) * max(0, 1 - abs(y - r)) for r in range(2) for c in range(3))
+        assert abs(got[i]["v"] - want) < 1e-9 and abs(got[i]["overlap"] - 1) < 1e-9, i

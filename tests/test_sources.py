@@ -1,6 +1,7 @@
 import base64
 import json
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -222,3 +223,33 @@ def test_png(spark, tmp_path):
     back = png.decode(bytes(out["content"]))
     assert back[0, 0].tolist() == [1, 2, 3, 255] and back[1, 1].tolist() == [9, 8, 7, 6] and back[0, 1].tolist() == [0, 0, 0, 0]
     assert spark.range(1).select(png.data_uri_bytes(F.lit("data:image/png;base64,aGk=")).alias("b")).first()["b"] == b"hi"
+
+
+def png_file(width, height, depth, color, lines, interlace=0, **more):
+    part = lambda kind, content: struct.pack(">I", len(content)) + kind + content + struct.pack(">I", zlib.crc32(kind + content))
+    head = part(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, color, 0, 0, interlace))
+    return png.SIGNATURE + head + b"".join(part(k.encode(), v) for k, v in more.items()) + part(b"IDAT", zlib.compress(b"".join(b"\0" + line for line in lines))) + part(b"IEND", b"")
+
+
+def test_png_depths():
+    wide = np.arange(5 * 3 * 3).reshape(3, 5, 3) * 1400
+    got = png.decode(png_file(5, 3, 16, 2, [row.astype(">u2").tobytes() for row in wide], tRNS=wide[1, 2].astype(">u2").tobytes()))
+    assert (got[:, :, :3] == wide // 256).all() and got[1, 2, 3] == 0 and (got[:, :, 3] == 0).sum() == 1
+    # Eleven pixels of one bit and five of two: the last byte is not full.
+    assert png.decode(png_file(11, 1, 1, 0, [bytes([0b10110011, 0b01000000])]))[0, :, 0].tolist() == [255, 0, 255, 255, 0, 0, 255, 255, 0, 255, 0]
+    assert png.decode(png_file(5, 1, 2, 0, [bytes([0b00011011, 0b10000000])]))[0, :, 1].tolist() == [0, 85, 170, 255, 170]
+    palette = bytes(range(12))
+    assert png.decode(png_file(3, 1, 4, 3, [bytes([0x31, 0x20])], PLTE=palette, tRNS=bytes([9, 8])))[0].tolist() == [[9, 10, 11, 255], [3, 4, 5, 8], [6, 7, 8, 255]]
+    for color, depth in ((2, 4), (7, 8)):
+        with pytest.raises(ValueError):
+            png.decode(png_file(1, 1, depth, color, [b"\0" * 8]))
+    with pytest.raises(ValueError):
+        png.decode(png_file(9, 9, 8, 2, [b"\0" * 27]))
+
+
+@pytest.mark.parametrize("width,height", [(1, 1), (3, 2), (8, 8), (13, 9)])
+def test_interlaced_png(width, height):
+    image = np.random.default_rng(width).integers(0, 256, (height, width, 4), dtype=np.uint8)
+    starts = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+    lines = [row.tobytes() for x, y, dx, dy in starts if x < width for row in image[y::dy, x::dx]]
+    assert (png.decode(png_file(width, height, 8, 6, lines, 1)) == image).all()
