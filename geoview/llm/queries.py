@@ -112,6 +112,12 @@ def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_neighbours(_table(spark, sf_dir, "conversations"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import branched, prefix_trie
+
+    return prefix_trie(branched(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality": op9_quality,
     "op10_preferences": op10_preferences,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op10_preferences": """
@@ -153,5 +160,37 @@ SELECT pair_id, max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id) FILTER
        CASE WHEN count(*) FILTER (side = 0) > 0 THEN coalesce(string_agg(span, ',' ORDER BY pos) FILTER (side = 0 AND pos >= prefix_turns AND role = 'assistant'), '') END AS chosen_spans,
        CASE WHEN count(*) FILTER (side = 1) > 0 THEN coalesce(string_agg(span, ',' ORDER BY pos) FILTER (side = 1 AND pos >= prefix_turns AND role = 'assistant'), '') END AS rejected_spans
 FROM spans GROUP BY pair_id
+""",
+    # crc32 of the decimal id, a byte and eight shifts at a time; a conversation
+    # counts for a node's saved words and leaves from where it is not its least member.
+    "op11_prefix_trie": r"""
+WITH said AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 20 AS base, xor(crc, 4294967295) % 4 AS h FROM (
+    SELECT c, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: list_prepend(ascii(x)::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS crc
+    FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL))
+), lengths AS (SELECT conv_id, count(*) AS n FROM said GROUP BY conv_id
+), built AS (
+  SELECT c, pos + 1 AS depth, role, text FROM convs JOIN said ON conv_id = base WHERE pos < h
+  UNION ALL SELECT c, pos - h + least(h, coalesce(n, 0)) + 1, role, text FROM convs JOIN said ON said.conv_id = c LEFT JOIN lengths ON lengths.conv_id = base WHERE pos >= h
+), paths AS (
+  SELECT c, depth, md5(string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY depth)) AS node, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM built
+  UNION ALL SELECT c, 0, '', 0 FROM convs
+), members AS (
+  SELECT c, depth, node, words, min(c) OVER (PARTITION BY node, depth) AS least, depth = max(depth) OVER (PARTITION BY c) AS ends, lag(node) OVER (PARTITION BY c ORDER BY depth) AS above FROM paths
+), tops AS (
+  SELECT node, depth, bool_and(ends) AS childless FROM members GROUP BY node, depth
+), sums AS (
+  SELECT m.*, sum(CASE WHEN c > least THEN words ELSE 0 END) OVER later AS saved, max(CASE WHEN c = least AND childless THEN 1 ELSE 0 END) OVER later AS leaf
+  FROM members m JOIN tops USING (node, depth) WINDOW later AS (PARTITION BY c ORDER BY depth DESC)
+), nodes AS (
+  SELECT node, depth, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS enders
+  FROM sums GROUP BY node, depth
+), kids AS (SELECT above AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, n.n_leaves, n.saved_tokens, sha256(n.enders) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.above AND p.depth = n.depth - 1 LEFT JOIN kids k ON k.node = n.node
 """,
 }
