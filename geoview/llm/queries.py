@@ -124,6 +124,14 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets, fit
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, fit(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_crf")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_packing": op2_packing,
@@ -137,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_preferences": op10_preferences,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_lexical_search": op12_lexical_search,
+    "op13_secrets": op13_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
     "op10_preferences": """
