@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Aabb
 from ..functions.vec import Vec3
+from ..shared import written
 
 
 #: Frames whose growth one task adds up.
@@ -45,22 +46,29 @@ def camera_positions(shots: DataFrame, order: str, distance: float, background:
     )
     depth = F.floor((F.col("max_z") - F.col("min_z")) / 2)
     ground = background.select(F.struct(F.col("center_x").alias("x"), F.col("center_y").alias("y"), (F.col("center_z") + depth).alias("z")).alias("BackgroundCentered"))
-    middle = _ranked(shots, order).join(F.broadcast(ends.select("n")), F.col("rank__") == F.floor(F.col("n") / 2)).select(pose.alias("CenterShot"))
+    middle = ranked(shots, order).join(F.broadcast(ends.select("n")), F.col("rank__") == F.floor(F.col("n") / 2)).select(pose.alias("CenterShot"))
     wide = ends.crossJoin(F.broadcast(ground)).crossJoin(F.broadcast(middle))  # one row each
     modes = ("BackgroundCentered", "FirstShot", "CenterShot", "LastShot", "AverageShot", "ShotCentered")
     rows = wide.select(F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), *[F.col(m)[c].cast("double").alias(c) for c in "xyz"]) for m in modes])).alias("p"))
     return rows.select("p.mode", "p.x", "p.y", (F.col("p.z") + distance).alias("z"))
 
 
-def _ranked(rows: DataFrame, order: str) -> DataFrame:
-    """``rank__`` from 0 in the order of a unique column, by range partitions."""
-    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("at__", F.monotonically_increasing_id())
+def ranked(rows: DataFrame, order: str) -> DataFrame:
+    """``rank__`` from 0 in the order of a unique column.
+
+    Rows are dealt out by ranges of the column and written once, with their range
+    and place in it; a sum of one number for each range gives the ranks.  Written,
+    as the ranges that are counted must be those that rows are in: planned twice, a
+    range shuffle may cut them elsewhere.
+    """
+    at = F.monotonically_increasing_id()
+    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("at__", at)
     part, inside = F.shiftrightunsigned("at__", 33), F.col("at__").bitwiseAND((1 << 33) - 1)
-    placed = placed.withColumns({"part__": part, "inside__": inside})
-    sizes = placed.groupBy("part__").agg(F.count(F.lit(1)).alias("n__"))
+    placed = written(placed.withColumns({"part__": part, "inside__": inside}).drop("at__"), "ranked")
     ahead = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("part__", F.coalesce(F.sum("n__").over(ahead), F.lit(0)).alias("before__"))
-    return placed.join(F.broadcast(before), "part__").withColumn("rank__", F.col("before__") + F.col("inside__")).drop("at__", "part__", "inside__", "before__")
+    sizes = placed.groupBy("part__").agg(F.count(F.lit(1)).alias("n__"))
+    before = sizes.select("part__", F.coalesce(F.sum("n__").over(ahead), F.lit(0)).alias("before__"))  # a row for each range
+    return placed.join(F.broadcast(before), "part__").withColumn("rank__", F.col("before__") + F.col("inside__")).drop("part__", "inside__", "before__")
 
 
 def shutter_plan(spark, shots: int, reference: int, grow: Callable[[Column], Column], symmetrical: bool = False) -> DataFrame:
@@ -93,9 +101,9 @@ def video_sequence(frames: DataFrame, order: str, first_repeats: int = 0, last_r
     The first is shown first_repeats more times and the last last_repeats.
     """
     first_repeats, last_repeats = max(first_repeats, 0), max(last_repeats, 0)
-    ranked = _ranked(frames, order)
-    total = ranked.agg(F.max("rank__").alias("last__"))
-    at = ranked.join(F.broadcast(total), F.lit(True))
+    placed = ranked(frames, order)
+    total = placed.agg(F.max("rank__").alias("last__"))
+    at = placed.join(F.broadcast(total), F.lit(True))  # one row
     first, last = F.col("rank__") == 0, F.col("rank__") == F.col("last__")
     times = F.lit(1) + F.when(first, first_repeats).otherwise(0) + F.when(last, last_repeats).otherwise(0)
     start = F.col("rank__") + F.when(first, 0).otherwise(first_repeats)

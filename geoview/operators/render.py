@@ -147,7 +147,7 @@ def shutter_sums(plan: DataFrame, shots: DataFrame, order: str, values: list[str
     Sums up to each shot come from one pass over ranges of shots; a frame takes
     the difference of two of them, by equi-joins, however long its exposure is.
     """
-    ranked = fr._ranked(shots.select(order, *values), order).withColumn("range__", F.expr(f"rank__ div {fr.RANGE}"))
+    ranked = fr.ranked(shots.select(order, *values), order).withColumn("range__", F.expr(f"rank__ div {fr.RANGE}"))
     within = Window.partitionBy("range__").orderBy("rank__")
     ahead = Window.orderBy("range__").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranked.groupBy("range__").agg(*[F.sum(v).alias(v) for v in values])

@@ -209,3 +209,28 @@ def test_bilinear_samples(spark):
         x, y = min(max(u * 3 - 0.5, 0), 2), min(max((1 - v) * 2 - 0.5, 0), 1)
         want = sum(values[r][c] * max(0, 1 - abs(x - c)) * max(0, 1 - abs(y - r)) for r in range(2) for c in range(3))
         assert abs(got[i]["v"] - want) < 1e-9 and abs(got[i]["overlap"] - 1) < 1e-9, i
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("count", [300_000, 2_000_000])
+def test_ranks_of_many_wide_rows(spark, adaptive, count):
+    """Every row once and in its place, with and without adaptive plans."""
+    from geoview.operators import render
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(count).select(((F.col("id") * 7_919) % count * 3).alias("shot"), F.lit("x" * 80).alias("note"), F.lit(1).cast("long").alias("light"))
+        wrong = fr.ranked(rows, "shot").agg(F.count(F.lit(1)), F.count_if(F.col("rank__") * 3 != F.col("shot"))).first()
+        assert tuple(wrong) == (count, 0)
+        if count == 300_000:
+            video = fr.video_sequence(rows, "shot", 1, 1).agg(F.count(F.lit(1)), F.countDistinct("out_id"), F.max("out_id")).first()
+            assert tuple(video) == (count + 2, count + 2, count + 1)
+            plan = spark.createDataFrame([(0, 0, count), (1, 100, 200_000)], "frame long, first long, last long")
+            assert {r["frame"]: r["light"] for r in render.shutter_sums(plan, rows, "shot", ["light"]).collect()} == {0: count, 1: 199_900}
+            shots = rows.select("shot", *[F.col("shot").cast("double").alias(c) for c in "xyz"])
+            ground = spark.createDataFrame([(0.0,) * 5], "center_x double, center_y double, center_z double, min_z double, max_z double")
+            at = {r["mode"]: r["x"] for r in fr.camera_positions(shots, "shot", 0.0, ground).collect()}
+            assert at["CenterShot"] == count // 2 * 3 and at["LastShot"] == (count - 1) * 3 and len(at) == 6
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
