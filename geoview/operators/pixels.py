@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.camera import Camera
+from .footprints import met_by_cell
+
 RGB = ("r", "g", "b")
 
 
@@ -170,6 +173,7 @@ def center_delta(width: int, height: int) -> dict[str, Column]:
 
 def sample_shots(
     surface: DataFrame, shots: DataFrame, project: Callable[[], tuple[Column, Column, Column]], on: list[str], pixels: DataFrame, width: int, height: int, bilinear: tuple[str, ...] = (),
+    camera: Camera | None = None, point: tuple[str, str, str] = ("gx", "gy", "gz"), bounds: dict[str, float] | None = None,
 ) -> DataFrame:
     """Pixels of shots seen at surface points: ``project`` gives u, v and whether
     the point is in front, from columns of both; points outside [0, 1] x [0, 1]
@@ -180,11 +184,15 @@ def sample_shots(
     sums over a point's rows are the values between pixel centres.  Beyond the
     outer centres the border repeats.
 
-    ``surface`` and ``shots`` meet on the keys ``on`` (a frame and its window),
-    so the product is as large as the overlap of views and no larger.
+    ``surface`` and ``shots`` meet on the keys ``on`` (a scene) and, given the shots'
+    ``camera`` and the names of a point's coordinates, by the cells of an index of
+    footprints: then a shot meets the points of the cells that its frustum reaches,
+    which are fewer than three for each that it sees on even ground.  ``bounds`` of the
+    surface save a pass over it.  Without a camera all pairs of a key meet.
     """
     u, v, front = project()
-    seen = surface.join(shots, on).withColumns({"u__": u, "v__": v, "front__": front}).filter(F.col("front__") & F.col("u__").between(0, 1) & F.col("v__").between(0, 1))
+    met = surface.join(shots, on) if camera is None else met_by_cell(surface, shots, on, camera, point, bounds)
+    seen = met.withColumns({"u__": u, "v__": v, "front__": front}).filter(F.col("front__") & F.col("u__").between(0, 1) & F.col("v__").between(0, 1))
     side = pixels.withColumnRenamed("x", "px").withColumnRenamed("y", "py")
     if not bilinear:
         nearest = lambda t, n: F.least(F.floor(t * n), F.lit(n - 1)).cast("int")

@@ -112,15 +112,16 @@ def view_points(scenes: DataFrame, keys: list[str], camera: cam.Camera, width: i
 
 def render_integral(
     points: DataFrame, shots: DataFrame, keys: list[str], project: Callable[[], tuple[Column, Column, Column]], pixels: DataFrame, size: tuple[int, int],
-    channels: tuple[str, ...], settings: IntegralSettings, background: DataFrame | None = None,
+    channels: tuple[str, ...], settings: IntegralSettings, background: DataFrame | None = None, camera: cam.Camera | None = None, bounds: dict[str, float] | None = None,
 ) -> DataFrame:
     """(keys, rx, ry, channels, overlap): the scene's shots integrated at its points.
 
     Channels are 0..1: sums over an overlap of more than alpha_threshold, then
     stretched together if auto_contrast holds.  With add_background, pixels of
-    ``background`` (keys, rx, ry, channels) stand where there is no overlap.
+    ``background`` (keys, rx, ry, channels) stand where there is no overlap.  With the
+    shots' ``camera``, points (gx, gy, gz) and shots meet by the cells of footprints.
     """
-    seen = px.sample_shots(points, shots, project, keys, pixels, *size)
+    seen = px.sample_shots(points, shots, project, keys, pixels, *size, camera=camera, bounds=bounds)
     at = [*keys, "rx", "ry"]
     out = px.integral(seen, at, channels, threshold=settings.alpha_threshold)
     if settings.auto_contrast:

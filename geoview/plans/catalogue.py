@@ -620,19 +620,19 @@ def shot_pixel_sampling(spark, sf_dir):
     coordinates are rounded before they choose one."""
     frames, images = A.frames(spark, sf_dir), A.images(spark, sf_dir)
     count = F.broadcast(images.agg((F.max("img") + 1).alias("images")))  # one row
-    corners = A.vertices(spark, sf_dir).agg(F.collect_list(F.struct("vid", *[F.col(c).alias(f"g{c}") for c in "xyz"])).alias("g"))  # a mesh of 25 vertices
-    surface = frames.select("frame_id").crossJoin(F.broadcast(corners)).select("frame_id", F.inline("g"))
-    window = frames.select("frame_id", F.explode(F.sequence(F.col("frame_id"), F.col("frame_id") + 4)).alias("at"))
-    shots = window.join(frames.withColumnRenamed("frame_id", "at"), "at").crossJoin(count).withColumn("shot_id", F.col("at") % F.col("images"))
+    ground = A.vertices(spark, sf_dir).select("vid", *[F.col(c).alias(f"g{c}") for c in "xyz"])
+    # What a shot sees is looked up once, then goes to the windows that hold the shot.
+    shots = frames.withColumnRenamed("frame_id", "at").crossJoin(count).withColumn("shot_id", F.col("at") % F.col("images"))
     c = _frame_camera()
 
     def project():
         u, v, front = c.uv(Vec3.of("gx", "gy", "gz"))
         return F.round(u, 9), F.round(v, 9), front
 
-    pixels = A.pixels(spark, sf_dir).select(F.col("img").alias("shot_id"), "x", "y", "v", "a")
-    seen = px.sample_shots(surface, shots, project, ["frame_id"], pixels, 8, 8)
-    out = px.integral(seen.withColumn("a", F.lit(1.0)), ["frame_id", "vid"], ("v",))
+    pixels = A.pixels(spark, sf_dir).select(F.col("img").alias("shot_id"), "x", "y", "v")
+    seen = px.sample_shots(ground, shots, project, [], pixels, 8, 8, camera=c).select("at", "vid", "v", F.lit(1.0).alias("a"))
+    window = frames.select("frame_id", F.explode(F.sequence(F.col("frame_id"), F.col("frame_id") + 4)).alias("at"))
+    out = px.integral(seen.join(window, "at"), ["frame_id", "vid"], ("v",))
     return out.select("frame_id", "vid", r(F.col("v"), "v"), F.col("overlap").cast("long").alias("overlap"))
 
 

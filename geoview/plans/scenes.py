@@ -10,6 +10,7 @@ from ..config import FocusSettings, IntegralSettings, PipelineSettings
 from ..functions import camera as cam
 from ..functions.geometry import Quad, Transform, perpendicular_or_error
 from ..functions.vec import Quat, Vec3, random_quaternion
+from ..operators import footprints as fp
 from ..operators import frames as fr
 from ..operators import labels as lb
 from ..operators import lookups as lk
@@ -87,7 +88,8 @@ def _shots(spark, sf_dir) -> DataFrame:
 def _render(spark, sf_dir, points: DataFrame, shots: DataFrame, keys: list[str], settings: IntegralSettings) -> DataFrame:
     camera = _frame_camera()
     pixels = A.pixels(spark, sf_dir).select(F.col("img").alias("shot_id"), "x", "y", "v", F.lit(1.0).alias("a"))
-    out = rd.render_integral(points, shots, keys, lambda: camera.uv(Vec3.of("gx", "gy", "gz")), pixels, (8, 8), ("v",), settings)
+    bounds = fp.mesh_bounds(_triangles(spark, sf_dir))
+    out = rd.render_integral(points, shots, keys, lambda: camera.uv(Vec3.of("gx", "gy", "gz")), pixels, (8, 8), ("v",), settings, camera=camera, bounds=bounds)
     return out.select(*keys, "rx", "ry", r(F.col("v"), "v"), F.col("overlap").cast("long").alias("overlap"))
 
 

@@ -234,3 +234,74 @@ def test_ranks_of_many_wide_rows(spark, adaptive, count):
             assert at["CenterShot"] == count // 2 * 3 and at["LastShot"] == (count - 1) * 3 and len(at) == 6
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_footprints_bring_few_pairs_together(spark, sf_dir):
+    """Pairs by cell are all that are seen and few others, also for cameras that are
+    tilted, that see the horizon, that stand within the surface or look from below."""
+    from geoview.functions import camera as cam
+    from geoview.functions.geometry import Transform
+    from geoview.functions.vec import Quat, Vec3
+    from geoview.operators import footprints as fp
+    from geoview.plans import adapters as A
+    from geoview.plans import catalogue as C
+
+    surface = spark.range(100 * 100).select(F.col("id").alias("pid"), (F.col("id") % 100 * 4.0 + 1).alias("gx"), (F.floor(F.col("id") / 100) * 4.0 + 1).alias("gy"), (F.col("id") % 11 * 1.0).alias("gz"))
+
+    def pairs(shots, camera):
+        u, v, front = camera.uv(Vec3.of("gx", "gy", "gz"))
+        met = fp.met_by_cell(surface, shots, [], camera, ("gx", "gy", "gz"), None).select("shot", "pid", (front & u.between(0, 1) & v.between(0, 1)).alias("seen"))
+        whole = shots.crossJoin(surface).filter(front & u.between(0, 1) & v.between(0, 1)).select("shot", "pid")
+        rows = met.collect()
+        kept = {(r["shot"], r["pid"]) for r in rows if r["seen"]}
+        assert kept == {tuple(r) for r in whole.collect()} and len({(r["shot"], r["pid"]) for r in rows}) == len(rows)
+        return len(rows), len(kept)
+
+    frames = A.frames(spark, sf_dir).filter("frame_id < 150").withColumnRenamed("frame_id", "shot")
+    met, kept = pairs(frames, C._frame_camera())
+    assert kept > 10_000 and met < 3 * kept
+    tilt = spark.range(60).select(F.col("id").alias("shot"), (F.col("id") * 37 % 400 * 1.0).alias("x"), (F.col("id") * 53 % 400 * 1.0).alias("y"), (F.col("id") % 5 * 40.0 - 20).alias("z"), (F.col("id") % 12 * 30.0).alias("a"), (F.col("id") * 7 % 180 * 1.0).alias("b"))
+    pose = Transform(Vec3.of("x", "y", "z"), Quat.about("z", F.radians("a")).times(Quat.about("x", F.radians("b"))))
+    assert pairs(tilt, cam.Camera.perspective(pose, 40.0, 1.5))[1] > 1000
+    assert pairs(tilt, cam.Camera.orthographic(pose, 60.0, 30.0))[1] > 1000
+    assert fp.met_by_cell(surface.limit(0), frames, [], C._frame_camera(), ("gx", "gy", "gz"), None).count() == 0
+
+
+def test_rays_walk_the_cells_that_they_cross(spark):
+    """Rows of the walk are the cells that a track crosses, level rays included."""
+    import math
+
+    from geoview.operators import raycast as rc
+
+    span = {"x0": 0.0, "x1": 100.0, "y0": 0.0, "y1": 100.0, "z0": 0.0, "z1": 10.0, "extent": 20.0, "n": 1}
+    cell, levels = rc.grid_of(span)
+    assert (cell, levels) == (10.0, 1)
+    rays = [(0, -5.0, 33.0, 5.0, 1.0, 0.0, 0.0), (1, 50.0, -7.0, 3.0, 0.0, 2.0, 0.0), (2, 1.0, 2.0, 8.0, 1.0, 0.93, 0.0), (3, 0.0, 99.0, 40.0, 3.0, -3.1, -1.0), (4, 55.0, 55.0, 30.0, 0.0, 0.0, -1.0), (5, 200.0, 5.0, 5.0, 1.0, 0.0, 0.0), (6, 5.0, 5.0, 20.0, 0.0, 0.0, 1.0), (7, 95.0, 3.0, 20.0, -0.7, 0.9, -0.11)]
+    table = spark.createDataFrame(rays, "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    tracks = rc._with_level(rc._tracks(table, span, cell), cell, levels)
+    got = {}
+    for r in rc.walked(tracks, cell).collect():
+        got.setdefault(r["ray_id"], []).append((r["gx"], r["gy"]))
+    for i, ox, oy, oz, dx, dy, dz in rays:
+        ends = (0.0, 1000.0) if dz == 0 else sorted((-oz / dz, (10 - oz) / dz))
+        near, far = max(ends[0], 0.0), ends[1]
+        want = set()
+        for k in range(200_001):
+            t = near + (far - near) * k / 200_000
+            x, y = ox + t * dx, oy + t * dy
+            if 0 < x < 100 and 0 < y < 100 and far >= 0:
+                want.add((math.floor(x / 10), math.floor(y / 10)))
+        own = got.get(i, [])
+        assert want <= set(own) and len(own) == len(set(own)), i
+        # Beyond those crossed, only cells that a track touches at an edge.
+        assert len(own) <= 2 * (len(want) + 2), i
+    assert len(got[2]) < 25 and len(got[0]) <= 12
+
+
+def test_rays_meet_the_mesh_of_their_own_key(spark):
+    from geoview.operators import raycast as rc
+
+    tri = spark.createDataFrame([(f, 0, 0.0, 0.0, h, 9.0, 0.0, h, 0.0, 9.0, h) for f, h in (("a", 1.0), ("b", 2.0))], "flight_id string, tid long, " + ", ".join(f"{k}{c} double" for k in "abc" for c in "xyz"))
+    rays = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "ray_id long, flight_id string").select("*", *[F.lit(v).alias(n) for n, v in zip(("ox", "oy", "oz", "dx", "dy", "dz"), (1.0, 1.0, 5.0, 0.0, 0.0, -1.0))])
+    got = {r["ray_id"]: r["z"] for r in rc.raycast(rays, tri, by=["flight_id"]).collect()}
+    assert got == {1: 1.0, 2: 2.0}
