@@ -5,12 +5,12 @@ document where it is shorter) has a SimHash of ``BITS`` bits over its word
 shingles, weighted by how often each occurs.  Items of one size stand in a
 multi-index of 16-bit blocks, hash tables that by the pigeonhole principle find
 every item within ``RADIUS`` bits of a window.  Candidates are verified by exact
-weighted Jaccard similarity, sum(min) / sum(max) of the shingles' counts, and
-those of ``threshold`` or more are leaks; a document reports its best window for
-an item.
+weighted Jaccard similarity, sum(min) / sum(max) of the shingles' counts, for a
+block of windows and items at a time, and those of ``threshold`` or more are leaks; a
+document reports its best window for an item.
 
-Windows that hold none of the benchmark's shingles have similarity 0 to every
-item and get no fingerprint; this loses nothing and leaves few windows.
+Windows that hold fewer of the benchmark's shingles than the threshold needs are
+near no item and get no fingerprint; this loses nothing and leaves few windows.
 
 The benchmark is broadcast in parts: equal rows are counted, and distinct ones
 are dealt by hash into as many parts as keep each near ``PART_CHARS`` characters;
@@ -30,7 +30,6 @@ on either side gives no leaks; other columns pass through.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -53,9 +52,11 @@ PART_CHARS = 16_000_000
 BATCH_ROWS = 256
 #: Windows fingerprinted together, and shingles that are summed at a time.
 WINDOWS = 1 << 10
+#: Windows times items of one size that a block has at most.
+PAIRS = 1 << 22
 SPAN = 1 << 15
-#: Items whose shingles are kept as counts, once a window came near them.
-COUNTED = 4_096
+#: Counts of candidates' shingles that are compared at once.
+ENTRIES = 1 << 20
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
@@ -90,9 +91,41 @@ def fingerprints(shingles: np.ndarray, starts: np.ndarray, inside: int) -> np.nd
     return packed(sums[np.searchsorted(at, starts + inside)] - sums[np.searchsorted(at, starts)])
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    both = sum((a & b).values())
-    return both / max(1, sum(a.values()) + sum(b.values()) - both)
+class Shingled:
+    """The shingles of items of one size, as counts in rows: entry e of item i has
+    the number of a kind of shingle and how often the item has it."""
+
+    def __init__(self, items: list[np.ndarray]) -> None:
+        self.kinds = np.unique(np.concatenate(items))
+        pairs = [np.unique(np.searchsorted(self.kinds, s), return_counts=True) for s in items]
+        self.kind = np.concatenate([k for k, _ in pairs])
+        self.often = np.concatenate([n for _, n in pairs])
+        self.ends = np.cumsum([len(k) for k, _ in pairs])
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.size = len(items[0])
+
+    def places(self, shingles: np.ndarray) -> np.ndarray:
+        """Where a text has kinds of these shingles: kind * (length + 1) + place, sorted."""
+        at = np.minimum(np.searchsorted(self.kinds, shingles), len(self.kinds) - 1)
+        hit = np.flatnonzero(self.kinds[at] == shingles)
+        return np.sort(at[hit] * (len(shingles) + 1) + hit)
+
+    def shared(self, places: np.ndarray, length: int, starts: np.ndarray, inside: int, items: np.ndarray) -> np.ndarray:
+        """sum(min) of the counts of windows and items, pair by pair."""
+        n = self.ends[items] - self.starts[items]
+        out = np.zeros(len(items), np.int64)
+        upto = np.cumsum(n)
+        lo = 0
+        while lo < len(items):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + ENTRIES, "right")))
+            own = n[lo:hi]
+            pair = np.repeat(np.arange(lo, hi), own)
+            entry = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + self.starts[items[pair]]
+            first = self.kind[entry] * (length + 1) + starts[pair]
+            there = np.searchsorted(places, first + inside) - np.searchsorted(places, first)
+            out[lo:hi] = np.bincount(pair - lo, np.minimum(there, self.often[entry]), hi - lo).astype(np.int64)
+            lo = hi
+        return out
 
 
 class Benchmark:
@@ -101,7 +134,6 @@ class Benchmark:
 
     def __init__(self, items: list[tuple]) -> None:
         self.sizes: dict[int, tuple] = {}
-        self._counted: dict[tuple[int, int], Counter] = {}
         by: dict[int, list] = {}
         for (item_id, _, times), words in zip(items, word_hashes(t for _, t, _ in items)):
             if len(words):
@@ -109,7 +141,7 @@ class Benchmark:
         known: dict[int, list] = {}
         for m, group in sorted(by.items()):
             prints = np.concatenate([fingerprints(s, np.zeros(1, np.int64), len(s)) for *_, s in group])
-            self.sizes[m] = (group, MultiIndex(prints))
+            self.sizes[m] = (group, MultiIndex(prints), Shingled([s for *_, s in group]))
             known.setdefault(min(m, SIZE), []).extend(s for *_, s in group)
         #: All shingles of items, by the number of words that they have.
         self.known = {k: np.unique(np.concatenate(s)) for k, s in known.items()}
@@ -132,13 +164,6 @@ class Benchmark:
         at = np.minimum(np.searchsorted(known, shingles[maybe]), len(known) - 1)
         return maybe[known[at] == shingles[maybe]]
 
-    def counts(self, m: int, i: int) -> Counter:
-        if (c := self._counted.get((m, i))) is None:
-            if len(self._counted) >= COUNTED:
-                self._counted.clear()
-            c = self._counted[m, i] = Counter(self.sizes[m][0][i][2].tolist())
-        return c
-
     def leaks(self, words: np.ndarray, threshold: float) -> list[tuple]:
         """(item_id, first word, words, similarity) for every leaked item."""
         found: list[tuple] = []
@@ -149,7 +174,7 @@ class Benchmark:
             if k <= len(words) or k == min(self.known):
                 s = shingle_hashes(words, k)
                 shingled[min(k, len(words))] = (s, self.hits(s, k) if k <= len(words) else np.zeros(0, np.int64))
-        for m, (group, index) in self.sizes.items():
+        for m, (group, index, shingled_items) in self.sizes.items():
             width = min(m, len(words))
             k = min(SIZE, width)
             s, hit = shingled.get(k, (None, ()))
@@ -161,17 +186,25 @@ class Benchmark:
             low[1:] = np.maximum(low[1:], high[:-1] + 1)
             n = np.maximum(high - low + 1, 0)
             starts = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            # A window shares at most as many shingles with an item as it holds of the
+            # benchmark's: with fewer than the threshold needs, it is none of its.
+            sizes = inside + shingled_items.size
+            holds = np.concatenate([[0], np.cumsum(np.bincount(hit, minlength=len(s)))])
+            starts = starts[holds[starts + inside] - holds[starts] >= threshold * sizes / (1 + threshold) - 1e-6]
+            places = shingled_items.places(s) if len(starts) else None
             best: dict[int, tuple] = {}
             lo = 0
             while lo < len(starts):
                 # Windows that lie far apart are not summed across.
-                hi = min(lo + WINDOWS, int(np.searchsorted(starts, starts[lo] + max(SPAN, inside))))
+                hi = min(lo + max(1, min(WINDOWS, PAIRS // len(group))), int(np.searchsorted(starts, starts[lo] + max(SPAN, inside))))
                 some = starts[lo:hi]
-                for w, i in zip(*(x.tolist() for x in index.within(fingerprints(s, some, inside), RADIUS))):
-                    at = int(some[w])
-                    score = similarity(Counter(s[at : at + inside].tolist()), self.counts(m, i))
-                    if score >= threshold and (score, -at) > best.get(i, (0, 0)):
-                        best[i] = (score, -at)
+                w, i = index.within(fingerprints(s, some, inside), RADIUS)
+                both = shingled_items.shared(places, len(s), some[w], inside, i)
+                score = both / np.maximum(1, sizes - both)
+                good = np.flatnonzero(score >= threshold)
+                for at, j, x in zip((-some[w[good]]).tolist(), i[good].tolist(), score[good].tolist()):
+                    if (x, at) > best.get(j, (0, 0)):
+                        best[j] = (x, at)
                 lo = hi
             found += [(group[i][0], -at, width, score) for i, (score, at) in sorted(best.items()) for _ in range(group[i][1])]
         return found
@@ -207,6 +240,7 @@ def _find(shared, threshold: float, text_at: int, keep: list[str], result: str,
             for lo in range(0, whole.num_rows, BATCH_ROWS):
                 b = whole.slice(lo, BATCH_ROWS)
                 found = [bench.leaks(words, threshold) for words in word_hashes(t.as_py() for t in b.column(text_at))]
+                found = [sorted(one, key=lambda x: (x[0] is not None, x[0] or 0, x[1:])) for one in found]
                 rows = [[dict(zip(("item_id", "start", "words", "similarity"), x)) for x in one] for one in found]
                 out = pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(rows, LEAK_ARROW)], names=[*keep, result])
                 yield out if all_rows else out.filter(pa.array([bool(x) for x in rows]))
@@ -237,7 +271,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     for i in range(parts):
         some = small_batches(texts).mapInArrow(_find(part(i), threshold, 2, ["k0", "k1"], "leaks", False), f"k0 long, k1 long, leaks {LEAK}")
         found.append(written(some.groupBy("k0", "k1").agg(F.first("leaks").alias("leaks")), "leaks"))
-    every = reduce(DataFrame.unionByName, found).groupBy("k0", "k1").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))
+    every = reduce(DataFrame.unionByName, found).groupBy("k0", "k1").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
     k0, k1, got = (free_name(docs, n) for n in ("leak_key0", "leak_key1", "leaks_found"))
     met = docs.withColumns({k0: keys[0], k1: keys[1]}).join(every.toDF(k0, k1, got), [k0, k1], "left")
     return met.select(*keep, F.coalesce(got, F.array().cast(LEAK)).alias(result))

@@ -46,6 +46,8 @@ from .common import claim, free_name, small_batches, tidied, with_text, written
 
 #: Rows to learn from, of each language, as expected under the row hash.
 SAMPLE_ROWS = 1_500
+#: Places of a row's hash, so many that rows of any table hardly share one.
+PLACES = 1 << 62
 #: Languages of one set of tables, which a worker holds.
 GROUP = 16
 #: Bytes on whose evidence the score is given.
@@ -217,6 +219,12 @@ def _count_part(languages: list[str]):
     return run
 
 
+def chosen_below(rows: int) -> int:
+    """Of ``PLACES`` that hashes fall on, those that choose ``SAMPLE_ROWS`` of so many
+    rows on average."""
+    return min(PLACES, SAMPLE_ROWS * PLACES // max(rows, 1))
+
+
 def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> list[Model]:
     """Models of groups of languages, from the rows for which ``teach`` holds; none
     if there is nothing to learn."""
@@ -224,16 +232,17 @@ def fit(docs: DataFrame, teach: Column, text_col: str = "text", lang_col: str =
     # The languages that labels name, one small row each.
     sizes = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).agg(F.count(F.lit(1))).collect()}
     languages = sorted(sizes)
-    span = 1 << 32
+    span = PLACES
     models = []
     # The hash is of text and id alone, so a row is chosen wherever it lies.
-    place = F.pmod(F.xxhash64(F.lit("sample"), *[c for c in (text_col, id_col) if c in docs.columns]), F.lit(span))
+    own = [c for c in (text_col, id_col) if c in docs.columns]
+    place, other = F.pmod(F.xxhash64(F.lit("sample"), *own), F.lit(span)), F.xxhash64(F.lit("other"), *own)
     for lo in range(0, len(languages), GROUP):
         some = languages[lo : lo + GROUP]
-        below = F.create_map(*[F.lit(x) for lang in some for x in (lang, min(span, SAMPLE_ROWS * span // sizes[lang]))])
+        below = F.create_map(*[F.lit(x) for lang in some for x in (lang, chosen_below(sizes[lang]))])
         lang = F.col(lang_col).cast("string")
-        sample = rows.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang"), place.alias("p")).filter(F.col("text").isNotNull() & (F.col("p") < F.try_element_at(below, "lang")))
-        sample = sample.dropDuplicates(["p", "lang"])
+        sample = rows.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang"), place.alias("p"), other.alias("q")).filter(F.col("text").isNotNull() & (F.col("p") < F.try_element_at(below, "lang")))
+        sample = sample.dropDuplicates(["p", "q", "lang"])
         counts = small_batches(sample.select("text", "lang")).mapInArrow(tidied(_count_part(some)), "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         got = counts.toArrow()
         if got.num_rows:

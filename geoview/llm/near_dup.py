@@ -464,7 +464,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_i
     found, rid = _classes(docs, threshold, id_col, text_col), free_name(docs, "row_id")
     last = F.lit((1 << 63) - 1)
     kept = found.groupBy("key").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("doc_id"), "rid")).alias("row")).select(F.col("row.rid").alias(rid))
-    return docs.withColumn(rid, _rid(id_col, text_col)).join(kept, rid, "left_semi").dropDuplicates([rid]).drop(rid)
+    # Rows that only share 64 bits stay: repeats are rows of equal 128 bits.
+    more = free_name(docs, "row_hash")
+    other = F.xxhash64(F.lit("row"), F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return docs.withColumns({rid: _rid(id_col, text_col), more: other}).join(kept, rid, "left_semi").dropDuplicates([rid, more]).drop(rid, more)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

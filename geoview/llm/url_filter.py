@@ -7,12 +7,11 @@ Other pages get the verdict of their template.  Every host has a tree of path
 segments, whose numbers and long hexadecimal strings are classes from the start.
 Level by level, segments that are variable (a node has more than
 ``MANY_CHILDREN`` and the segment less than ``RARE_SHARE`` of its pages) become
-a wildcard; so a node has 20 branches at most.  Then branches of a node are
-ordered by their smoothed share of bad labels, (bad + PRIOR_WEIGHT * PRIOR_BAD) /
-(bad + good + PRIOR_WEIGHT), and neighbours in that order that a test of two
-shares with these weights doesn't tell apart merge into one branch.  The prior
-keeps a branch with few or no labels apart from one with many bad ones.  What
-remains of each path is a template; its purity is its smoothed share of bad
+a wildcard; so a node has 21 branches at most.  Then branches merge whose smoothed
+shares of bad labels, (bad + PRIOR_WEIGHT * PRIOR_BAD) / (bad + good + PRIOR_WEIGHT), no
+test of two shares tells apart: nearest first, clusters by their pooled counts, and
+never branches that differ themselves.  A branch without labels counts as the prior
+says, which keeps it apart from one with many bad ones.  What remains of each path is a template; its purity is its smoothed share of bad
 labels, and a template of purity ``REJECT`` or more is blocked.  Labels are the
 pages for which a rule decides: block counts as bad, allow as good.
 
@@ -25,9 +24,9 @@ aggregated before the shuffle, so a hot host is a set of small counts; parents
 meet children in equi-joins, which Spark can split; pages find their template by
 a broadcast only where the table of class paths has ``BROADCAST_ROWS`` rows and
 ``BROADCAST_BYTES`` bytes or fewer, and by an equi-join beyond.  Segments are
-whole and paths of any depth.  A class path that is alone under its node has no
-siblings from there on, so the rest of it joins the template at once, and levels
-are as many as class paths have in common.
+whole and paths of any depth.  Segments that all paths of a node share join the
+template at once, as does the rest of a path that is alone, so rounds are as many as
+the partings on a path.
 
 Rules up to ``MAX_RULES`` are one expression; more are a table that distinct hosts
 and paths meet by the host's suffixes.
@@ -40,10 +39,12 @@ empty table gives no rows; an id column that is named as a result raises an erro
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -113,38 +114,98 @@ def class_path(path: Column) -> Column:
     return F.array_join(classed, "/")
 
 
+def apart(bad0: float, n0: float, bad1: float, n1: float) -> float:
+    """How far two shares of bad labels differ, as chi-square with one degree of
+    freedom.  Without labels a branch counts as its prior says, for it is not known
+    to be like one with many bad ones; with some, only these count."""
+    bad0, n0 = (bad0, n0) if n0 else (PRIOR_WEIGHT * PRIOR_BAD, PRIOR_WEIGHT)
+    bad1, n1 = (bad1, n1) if n1 else (PRIOR_WEIGHT * PRIOR_BAD, PRIOR_WEIGHT)
+    both = (bad0 + bad1) / (n0 + n1)
+    spread = both * (1 - both) * (1 / n0 + 1 / n1)
+    return (bad0 / n0 - bad1 / n1) ** 2 / spread if spread > 0 else 0.0
+
+
+def merge_branches(bad: list[int], good: list[int]) -> list[int]:
+    """A cluster number, from 1, for each branch of a node.
+
+    Branches are clusters of their own first, in order of share; the two neighbours that are
+    least far apart merge, again and again, as long as a test of their pooled shares and one of each pair of
+    their branches stay below ``ALIKE``.  So no chain of neighbours joins branches
+    that differ.  Numbers follow shares, then places.
+    """
+    share = [(b + PRIOR_WEIGHT * PRIOR_BAD) / (b + g + PRIOR_WEIGHT) for b, g in zip(bad, good)]
+    order = sorted(range(len(bad)), key=lambda i: (share[i], i))
+    n = [b + g for b, g in zip(bad, good)]
+    clusters = [[i] for i in order]
+
+    def distance(x: list[int], y: list[int]) -> float:
+        pooled = apart(sum(bad[i] for i in x), sum(n[i] for i in x), sum(bad[i] for i in y), sum(n[i] for i in y))
+        return max(pooled, *[apart(bad[i], n[i], bad[j], n[j]) for i in x for j in y])
+
+    while len(clusters) > 1:
+        # Only clusters that are next to each other by share merge.
+        gaps = [distance(x, y) for x, y in zip(clusters, clusters[1:])]
+        at = gaps.index(min(gaps))
+        if gaps[at] > ALIKE:
+            break
+        clusters[at : at + 2] = [clusters[at] + clusters[at + 1]]
+    out = [0] * len(bad)
+    for k, c in enumerate(clusters, 1):
+        for i in c:
+            out[i] = k
+    return out
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes (host, template, branches) as rows (host, template, name, name2)."""
+    for b in batches:
+        hosts, tops, names, ends = [], [], [], []
+        for host, top, branches in zip(*(c.to_pylist() for c in b.columns)):
+            number = merge_branches([x["bad"] for x in branches], [x["good"] for x in branches])
+            hosts += [host] * len(branches)
+            tops += [top] * len(branches)
+            names += [x["name"] for x in branches]
+            ends += [f"?{k}" if number.count(k) > 1 else x["name"] for k, x in zip(number, branches)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (hosts, tops, names, ends)], names=["host", "template", "name", "name2"])
+
+
 def templates(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, classes, n, bad, good) with template and purity."""
+    """``paths`` (host, classes, n, bad, good) with template and purity.
+
+    A round takes every node past the segments that all of its paths share, and past
+    the next one, where they part; rounds are as many as a path has partings.
+    """
     left = F.filter(F.split("classes", "/"), lambda s: s != "")
     tree = written(paths.withColumns({"template": F.lit(""), "left": left}), "url-level")
     done = []
     while True:
         done.append(tree.filter(F.size("left") == 0).drop("left"))
-        tree = tree.filter(F.size("left") > 0).withColumn("seg", F.get("left", F.lit(0)))
+        tree = tree.filter(F.size("left") > 0)
         if tree.isEmpty():
             break
-        child = tree.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")], F.count(F.lit(1)).alias("paths"))
-        count = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("paths").alias("all_paths"), F.count(F.lit(1)).alias("kinds"))
+        # What the first and the last of a node's paths share, all of them share.
+        ends = tree.groupBy("host", "template").agg(F.min("left").alias("lo"), F.max("left").alias("hi"))
+        same = F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b))
+        ends = ends.select("host", "template", F.coalesce(F.array_position(same, F.lit(False)).cast("int") - 1, F.lit(-1)).alias("k"), F.size("lo").alias("most"))
+        ends = ends.select("host", "template", F.when(F.col("k") < 0, F.col("most")).otherwise(F.col("k")).alias("k"))
+        tree = tree.join(ends, ["host", "template"])
+        shared = F.when(F.col("k") > 0, F.concat_ws("/", "template", F.array_join(F.slice("left", F.lit(1), F.col("k")), "/"))).otherwise(F.col("template"))
+        tree = tree.withColumns({"template": shared, "left": F.slice("left", F.col("k") + 1, F.size("left"))}).drop("k")
+        done.append(tree.filter(F.size("left") == 0).drop("left"))
+        tree = written(tree.filter(F.size("left") > 0).withColumn("seg", F.get("left", F.lit(0))), "url-level")
+        child = tree.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "good")])
+        count = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("kinds"))
         rare = (F.col("kinds") > MANY_CHILDREN) & (F.col("n") < RARE_SHARE * F.col("all_n"))
         named = child.join(count, ["host", "template"]).withColumn("name", F.when(rare, "?*").otherwise(F.col("seg")))
         branch = named.groupBy("host", "template", "name").agg(*[F.sum(c).alias(c) for c in ("bad", "good")])
-        weight = F.col("bad") + F.col("good") + PRIOR_WEIGHT
-        branch = branch.withColumns({"weight": weight, "rate": (F.col("bad") + PRIOR_WEIGHT * PRIOR_BAD) / weight})
-        # Windows over the branches of one node, of which there are 20 at most.
-        ordered = Window.partitionBy("host", "template").orderBy("rate", "name")
-        rate, m, rate0, m0 = F.col("rate"), F.col("weight"), F.lag("rate").over(ordered), F.lag("weight").over(ordered)
-        pooled = (rate * m + rate0 * m0) / (m + m0)
-        apart = F.pow(rate - rate0, F.lit(2.0)) > ALIKE * pooled * (1 - pooled) * (1 / m + 1 / m0)
-        merged = branch.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("cluster", 1 + F.sum("apart").over(ordered))
-        alike = F.count(F.lit(1)).over(Window.partitionBy("host", "template", "cluster"))
-        merged = merged.withColumn("name2", F.when(alike > 1, F.concat(F.lit("?"), F.col("cluster").cast("string"))).otherwise(F.col("name")))
+        # A node has 21 branches at most.
+        nodes = branch.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("name", "bad", "good"))).alias("branches"))
+        merged = nodes.mapInArrow(_merged, "host string, template string, name string, name2 string")
         # A node's branch name follows from its segment: segment -> name -> name2.
-        step = named.select("host", "template", "seg", "name", (F.col("all_paths") == 1).alias("alone")).join(merged.select("host", "template", "name", "name2"), ["host", "template", "name"]).drop("name")
+        step = named.select("host", "template", "seg", "name").join(merged, ["host", "template", "name"]).drop("name")
         met = tree.join(step, ["host", "template", "seg"])
-        rest = F.slice("left", F.lit(2), F.size("left"))
-        tail = F.when(F.col("alone"), F.array_join("left", "/")).otherwise(F.col("name2"))
-        met = met.withColumn("template", F.concat_ws("/", "template", tail))
-        tree = written(met.withColumn("left", F.when(F.col("alone"), F.slice("left", 1, 0)).otherwise(rest)).drop("seg", "name2", "alone"), "url-level")
+        met = met.withColumn("template", F.concat_ws("/", "template", "name2"))
+        tree = written(met.withColumn("left", F.slice("left", F.lit(2), F.size("left"))).drop("seg", "name2"), "url-level")
     tree = written(reduce(DataFrame.unionByName, done), "url-templates")
     pure = tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
     purity = (F.col("b") + PRIOR_WEIGHT * PRIOR_BAD) / (F.col("b") + F.col("g") + PRIOR_WEIGHT)

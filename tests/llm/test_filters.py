@@ -224,18 +224,24 @@ def tree_by_hand(paths):
         for left, _, _, b, g in rows:
             bad[name[left[0]]] += b
             good[name[left[0]]] += g
-        weight = {x: bad[x] + good[x] + 4.0 for x in set(name.values())}
-        rate = {x: (bad[x] + 0.4) / w for x, w in weight.items()}
-        order = sorted(weight, key=lambda x: (rate[x], x))
-        cluster = {}
-        for i, x in enumerate(order):
-            k = cluster[order[i - 1]] if i else 1
-            if i:
-                y = order[i - 1]
-                p = (rate[x] * weight[x] + rate[y] * weight[y]) / (weight[x] + weight[y])
-                k += (rate[x] - rate[y]) ** 2 > 3.841 * p * (1 - p) * (1 / weight[x] + 1 / weight[y])
-            cluster[x] = k
-        final = {x: f"?{cluster[x]}" if list(cluster.values()).count(cluster[x]) > 1 else x for x in order}
+        names = sorted(set(name.values()), key=lambda x: ((bad[x] + 0.4) / (bad[x] + good[x] + 4.0), x))
+        groups = [(x,) for x in names]
+
+        def far(xs, ys):
+            m, n = (sum(bad[x] + good[x] for x in some) for some in (xs, ys))
+            p, q = (sum(bad[x] for x in some) / k if k else 0.1 for some, k in ((xs, m), (ys, n)))
+            m, n = m or 4.0, n or 4.0
+            pq = (p * m + q * n) / (m + n)
+            return (p - q) ** 2 / (pq * (1 - pq) * (1 / m + 1 / n)) if 1e-12 < pq < 1 - 1e-12 else 0.0
+
+        while True:
+            near = [(max([far(g, h)] + [far((x,), (y,)) for x in g for y in h]), i) for i, (g, h) in enumerate(zip(groups, groups[1:]))]
+            if not near or min(near)[0] > 3.841:
+                break
+            i = min(near)[1]
+            groups = groups[:i] + [groups[i] + groups[i + 1]] + groups[i + 2 :]
+        cluster = {x: k for k, g in enumerate(groups, 1) for x in g}
+        final = {x: f"?{cluster[x]}" if list(cluster.values()).count(cluster[x]) > 1 else x for x in names}
         below = {}
         for left, *r in rows:
             below.setdefault("/".join([at, final[name[left[0]]]]), []).append((left[1:], *r))
@@ -297,3 +303,91 @@ def test_preferences_equal_their_sql(spark, sf_dir):
     names = [d[0] for d in want.description]
     got = QUERIES["op10_preferences"](spark, sf_dir).select(*names).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_merging_does_not_chain():
+    """Of 20 branches with bad shares from 0 to 95 in steps of 5, none over a half
+    lands in a template under it, and no template spans branches that differ."""
+    from geoview.llm import url_filter as u
+
+    bad = [10 * i for i in range(20)]
+    good = [200 - b for b in bad]
+    number = u.merge_branches(bad, good)
+    assert sorted(set(number)) == list(range(1, max(number) + 1)) and number == sorted(number) and 5 <= max(number) < 20
+    for k in set(number):
+        own = [i for i, x in enumerate(number) if x == k]
+        purity = (sum(bad[i] for i in own) + u.PRIOR_WEIGHT * u.PRIOR_BAD) / (200 * len(own) + u.PRIOR_WEIGHT)
+        assert all((bad[i] > 100) <= (purity >= u.REJECT) for i in own if bad[i] != 100)
+        assert max(own) - min(own) <= 2
+    assert u.merge_branches([], []) == [] and u.merge_branches([3], [0]) == [1]
+    assert len(set(u.merge_branches([0] * 9, [50] * 9))) == 1
+
+
+def test_branches_over_a_half_stay_blocked(spark):
+    from geoview.llm import url_filter as u
+
+    share = F.col("id") % 20 * 10
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.when(F.floor(F.col("id") / 20) < share, "http://bad.h.com/s").otherwise("http://h.com/s"), F.chr(F.lit(97) + F.col("id") % 20)).alias("url"))
+    # Labels come by host, so the tree is tried on its own table of one host.
+    paths = pages.select(F.lit("h").alias("host"), F.concat(F.lit("s"), F.chr(F.lit(97) + F.col("page_id") % 20)).alias("classes"), F.col("url").startswith("http://bad").cast("long").alias("bad"))
+    paths = paths.groupBy("host", "classes").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).withColumn("good", F.col("n") - F.col("bad"))
+    got = {r["classes"]: r["purity"] for r in u.templates(paths).collect()}
+    assert len(got) == 20 and all(got[f"s{chr(97 + i)}"] >= 0.5 for i in range(11, 20)) and all(got[f"s{chr(97 + i)}"] < 0.5 for i in range(10))
+
+
+def test_long_shared_paths_take_few_rounds(spark):
+    import time
+
+    from geoview.llm import url_filter as u
+
+    deep = "/".join(["a"] * 1000)
+    rows = [("h", f"{deep}/x/y", 1, 1, 0), ("h", f"{deep}/z", 1, 0, 1), ("h", "a", 1, 0, 0), ("g", deep, 2, 0, 2), ("e", "", 1, 0, 0)]
+    start = time.time()
+    got = {(r["host"], r["classes"]): r["template"] for r in u.templates(spark.createDataFrame(rows, "host string, classes string, n long, bad long, good long")).collect()}
+    assert time.time() - start < 60 and len(got) == 5
+    assert got["e", ""] == "" and got["g", deep] == "/" + deep and got["h", "a"] == "/a"
+    assert all(got["h", f"{deep}/{x}"].startswith("/" + deep + "/") for x in ("x/y", "z"))
+
+
+def test_near_equal_items_are_compared_in_blocks():
+    """A document against 2,000 items that differ in a word or two."""
+    import time
+
+    import numpy as np
+
+    from geoview.llm import decontam as d
+
+    r = np.random.default_rng(3)
+    base = [f"w{i}" for i in r.integers(0, 5000, 40)]
+    items = []
+    for i in range(2000):
+        words = list(base)
+        for at in r.integers(0, 40, 2):
+            words[at] = f"x{i}"
+        items.append((i, " ".join(words), 1))
+    bench = d.Benchmark(items)
+    words = d.word_hashes([" ".join([f"w{i}" for i in r.integers(0, 5000, 600)] + base + [f"w{i}" for i in r.integers(0, 5000, 560)])])[0]
+    start = time.time()
+    found = bench.leaks(words, 0.5)
+    assert time.time() - start < 2.0
+    from collections import Counter
+
+    own = Counter(d.shingle_hashes(words[600:640]).tolist())
+    want = set()
+    for i, t, _ in items[:300]:
+        other = Counter(d.shingle_hashes(d.word_hashes([t])[0]).tolist())
+        both = sum((own & other).values())
+        if both / (72 - both) >= 0.8:
+            want.add((i, round(both / (72 - both), 9)))
+    assert {(i, round(x, 9)) for i, _, _, x in found if i < 300 and x >= 0.8} == want and len(want) > 3
+    assert all(590 <= at <= 610 for _, at, _, x in found if x >= 0.8)
+
+
+def test_sample_of_a_very_large_language():
+    from geoview.llm import langid
+
+    for rows in (10**3, 10**9, 5 * 10**10):
+        chance = langid.chosen_below(rows) / langid.PLACES
+        assert abs(min(rows, chance * rows) - min(rows, langid.SAMPLE_ROWS)) < 1
+    # So many places are below the bound that rows of the sample hardly meet in one.
+    assert langid.chosen_below(5 * 10**10) > 1e10
