@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import truncated
 
@@ -64,14 +69,24 @@ def track_boxes(boxes: DataFrame, by: list[str], order: list[str], class_col: st
     )
 
 
-def merged_tracks(window: DataFrame, boxes: DataFrame, frame_col: str = "frame_id", track_col: str = "track_id", ties: list[str] | None = None) -> DataFrame:
+def merged_tracks(window: DataFrame, boxes: DataFrame, frame_col: str = "frame_id", track_col: str = "track_id", ties: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Enclosing boxes of tracks over each frame and its neighbours.
 
-    ``window`` has (frame, neighbour_id, phase), with phase 0 for the frame
-    itself; the class is that of the first state by phase, neighbour and ties.
+    ``window`` has (by, frame, neighbour_id, phase), with phase 0 for the frame itself;
+    frames of equal ``by`` columns (a flight) meet.  The class is that of the first
+    state by phase, neighbour and ties.  Boxes of a frame and track merge first, so
+    that the window multiplies one row for each of these.
     """
-    seen = boxes.withColumnRenamed(frame_col, "neighbour_id")
-    return track_boxes(window.join(seen, "neighbour_id"), [frame_col, track_col], ["phase", "neighbour_id", *(ties or [])])
+    by, order = by or [], F.struct(*(ties or ["class_id"]))
+    first = boxes.groupBy(*by, F.col(frame_col).alias("neighbour_id"), track_col).agg(
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
+        F.min(order).alias("tie__"), F.min_by("class_id", order).alias("class_id"), F.count(F.lit(1)).alias("n__"),
+    )
+    met = window.join(first, [*by, "neighbour_id"])
+    return met.groupBy(*by, frame_col, track_col).agg(
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
+        F.min_by("class_id", F.struct("phase", "neighbour_id", "tie__")).alias("class_id"), F.sum("n__").alias("boxes"),
+    )
 
 
 def _area(b: Column) -> Column:
@@ -86,24 +101,129 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, (w * h) / union).otherwise(F.lit(0.0))
 
 
+#: Boxes of a group that are compared without a grid.
+FEW_BOXES = 48
+
+
+def _suppressed(shapes: np.ndarray, max_iou: float) -> np.ndarray:
+    """Which boxes stay, of rows (x1, y1, x2, y2) in their order.
+
+    Kept boxes stand in the cells of a grid about as wide as boxes are; a box is
+    compared with those kept in its cells alone, as no other can overlap it.
+    """
+    n = len(shapes)
+    keep = np.zeros(n, bool)
+    if not n:
+        return keep
+    x1, y1, x2, y2 = shapes.T
+    area = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+    cell = float(max(np.mean(np.maximum(x2 - x1, 0)), np.mean(np.maximum(y2 - y1, 0)), 1e-9)) * 2
+    grid: dict[tuple[int, int], list[int]] = {}
+    wide: list[int] = []  # kept boxes of very many cells, compared with all
+    low = np.floor(shapes[:, :2] / cell).astype(np.int64).tolist()
+    high = np.floor(shapes[:, 2:] / cell).astype(np.int64).tolist()
+    for i in range(n):
+        (a, b), (c, d) = low[i], high[i]
+        if not area[i] > 0:
+            keep[i] = max_iou >= 0  # an empty box overlaps nothing
+            continue
+        many = (c - a + 1) * (d - b + 1) > 64
+        if many:
+            near = np.flatnonzero(keep[:i])
+        else:
+            near = np.array(sorted({k for gx in range(a, c + 1) for gy in range(b, d + 1) for k in grid.get((gx, gy), ())} | set(wide)), np.int64)
+        if len(near):
+            w = np.minimum(x2[near], x2[i]) - np.maximum(x1[near], x1[i])
+            h = np.minimum(y2[near], y2[i]) - np.maximum(y1[near], y1[i])
+            both = np.maximum(w, 0) * np.maximum(h, 0)
+            if (both / (area[near] + area[i] - both) > max_iou).any():
+                continue
+        keep[i] = True
+        if many:
+            wide.append(i)
+        else:
+            for gx in range(a, c + 1):
+                for gy in range(b, d + 1):
+                    grid.setdefault((gx, gy), []).append(i)
+    return keep
+
+
+def _few(shapes: np.ndarray, max_iou: float) -> list[bool]:
+    """The same for a few boxes, each compared with all that were kept."""
+    kept: list[tuple] = []
+    out = []
+    for x1, y1, x2, y2 in shapes.tolist():
+        own = max(x2 - x1, 0.0) * max(y2 - y1, 0.0)
+        stays = True
+        for a1, b1, a2, b2, area in kept:
+            w, h = min(x2, a2) - max(x1, a1), min(y2, b2) - max(y1, b1)
+            both = w * h if w > 0 and h > 0 else 0.0
+            union = own + area - both
+            if (both / union if union > 0 else 0.0) > max_iou:
+                stays = False
+                break
+        out.append(stays)
+        if stays:
+            kept.append((x1, y1, x2, y2, own))
+    return out
+
+
 def nms(boxes: DataFrame, by: list[str], order: list[str], max_iou: float, literal: bool = False) -> DataFrame:
     """Greedy suppression within each group, in the given order: a box stays if
     its overlap with every box that stayed is at most ``max_iou``.
 
     ``literal`` reads (x1, y1, x2, y2) as (x, y, width, height) when overlap is
-    measured.  The fold runs inside one expression over the boxes of a frame,
-    which is the unit of the operation and small.
+    measured.  Groups are streams of rows sorted by group and order; a task holds a
+    group's shapes, 32 bytes a box, and the grid of those kept, not its other columns.
     """
     far = (F.col("x1") + F.col("x2"), F.col("y1") + F.col("y2")) if literal else (F.col("x2"), F.col("y2"))
-    shape = F.struct(F.col("x1"), F.col("y1"), far[0].alias("x2"), far[1].alias("y2"))
     rest = [c for c in boxes.columns if c not in by and c not in order]
-    one = F.struct(*order, *rest, shape.alias("shape__"))
-    all_ = F.array_sort(F.collect_list(one))
-    kept = boxes.groupBy(*by).agg(all_.alias("all__"))
-    kind = kept.schema["all__"].dataType.simpleString()
-    fold = F.aggregate(
-        "all__",
-        F.array().cast(kind),
-        lambda keep, b: F.when(F.forall(keep, lambda k: iou(k["shape__"], b["shape__"]) <= max_iou), F.array_append(keep, b)).otherwise(keep),
-    )
-    return kept.select(*by, F.explode(fold).alias("one__")).select(*by, "one__.*").drop("shape__")
+    names = [*by, *order, *rest]
+    # Equal rows in one order, so that ties have one result.
+    rows = boxes.select(*names, *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"{n}__") for n, c in zip(("x1", "y1", "x2", "y2"), (F.col("x1"), F.col("y1"), *far))])
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, *order, *rest)
+    first = len(by)
+
+    def shapes_of(b: pa.RecordBatch) -> np.ndarray:
+        return np.column_stack([b.column(len(names) + i).to_numpy(zero_copy_only=False) for i in range(4)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the one group that may go on
+
+        def done() -> Iterator[pa.RecordBatch]:
+            keep, at = _suppressed(np.concatenate([shapes_of(h) for h in held]), max_iou), 0
+            for h in held:
+                yield h.select(range(len(names))).filter(pa.array(keep[at : at + h.num_rows]))
+                at += h.num_rows
+            held.clear()
+
+        now = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = list(zip(*[b.column(i).to_pylist() for i in range(first)])) if first else [()] * b.num_rows
+            starts = [i for i in range(b.num_rows) if i == 0 or keys[i] != keys[i - 1]]
+            if held and keys[0] == now:
+                own = starts[1] if len(starts) > 1 else b.num_rows
+                held.append(b.slice(0, own))
+                starts = starts[1:]
+            if held and starts:
+                yield from done()
+            if not starts:
+                continue
+            # Groups that begin and end in this batch.
+            lo, hi = starts[0], starts[-1]
+            if hi > lo:
+                some = b.slice(lo, hi - lo)
+                shapes = shapes_of(some)
+                keep = np.ones(len(shapes), bool)
+                for s, e in zip(starts, starts[1:]):
+                    if e - s > 1 or max_iou < 0:
+                        keep[s - lo : e - lo] = (_few if e - s <= FEW_BOXES else _suppressed)(shapes[s - lo : e - lo], max_iou)
+                yield some.select(range(len(names))).filter(pa.array(keep))
+            held.append(b.slice(hi))
+            now = keys[hi]
+        if held:
+            yield from done()
+
+    return dealt.mapInArrow(run, T.StructType([boxes.schema[c] for c in names])).select(*boxes.columns)

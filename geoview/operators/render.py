@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import IntegralSettings, PipelineSettings
 from ..functions import camera as cam
 from ..functions.geometry import Transform
-from ..functions.vec import Number, Vec3
+from ..functions.vec import Number, Quat, Vec3
 from . import frames as fr
 from . import labels as lb
 from . import lookups as lk
@@ -43,61 +43,117 @@ def pixel_rays(rows: DataFrame, camera: cam.Camera, x: Column, y: Column, width:
     return rows.select("*", *o.columns("o"), *d.columns("d")).drop("ux__", "uy__")
 
 
-def project_labels(labels: DataFrame, triangles: DataFrame, keys: list[str], shot: cam.Camera, view: cam.Camera, view_columns: list[str], shot_size: tuple[int, int], view_size: tuple[int, int], corners: str = "corners", ensure_int: bool = True) -> DataFrame:
+def project_labels(labels: DataFrame, triangles: DataFrame, keys: list[str], shot: cam.Camera, view: cam.Camera, view_columns: list[str], shot_size: tuple[int, int], view_size: tuple[int, int], corners: str = "corners", ensure_int: bool = True, by: list[str] | None = None) -> DataFrame:
     """(keys, x1, y1, x2, y2, n_hits): labels seen by ``shot``, as ``view`` sees them.
 
-    Every corner (x, y) of a label is cast on the mesh and projected again; the
-    box encloses those that hit, and a label of which none does has no row.
-    ``keys`` name one label; cameras are columns of ``labels``, those of the view
-    ``view_columns``.
+    Every corner (x, y) of a label is cast on the mesh, or on the one of its ``by``
+    columns, and projected again; the box encloses those that hit, and a label of
+    which none does has no row.  ``keys`` name one label; cameras are columns of
+    ``labels``, those of the view ``view_columns``.
     """
     points = labels.select(*labels.columns, F.posexplode(corners).alias("n__", "at__")).drop(corners)
     rays = pixel_rays(points, shot, F.col("at__.x").cast("double"), F.col("at__.y").cast("double"), *shot_size)
     rays = rays.withColumn("ray_id", F.struct(*keys, "n__", "at__"))
     more = [c for c in view_columns if c not in keys]
-    hits = raycast(rays, triangles, keep=more)
+    hits = raycast(rays, triangles, keep=more, by=by)
     hits = hits.select(*[F.col(f"ray_id.{k}").alias(k) for k in keys], *more, "x", "y", "z")
     u, v = view.world_to_pixel(_vec("xyz"), *view_size, ensure_int=ensure_int)
     seen = hits.select(*keys, u.alias("u__"), v.alias("v__"))
     return seen.groupBy(*keys).agg(F.min("u__").alias("x1"), F.min("v__").alias("y1"), F.max("u__").alias("x2"), F.max("v__").alias("y2"), F.count(F.lit(1)).alias("n_hits"))
 
 
+def frame_corrections(frames: DataFrame, corrections: DataFrame, default: dict[str, float] | DataFrame | None = None) -> DataFrame:
+    """``frames`` with the CORRECTION columns of each: of the first interval that
+    holds it, among those of its flight if corrections name one, or else the
+    default, which may be a row for each flight."""
+    by = ["flight_id"] if "flight_id" in corrections.columns else []
+    own = None if isinstance(default, DataFrame) else {c: 0.0 for c in CORRECTION} | (default or {})
+    out = lk.interval_lookup(frames, corrections, {"pos": None, **(own or {})}, by=by).drop("pos")
+    if own is not None:
+        return out
+    side = default.select("flight_id", *[F.col(c).alias(f"{c}__") for c in CORRECTION])
+    return out.join(side, "flight_id", "left").withColumns({c: F.coalesce(c, f"{c}__", F.lit(0.0)) for c in CORRECTION}).drop(*[f"{c}__" for c in CORRECTION])
+
+
+def output_name(rotation: Column | None = None) -> Column:
+    """``{flight}_{frame}``, with the rotation, its point as ``_``, where it is not 0."""
+    name = F.concat_ws("_", F.col("flight_id").cast("string"), F.col("frame_id").cast("string"))
+    if rotation is None:
+        return name
+    return F.when(rotation == 0, name).otherwise(F.concat_ws("_", name, F.replace(rotation.cast("string"), F.lit("."), F.lit("_"))))
+
+
+def batch_frames(frames: DataFrame, settings: PipelineSettings, done: DataFrame | None = None) -> DataFrame:
+    """The central frames of a batch, with rotation_nr, rotation and the name of what
+    is made of them.
+
+    Flights of exclude_flights are left out, and the first initial_skip frames of each
+    flight.  Each frame has rotation 0 and additional_rotations random ones; names
+    in ``done`` (name) are left out.
+    """
+    s = settings
+    if s.exclude_flights:
+        frames = frames.filter(~F.col("flight_id").cast("string").isin(*s.exclude_flights))
+    if s.initial_skip > 0:
+        # The ids that are skipped are a few for each flight.
+        least = F.row_number().over(Window.partitionBy("flight_id").orderBy("frame_id"))
+        skipped = frames.select("flight_id", "frame_id", least.alias("n__")).filter(F.col("n__") <= s.initial_skip).drop("n__")
+        frames = frames.join(skipped, ["flight_id", "frame_id"], "left_anti")
+    if s.additional_rotations > 0:
+        out = fr.random_rotations(frames, s.rotation_radians, s.additional_rotations, s.rotation_seed)
+    else:
+        out = frames.withColumns({"rotation_nr": F.lit(0), "rotation": F.lit(0.0)})
+    out = out.withColumn("name", output_name(F.col("rotation")))
+    return out if done is None else lk.pending(out, done.select("name"), ["name"])
+
+
 def batch_labels(
     frames: DataFrame, labels: DataFrame, corrections: DataFrame, triangles: DataFrame, settings: PipelineSettings,
-    before: Column | int, after: Column | int, stride: Column | int, default: dict[str, float] | None = None, ensure_int: bool = True,
+    before: Column | int, after: Column | int, stride: Column | int, default: dict[str, float] | DataFrame | None = None, ensure_int: bool = True,
+    done: DataFrame | None = None,
 ) -> DataFrame:
-    """(flight_id, frame_id, track_id, class_id, xc, yc, w, h): the batch's labels.
-
-    ``frames`` has flight_id, frame_id and a pose; ``labels`` frame_id, line,
-    track_id, class_id and corners in pixels; ``corrections`` pos, lo, hi and
-    CORRECTION columns.  Labels of a frame's neighbours, or with merge_labels off
-    of itself alone, are cast through their own frame's pose under the central
-    frame's correction, and projected into an orthographic view over it.  Boxes
-    of a track merge; those fully outside drop, and overlaps with apply_nms.
+    """(flight_id, frame_id, track_id, class_id, xc, yc, w, h): the batch's labels, with
+    rotation_nr, rotation and name where there are additional rotations.
+
+    A frame is a flight and a number within it.  ``frames`` has flight_id, frame_id and
+    a pose; ``labels`` flight_id, frame_id, line, class_id, corners in pixels and, if
+    labels belong to tracks, track_id; ``corrections`` pos, lo, hi, CORRECTION columns
+    and flight_id, unless they hold for all flights; ``triangles`` may have a flight_id
+    too.  Labels of a frame's neighbours, or with merge_labels off or project_orthogonal
+    on of itself alone, are cast through their own frame's pose under the central
+    frame's correction, and projected into an orthographic view over it, turned by the
+    rotation.  Boxes of a track merge, each label without tracks is a box of its own;
+    those fully outside drop, and overlaps with apply_nms.
     """
     s = settings
-    if s.exclude_flights:
-        frames = frames.filter(~F.col("flight_id").cast("string").isin(*s.exclude_flights))
-    zero = {c: 0.0 for c in CORRECTION} | (default or {})
-    central = lk.interval_lookup(frames, corrections, {"pos": None, **zero}).drop("pos")
+    turned = s.additional_rotations > 0
+    names = ["rotation_nr", "rotation", "name"]
+    central = batch_frames(frame_corrections(frames, corrections, default), s, done)
     window = frames.select("flight_id", "frame_id", F.col("frame_id").alias("neighbour_id"), F.lit(0).alias("phase"))
-    if s.merge_labels:
+    tracked = "track_id" in labels.columns
+    if s.merge_labels and tracked and not s.project_orthogonal:
         window = window.unionByName(lk.neighbours(frames, before, after, stride))
     poses = frames.select("flight_id", F.col("frame_id").alias("neighbour_id"), *[F.col(c).alias(f"n_{c}") for c in POSE])
-    rows = window.join(poses, ["flight_id", "neighbour_id"]).join(labels.withColumnRenamed("frame_id", "neighbour_id"), "neighbour_id")
-    rows = rows.join(central.select("flight_id", "frame_id", "cam_x", "cam_y", "cam_z", *CORRECTION), ["flight_id", "frame_id"])
+    if not tracked:
+        labels = labels.withColumn("track_id", F.col("line"))
+    seen = labels.select("flight_id", F.col("frame_id").alias("neighbour_id"), "line", "track_id", "class_id", "corners")
+    rows = window.join(poses, ["flight_id", "neighbour_id"]).join(seen, ["flight_id", "neighbour_id"])
+    rows = rows.join(central.select("flight_id", "frame_id", "cam_x", "cam_y", "cam_z", *CORRECTION, *names), ["flight_id", "frame_id"])
     position, degrees = _vec([f"n_cam_{c}" for c in "xyz"]), _vec([f"n_rot_{c}_deg" for c in "xyz"])
     shot = cam.frame_camera(position, degrees, "n_fovy", _vec(("tx", "ty", "tz")), _vec(("rx", "ry", "rz")))
     above = _vec(("cam_x", "cam_y", "cam_z")) + _vec(("tx", "ty", "tz")) + Vec3.of(0, 0, s.camera_distance)
-    view = cam.Camera.orthographic(Transform(above), s.ortho_width, s.ortho_height)
-    keys = ["flight_id", "frame_id", "track_id", "class_id", "phase", "neighbour_id", "line"]
+    pose = Transform(above, Quat.about("z", F.col("rotation"))) if turned else Transform(above)
+    view = cam.Camera.orthographic(pose, s.ortho_width, s.ortho_height)
+    frame = ["flight_id", "frame_id", *(names if turned else [])]
+    keys = [*frame, "track_id", "class_id", "phase", "neighbour_id", "line"]
     size = (s.render_width, s.render_height)
-    boxes = project_labels(rows, triangles, keys, shot, view, ["cam_x", "cam_y", "cam_z", "tx", "ty", "tz"], (s.input_width, s.input_height), size, ensure_int=ensure_int)
-    tracks = lb.track_boxes(boxes, ["flight_id", "frame_id", "track_id"], ["phase", "neighbour_id", "line", "class_id"])
+    mesh_by = ["flight_id"] if "flight_id" in triangles.columns else None
+    boxes = project_labels(rows, triangles, keys, shot, view, ["cam_x", "cam_y", "cam_z", "tx", "ty", "tz"], (s.input_width, s.input_height), size, ensure_int=ensure_int, by=mesh_by)
+    tracks = lb.track_boxes(boxes, [*frame, "track_id"], ["phase", "neighbour_id", "line", "class_id"])
     if s.apply_nms:
-        tracks = lb.nms(tracks, ["flight_id", "frame_id"], ["track_id"], s.nms_iou)
-    seen = tracks.withColumn("box__", lb.box_yolo(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], *size)).filter(F.col("box__").isNotNull())
-    return seen.select("flight_id", "frame_id", "track_id", "class_id", "box__.*")
+        tracks = lb.nms(tracks, frame, ["track_id"], s.nms_iou)
+    shown = tracks.withColumn("box__", lb.box_yolo(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], *size)).filter(F.col("box__").isNotNull())
+    return shown.select(*frame, "track_id", "class_id", "box__.*")
 
 
 def view_points(scenes: DataFrame, keys: list[str], camera: cam.Camera, width: int, height: int, triangles: DataFrame) -> DataFrame:

@@ -44,9 +44,7 @@ def _batch(spark, sf_dir, settings: PipelineSettings) -> DataFrame:
     frames = A.frames(spark, sf_dir).withColumns({"rot_x_deg": F.lit(0.0), "rot_y_deg": F.lit(0.0)})
     zero = {c: F.lit(0.0) for c in rd.CORRECTION if c != "tz"}
     corrections = A.corrections(spark, sf_dir).withColumns(zero)
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    labels = _corners(spark, sf_dir).select("frame_id", "line", "track_id", "class_id", F.array(at(x1, y1), at(x2, y1), at(x2, y2), at(x1, y2)).alias("corners"))
+    labels = _label_corners(spark, sf_dir).join(frames.select("frame_id", "flight_id"), "frame_id")
     out = rd.batch_labels(frames, labels, corrections, _triangles(spark, sf_dir), settings, 200, 200, 5, ensure_int=False)
     return out.select("flight_id", "frame_id", "track_id", "class_id", *[r(F.col(c), c) for c in ("xc", "yc", "w", "h")])
 
@@ -63,6 +61,50 @@ def batch_labels_unmerged(spark, sf_dir):
     return _batch(spark, sf_dir, PipelineSettings(merge_labels=False))
 
 
+#: Frames whose numbers begin anew in each of seven flights, as their labels and
+#: corrections do, with a default correction for each flight.
+OWN_FRAMES = f"(SELECT * REPLACE (frame_id // 7 AS frame_id, frame_id % 7 AS flight_id) FROM {A.FRAMES})"
+OWN_LABELS = f"(SELECT * REPLACE (frame_id // 7 AS frame_id), frame_id % 7 AS flight_id FROM {CORNERS})"
+OWN_TZ = f"""(SELECT f.flight_id, f.frame_id, coalesce(arg_min(k.tz, k.pos), f.flight_id * CAST(0.5 AS DOUBLE)) AS tz FROM {OWN_FRAMES} f
+  LEFT JOIN (SELECT pos, pos % 7 AS flight_id, lo // 7 AS lo, hi // 7 AS hi, tz FROM {A.CORRECTIONS}) k ON k.flight_id = f.flight_id AND f.frame_id BETWEEN k.lo AND k.hi GROUP BY f.flight_id, f.frame_id)"""
+OWN_RAYS = f"""(SELECT {{'s': flight_id, 'f': frame_id, 'n': neighbour_id, 'p': phase, 't': track_id, 'c': class_id, 'l': line, 'x': x, 'y': y}} AS ray_id, ox, oy, oz,
+  cos(a) * ux + sin(a) * uy AS dx, -sin(a) * ux + cos(a) * uy AS dy, CAST(-1 AS DOUBLE) AS dz FROM (
+  SELECT DISTINCT f.flight_id, f.frame_id, n.frame_id AS neighbour_id, CASE WHEN n.frame_id = f.frame_id THEN 0 WHEN n.frame_id < f.frame_id THEN 1 ELSE 2 END AS phase, l.track_id, l.class_id, l.line, l.x, l.y,
+    n.cam_x AS ox, n.cam_y AS oy, n.cam_z + c.tz AS oz, radians(n.rot_z_deg) AS a, (l.x / 512.0 - 1) * tan(radians(n.fovy) / 2) AS ux, (1 - l.y / 512.0) * tan(radians(n.fovy) / 2) AS uy
+  FROM {OWN_FRAMES} f JOIN {OWN_FRAMES} n ON n.flight_id = f.flight_id AND n.frame_id IN (f.frame_id - 5, f.frame_id, f.frame_id + 5) JOIN {OWN_TZ} c ON c.flight_id = f.flight_id AND c.frame_id = f.frame_id
+  JOIN (SELECT flight_id, frame_id, track_id, class_id, line, unnest([x1, x2, x2, x1]) AS x, unnest([y1, y1, y2, y2]) AS y FROM {OWN_LABELS}) l ON l.flight_id = n.flight_id AND l.frame_id = n.frame_id))"""
+
+
+def _own(df: DataFrame) -> DataFrame:
+    return df.withColumns({"flight_id": F.col("frame_id") % 7, "frame_id": F.expr("frame_id div 7")})
+
+
+def _label_corners(spark, sf_dir) -> DataFrame:
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return _corners(spark, sf_dir).select("frame_id", "line", "track_id", "class_id", F.array(at(x1, y1), at(x2, y1), at(x2, y2), at(x1, y2)).alias("corners"))
+
+
+@query(
+    f"""WITH b AS (SELECT h.ray_id.s AS flight_id, h.ray_id.f AS frame_id, h.ray_id.t AS track_id, h.ray_id.c AS class_id, h.ray_id.p AS phase, h.ray_id.n AS n, h.ray_id.l AS line,
+  1024 + (h.x - f.cam_x) * 2048 / 70 AS px, 1024 - (h.y - f.cam_y) * 2048 / 70 AS py FROM ({_hits_sql(1.0, '', 12, OWN_RAYS)}) h JOIN {OWN_FRAMES} f ON f.flight_id = h.ray_id.s AND f.frame_id = h.ray_id.f),
+t AS (SELECT flight_id, frame_id, track_id, arg_min(class_id, ((phase * 1000000000 + n) * 1000 + line) * 10 + class_id) AS class_id, min(px) AS x1, min(py) AS y1, max(px) AS x2, max(py) AS y2 FROM b GROUP BY flight_id, frame_id, track_id)
+SELECT flight_id, frame_id, track_id, class_id, {rs('(x1 + x2) / 2 / 2048', 'xc')}, {rs('(y1 + y2) / 2 / 2048', 'yc')}, {rs('(x2 - x1) / 2048', 'w')}, {rs('(y2 - y1) / 2048', 'h')}
+FROM t WHERE NOT (x1 > 2048 OR x2 < 0 OR y1 > 2048 OR y2 < 0)"""
+)
+def batch_labels_by_flight(spark, sf_dir):
+    """The batch over flights whose frame numbers, labels, corrections, defaults and
+    meshes are their own."""
+    frames = _own(A.frames(spark, sf_dir)).withColumns({"rot_x_deg": F.lit(0.0), "rot_y_deg": F.lit(0.0)})
+    zero = {c: F.lit(0.0) for c in rd.CORRECTION if c != "tz"}
+    corrections = A.corrections(spark, sf_dir).withColumns({"flight_id": F.col("pos") % 7, "lo": F.expr("lo div 7"), "hi": F.expr("hi div 7"), **zero})
+    flights = frames.select("flight_id").distinct()
+    default = flights.withColumns({**zero, "tz": F.col("flight_id") * 0.5})
+    meshes = _triangles(spark, sf_dir).crossJoin(F.broadcast(flights))  # seven flights
+    out = rd.batch_labels(frames, _own(_label_corners(spark, sf_dir)), corrections, meshes, SETTINGS, 5, 5, 5, default=default, ensure_int=False)
+    return out.select("flight_id", "frame_id", "track_id", "class_id", *[r(F.col(c), c) for c in ("xc", "yc", "w", "h")])
+
+
 # --- renders ----------------------------------------------------------------
 
 GRID = 6

@@ -305,3 +305,58 @@ def test_rays_meet_the_mesh_of_their_own_key(spark):
     rays = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "ray_id long, flight_id string").select("*", *[F.lit(v).alias(n) for n, v in zip(("ox", "oy", "oz", "dx", "dy", "dz"), (1.0, 1.0, 5.0, 0.0, 0.0, -1.0))])
     got = {r["ray_id"]: r["z"] for r in rc.raycast(rays, tri, by=["flight_id"]).collect()}
     assert got == {1: 1.0, 2: 2.0}
+
+
+def test_suppression_of_crowded_frames(spark):
+    """100,000 boxes of one frame in seconds; small ones against the definition."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    rows = [(f, o, *(x := (rng.randint(0, 60), rng.randint(0, 60))), x[0] + rng.choice([0, 3, 9, 200]), x[1] + rng.choice([2, 8, 150]), "t" * (o % 3)) for f in range(6) for o in range(70)]
+    table = spark.createDataFrame(rows, "f int, o int, x1 int, y1 int, x2 int, y2 int, note string")
+
+    def overlap(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        both = max(w, 0) * max(h, 0)
+        union = sum((x[2] - x[0]) * (x[3] - x[1]) for x in (a, b)) - both
+        return both / union if union > 0 else 0.0
+
+    want = []
+    for f in range(6):
+        kept = []
+        for r in [r for r in rows if r[0] == f]:
+            if all(overlap(k[2:6], r[2:6]) <= 0.2 for k in kept):
+                kept.append(r)
+        want += kept
+    assert sorted(map(tuple, lb.nms(table, ["f"], ["o"], 0.2).collect())) == sorted(want) and len(want) < len(rows)
+    big = spark.range(100_000).select(F.lit(1).alias("f"), F.col("id").alias("o"), *[(F.pmod(F.xxhash64("id", F.lit(c)), F.lit(4000))).cast("int").alias(n) for c, n in enumerate(("x1", "y1"))])
+    big = big.withColumns({"x2": F.col("x1") + 20, "y2": F.col("y1") + 20})
+    start = time.time()
+    n = lb.nms(big, ["f"], ["o"], 0.1).count()
+    assert 20_000 < n < 80_000 and time.time() - start < 30
+
+
+def test_a_frame_number_belongs_to_its_flight(spark):
+    from geoview.config import PipelineSettings
+    from geoview.operators import render as rd
+
+    pose = [(f, n, 100.0 * f, 0.0, 50.0, 0.0, 0.0, 0.0, 50.0) for f in (1, 2) for n in (6, 7, 8)]
+    frames = spark.createDataFrame(pose, "flight_id long, frame_id long, " + ", ".join(f"{c} double" for c in rd.POSE))
+    labels = spark.createDataFrame([(1, 7, 0, 5, 2, [(500.0, 500.0), (520.0, 530.0)])], "flight_id long, frame_id long, line int, track_id long, class_id int, corners array<struct<x:double,y:double>>")
+    none = spark.createDataFrame([(0, 7, 7, 1) + (0.0,) * 6], "pos int, lo long, hi long, flight_id long, " + ", ".join(f"{c} double" for c in rd.CORRECTION))
+    mesh = spark.createDataFrame([(0, -1000.0, -1000.0, 0.0, 2000.0, -1000.0, 0.0, -1000.0, 2000.0, 0.0)], "tid long, " + ", ".join(f"{k}{c} double" for k in "abc" for c in "xyz"))
+    run = lambda s, labels=labels, **k: rd.batch_labels(frames, labels, none, mesh, s, 5, 5, 1, **k)
+    got = sorted((r["flight_id"], r["frame_id"], r["class_id"]) for r in run(PipelineSettings()).collect())
+    assert got == [(1, 6, 2), (1, 7, 2), (1, 8, 2)]
+    assert {r["frame_id"] for r in run(PipelineSettings(project_orthogonal=True)).collect()} == {7}
+    assert {r["frame_id"] for r in run(PipelineSettings(initial_skip=1)).collect()} == {7, 8}
+    assert run(PipelineSettings(exclude_flights=("1",))).count() == 0
+    by_line = run(PipelineSettings(), labels.drop("track_id")).collect()
+    assert [(r["frame_id"], r["track_id"]) for r in by_line] == [(7, 0)]
+    turned = run(PipelineSettings(additional_rotations=2, rotation_seed=5)).collect()
+    assert len(turned) == 9 and {r["rotation_nr"] for r in turned} == {0, 1, 2}
+    names = {r["name"] for r in turned}
+    assert len(names) == 9 and "1_7" in names and all("." not in n for n in names)
+    done = spark.createDataFrame([("1_7",)], "name string")
+    assert {r["frame_id"] for r in run(PipelineSettings(), done=done).collect()} == {6, 8}
