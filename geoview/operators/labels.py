@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import LABEL_COLORS
 from ..functions.geometry import truncated
 
 
@@ -227,3 +228,31 @@ def nms(boxes: DataFrame, by: list[str], order: list[str], max_iou: float, liter
             yield from done()
 
     return dealt.mapInArrow(run, T.StructType([boxes.schema[c] for c in names])).select(*boxes.columns)
+
+
+def line_pixels(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The pixels (x, y) of a line of one pixel's width, from its first end: one for
+    each step along its longer side, nearest to the line."""
+    steps = F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)).cast("int")
+    at = lambda a, b, k: (a + F.when(steps == 0, 0).otherwise(F.floor((b - a) * k / steps + 0.5))).cast("int")
+    return F.transform(F.sequence(F.lit(0), steps), lambda k: F.struct(at(x1, x2, k).alias("x"), at(y1, y2, k).alias("y")))
+
+
+def drawn(polylines: DataFrame, by: list[str], order: list[str], width: int, height: int, coords: str = "coords", class_col: str = "class_id") -> DataFrame:
+    """(by, x, y, class): pixels of closed polylines of interleaved integers, cut to the
+    image; where several meet, the last by ``order`` shows."""
+    p = F.col(coords)
+    corner = lambda i: F.get(p, F.pmod(i, F.size(p)))
+    edges = F.transform(F.sequence(F.lit(0), F.size(p) - 2, F.lit(2)), lambda i: F.struct(*[corner(i + k).cast("int").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))]))
+    rows = polylines.filter(F.size(p) >= 2).select(*by, *order, class_col, F.explode(edges).alias("e__"))
+    cells = rows.select(*by, *order, class_col, F.inline(line_pixels(*[F.col(f"e__.{n}") for n in ("x1", "y1", "x2", "y2")])))
+    cells = cells.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    return cells.groupBy(*by, "x", "y").agg(F.max_by(class_col, F.struct(*order)).alias(class_col))
+
+
+def drawn_on(pixels: DataFrame, lines: DataFrame, on: list[str], colors: tuple = LABEL_COLORS, class_col: str = "class_id") -> DataFrame:
+    """``pixels`` (on, x, y, r, g, b) with the colours of the classes drawn on them."""
+    top = lines.select(*on, "x", "y", F.col(class_col).alias("class__"))
+    out = pixels.join(top, [*on, "x", "y"], "left")
+    color = lambda i: F.element_at(F.array(*[F.lit(c[i]) for c in colors]), (F.pmod(F.col("class__"), F.lit(len(colors))) + 1).cast("int"))
+    return out.withColumns({c: F.when(F.col("class__").isNull(), F.col(c)).otherwise(color(i)) for c, i in (("b", 0), ("g", 1), ("r", 2))}).drop("class__")

@@ -16,6 +16,7 @@ from ..operators import labels as lb
 from ..operators import lookups as lk
 from ..operators import pixels as px
 from ..operators import render as rd
+from ..operators import tiles as tl
 from ..sources import documents as doc
 from ..sources import png
 from . import adapters as A
@@ -357,6 +358,40 @@ def crop_center_delta(spark, sf_dir):
     return out.select("img", r(F.col("dx"), "dx"), r(F.col("dy"), "dy"))
 
 
+@query(
+    f"""WITH p AS {A.PIXELS} SELECT c.img, c.x, c.y, {rs('w.v + e.v + n.v + s.v - 4 * c.v', 'laplacian')} FROM p c JOIN p w ON w.img = c.img AND w.y = c.y AND w.x = abs(c.x - 1)
+  JOIN p e ON e.img = c.img AND e.y = c.y AND e.x = 7 - abs(7 - (c.x + 1)) JOIN p n ON n.img = c.img AND n.x = c.x AND n.y = abs(c.y - 1) JOIN p s ON s.img = c.img AND s.x = c.x AND s.y = 7 - abs(7 - (c.y + 1))"""
+)
+def laplacian_tiles(spark, sf_dir):
+    """The Laplacian of every pixel, by tiles of three pixels with their border."""
+    out = tl.tiled_laplacian(A.pixels(spark, sf_dir), "img", "v", 8, 8, size=3)
+    return out.select("img", "x", "y", r(F.col("laplacian"), "laplacian"))
+
+
+@query(ORACLE_SQL["laplacian_variance"])
+def laplacian_variance_tiles(spark, sf_dir):
+    out = tl.tiled_laplacian_variance(A.pixels(spark, sf_dir), "img", "v", 8, 8, size=5)
+    return out.select("img", r(F.col("laplacian_variance"), "laplacian_variance"))
+
+
+#: Boxes in a view of 64 x 64 pixels, drawn in the order of their lines.
+DRAWN = f"""(SELECT frame_id, x, y, arg_max(class_id, line * 1000000 + track_id) AS class_id FROM (
+  SELECT frame_id, line, track_id, class_id, x, unnest([y1, y2]) AS y FROM (SELECT *, unnest(range(x1, x2 + 1)) AS x FROM BOXES)
+  UNION ALL SELECT frame_id, line, track_id, class_id, unnest([x1, x2]) AS x, y FROM (SELECT *, unnest(range(y1, y2 + 1)) AS y FROM BOXES)) WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63 GROUP BY frame_id, x, y)""".replace(
+    "BOXES", f"(SELECT frame_id, line, track_id, class_id, x1 // 16 AS x1, y1 // 16 AS y1, x2 // 16 AS x2, y2 // 16 AS y2 FROM {CORNERS})"
+)
+
+
+@query(f"SELECT frame_id, count(*) AS pixels, sum(x * 64 + y)::BIGINT AS places, sum((x + 64 * y) * class_id)::BIGINT AS classes FROM {DRAWN} GROUP BY frame_id")
+def drawn_labels(spark, sf_dir):
+    """The outlines of every frame's boxes, the last on top, summed up by frame."""
+    box = _corners(spark, sf_dir).select("frame_id", "line", "track_id", "class_id", *[F.expr(f"{c} div 16").cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    lines = box.select("frame_id", "line", "track_id", "class_id", lb.quad_of(*[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("coords"))
+    out = lb.drawn(lines, ["frame_id"], ["line", "track_id"], 64, 64)
+    x, y = F.col("x"), F.col("y")
+    return out.groupBy("frame_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum(x * 64 + y).cast("long").alias("places"), F.sum((x + 64 * y) * F.col("class_id")).cast("long").alias("classes"))
+
+
 # --- geometry ---------------------------------------------------------------
 
 

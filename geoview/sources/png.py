@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jpg
+
 #: Fixed values of the format: its signature, and channels by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -146,7 +148,8 @@ def encode(pixels: np.ndarray) -> bytes:
 
 
 def decode_images(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, width, height, rgba, error): pixels in row order, four values each."""
+    """(key, width, height, rgba, error) of PNG or JPEG files, which their first bytes
+    tell apart: pixels in row order, four values each."""
     kind = files.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +157,9 @@ def decode_images(files: DataFrame, key: str = "path", content: str = "content")
             for i, data in enumerate(b.column(1)):
                 px, error = None, None
                 try:
-                    px = decode(data.as_py() or b"")
-                except (ValueError, struct.error, zlib.error, TypeError, IndexError) as e:
+                    raw = data.as_py() or b""
+                    px = jpg.decode(raw) if raw[:2] == b"\xff\xd8" else decode(raw)
+                except (ValueError, struct.error, zlib.error, TypeError, IndexError, KeyError) as e:
                     error = str(e)
                 size = (None, None) if px is None else (px.shape[1], px.shape[0])
                 yield pa.RecordBatch.from_arrays(
@@ -189,11 +193,12 @@ def encode_images(images: DataFrame, key: str) -> DataFrame:
 
 
 def images_from_pixels(pixels: DataFrame, key: str, width: int, height: int, channels: tuple[str, str, str, str] = ("r", "g", "b", "a")) -> DataFrame:
-    """(key, width, height, rgba) from pixel rows; absent pixels are clear, and of
-    several at one place the least holds.  Pixels are sorted, and each brings the
+    """(key, width, height, rgba) from pixel rows; absent pixels are clear, those
+    outside the image are left out, and of several at one place the least holds.  Pixels are sorted, and each brings the
     clear ones before it along, so work grows with the image and no faster."""
     cell = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), F.array(*[F.col(c).cast("int") for c in channels]).alias("v"))
-    rows = pixels.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    inside = pixels.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+    rows = inside.groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     rows = rows.withColumn("before", F.concat(F.array(F.lit(-1)), F.transform("cells", lambda c: c["at"])))
     clear = lambda n: F.array_repeat(F.lit(0), (n * 4).cast("int"))
     own = F.zip_with(
