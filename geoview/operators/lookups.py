@@ -106,7 +106,7 @@ def _range_of(key: Column, edges: list) -> Column:
     return at(0, len(edges))
 
 
-def floor_lookup(probes: DataFrame, table: DataFrame, key_col: str, value_cols: list[str], by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def floor_lookup(probes: DataFrame, table: DataFrame, key_col: str, value_cols: list[str], by: list[str] | None = None, buckets: int | None = None, hot_keys: bool = False) -> DataFrame:
     """``probes`` with the values at the greatest key of ``table`` that is not
     above theirs; null where there is none, as for a null key.
 
@@ -117,8 +117,19 @@ def floor_lookup(probes: DataFrame, table: DataFrame, key_col: str, value_cols:
     answers the others.  So no task holds all keys, with or without ``by``.  There
     are ``buckets`` ranges, or one for every ``RANGE_ROWS`` rows of the table, up to
     ``MAX_RANGES``.
+
+    Equal keys share a range, so a key of very many probes is one task's.  With
+    ``hot_keys`` each distinct key is looked up once, and probes meet the answers in an
+    equi-join, which adaptive plans split where one key has very many.
     """
     by = by or []
+    if hot_keys:
+        asked = probes.select(*by, key_col).distinct()
+        found = floor_lookup(asked, table, key_col, value_cols, by, buckets)
+        names = {c: f"{c}__" for c in (*by, key_col)}
+        met = [F.col(f"p__.{c}").eqNullSafe(F.col(f"f__.{n}")) for c, n in names.items()]
+        out = probes.alias("p__").join(found.withColumnsRenamed(names).alias("f__"), met, "left")
+        return out.select("p__.*", *[F.col(f"f__.{c}") for c in ("floor_key", *value_cols)])
     buckets = buckets or min(MAX_RANGES, max(8, table.count() // RANGE_ROWS))
     some = sorted(r[0] for r in table.select(key_col).filter(F.col(key_col).isNotNull()).orderBy(F.rand(7)).limit(SAMPLE_KEYS).collect())
     edges = sorted({some[len(some) * i // buckets] for i in range(1, buckets)}) if some else []

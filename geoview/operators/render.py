@@ -13,9 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import IntegralSettings, PipelineSettings
+from ..config import POSITIONING_MODES, RESULT_MODES, IntegralSettings, PipelineSettings, RenderSettings
 from ..functions import camera as cam
-from ..functions.geometry import Transform
+from ..functions.geometry import Transform, nearest_int
 from ..functions.vec import Number, Quat, Vec3
 from . import frames as fr
 from . import labels as lb
@@ -189,6 +189,49 @@ def render_integral(
     return both.select(*at, *[F.coalesce(c, f"{c}_under__").alias(c) for c in channels], F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
+def project_shots(
+    points: DataFrame, shots: DataFrame, keys: list[str], project: Callable[[], tuple[Column, Column, Column]], pixels: DataFrame, size: tuple[int, int],
+    channels: tuple[str, ...], mode: str = "Complete", background: DataFrame | None = None, shot: str = "shot_id", alpha: str = "a", camera: cam.Camera | None = None, bounds: dict[str, float] | None = None,
+) -> DataFrame:
+    """(keys, shot, rx, ry, channels): an image for each shot of a scene.
+
+    ``ShotOnly`` has the pixels that the shot covers; ``Complete`` has every pixel of the
+    background (keys, rx, ry, channels), with the shot's over it by their alpha.
+    """
+    if mode not in RESULT_MODES:
+        raise ValueError(f"{mode!r} is none of {RESULT_MODES}")
+    seen = px.sample_shots(points, shots, project, keys, pixels, *size, camera=camera, bounds=bounds).select(*keys, shot, "rx", "ry", *channels, alpha)
+    if mode == "ShotOnly":
+        return seen.drop(alpha)
+    if background is None:
+        raise ValueError("a complete image needs a background")
+    over = seen.withColumnsRenamed({c: f"{c}_over__" for c in (*channels, alpha)})
+    every = background.select(*keys, "rx", "ry", *channels).join(shots.select(*keys, shot).distinct(), keys)
+    both = every.join(over, [*keys, shot, "rx", "ry"], "left")
+    mixed = [F.coalesce(px.overlay(F.col(c), F.col(f"{c}_over__"), F.col(f"{alpha}_over__")), F.col(c)).alias(c) for c in channels]
+    return both.select(*keys, shot, "rx", "ry", *mixed)
+
+
+def scene_camera(shots: DataFrame, order: str, box: DataFrame, settings: RenderSettings, rotation: Quat | None = None, ortho: bool = True) -> tuple[DataFrame, cam.Camera]:
+    """One row (vx, vy, vz, view_width, view_height) and the camera that it describes.
+
+    The position follows positioning_mode, raised by camera_dist; an orthographic view
+    without ortho_size is as wide and high as the mesh's box, in whole numbers.
+    ``shots`` has x, y, z in the order of a unique column, ``box`` is what ``aabb_of``
+    gives of the mesh.
+    """
+    if settings.positioning_mode not in POSITIONING_MODES:
+        raise ValueError(f"{settings.positioning_mode!r} is none of {POSITIONING_MODES}")
+    at = fr.camera_positions(shots, order, settings.camera_dist, box).filter(F.col("mode") == settings.positioning_mode)
+    size = [F.lit(float(v)) for v in settings.ortho_size] if settings.ortho_size else [nearest_int(F.col(f"max_{c}") - F.col(f"min_{c}")).cast("double") for c in "xy"]
+    sized = box.select(size[0].alias("view_width"), size[1].alias("view_height"))
+    row = at.select(*[F.col(c).alias(f"v{c}") for c in "xyz"]).crossJoin(F.broadcast(sized))  # one row each
+    pose = Transform(_vec(("vx", "vy", "vz")), rotation) if rotation is not None else Transform(_vec(("vx", "vy", "vz")))
+    if ortho:
+        return row, cam.Camera.orthographic(pose, "view_width", "view_height")
+    return row, cam.Camera.perspective(pose, settings.fovy)
+
+
 def focus_shots(shots: DataFrame, plan: DataFrame, z: str = "cam_z") -> DataFrame:
     """Every shot in every frame of a focus plan, moved against its focus.  The
     plan has one row for each frame of the animation."""

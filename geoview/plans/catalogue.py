@@ -233,10 +233,11 @@ def first_valid_key(spark, sf_dir):
 def label_class_mapping(spark, sf_dir):
     """id -> label inverted, where the last id of a label holds; labels without
     an id are rejected."""
-    nation = A.table(spark, sf_dir, "nation")
-    last = nation.groupBy(F.col("n_regionkey").cast("string").alias("label")).agg(F.max_by(F.col("n_nationkey"), "n_nationkey").alias("class_id"))
+    ids = A.table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("order"), F.col("n_nationkey").cast("string").alias("k"), F.col("n_regionkey").cast("string").alias("v")))).alias("all"))
+    export = ids.select(F.struct(F.map_from_entries(F.transform("all", lambda e: F.struct(e["k"], e["v"]))).alias("labels")).alias("metadata"))
+    last = doc.label_ids(export)
     rows = A.labels(spark, sf_dir).select("frame_id", "line", "track_id", F.col("class_id").cast("string").alias("label"))
-    known, _ = lk.with_class_ids(rows, F.broadcast(last))
+    known, _ = lk.with_class_ids(rows, last)
     return known.select("frame_id", "line", "track_id", "class_id")
 
 
@@ -386,8 +387,8 @@ def integer_rounding(spark, sf_dir):
     return A.frames(spark, sf_dir).select("frame_id", nearest_int(v).alias("nearest"), rounded_down(v).alias("floored"))
 
 
-def _undistort_sql(steps: int) -> str:
-    at = f"(SELECT frame_id, frame_id % 41 / 41.0 - 0.5 AS x0, frame_id % 43 / 43.0 - 0.5 AS y0, frame_id % 41 / 41.0 - 0.5 AS u, frame_id % 43 / 43.0 - 0.5 AS v FROM {A.FRAMES})"
+def _undistort_sql(steps: int, x: str = "frame_id % 41 / 41.0 - 0.5", y: str = "frame_id % 43 / 43.0 - 0.5") -> str:
+    at = f"(SELECT frame_id, {x} AS x0, {y} AS y0, {x} AS u, {y} AS v FROM {A.FRAMES})"
     for _ in range(steps):
         at = f"""(SELECT frame_id, x0, y0, (x0 - (2 * 0.001 * u * v + -0.002 * (r2 + 2 * u * u))) / (1 + r2 * (-0.1 + r2 * (0.01 + r2 * 0.001))) AS u,
   (y0 - (0.001 * (r2 + 2 * v * v) + 2 * -0.002 * u * v)) / (1 + r2 * (-0.1 + r2 * (0.01 + r2 * 0.001))) AS v FROM (SELECT *, CAST(u AS DOUBLE) * u + CAST(v AS DOUBLE) * v AS r2 FROM {at}))"""

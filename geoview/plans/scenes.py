@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import types
-from ..config import FocusSettings, IntegralSettings, PipelineSettings
+from ..config import FocusSettings, IntegralSettings, PipelineSettings, RenderSettings
 from ..functions import camera as cam
 from ..functions.geometry import Quad, Transform, perpendicular_or_error
 from ..functions.vec import Quat, Vec3, random_quaternion
@@ -18,9 +18,9 @@ from ..operators import pixels as px
 from ..operators import render as rd
 from ..operators import tiles as tl
 from ..sources import documents as doc
-from ..sources import png
+from ..sources import png, video
 from . import adapters as A
-from .catalogue import CORNERS, IN_CAMERA, ORACLE_SQL, WINDOW, _corners, _frame_camera, _hits_sql, _point, _triangles, query, r, rs
+from .catalogue import CORNERS, IN_CAMERA, ORACLE_SQL, WINDOW, _corners, _frame_camera, _hits_sql, _point, _triangles, _undistort_sql, query, r, rs
 
 # --- the batch --------------------------------------------------------------
 
@@ -170,6 +170,94 @@ def focus_frames(spark, sf_dir):
     return _render(spark, sf_dir, points, shots, ["flight_id", "focus"], s)
 
 
+UNDER = f"(SELECT flight_id, CAST(i % {GRID} AS INTEGER) AS rx, CAST(i // {GRID} AS INTEGER) AS ry, (i + flight_id % 7) / 100.0 AS v FROM (SELECT DISTINCT flight_id FROM {A.FRAMES}), range({GRID * GRID}) t(i))"
+
+
+def _background(spark, sf_dir) -> DataFrame:
+    cell = F.explode(F.sequence(F.lit(0), F.lit(GRID * GRID - 1)))
+    rows = A.frames(spark, sf_dir).select("flight_id").distinct().withColumn("i", cell)
+    return rows.select("flight_id", (F.col("i") % GRID).cast("int").alias("rx"), F.expr(f"cast(i div {GRID} as int)").alias("ry"), ((F.col("i") + F.col("flight_id") % 7) / 100.0).alias("v"))
+
+
+@query(
+    f"""SELECT flight_id, rx, ry, {rs('coalesce(c.v, b.v)', 'v')}, coalesce(c.overlap, 0) AS overlap FROM {UNDER} b
+  LEFT JOIN ({_render_sql(f"(SELECT *, 0 AS focus FROM {A.FRAMES})", "", 2, True)}) c USING (flight_id, rx, ry)"""
+)
+def render_background(spark, sf_dir):
+    """Every flight's integral over a background, which shows where too few shots
+    overlap."""
+    camera = _frame_camera()
+    pixels = A.pixels(spark, sf_dir).select(F.col("img").alias("shot_id"), "x", "y", "v", F.lit(1.0).alias("a"))
+    s = IntegralSettings(alpha_threshold=2.0, auto_contrast=True, add_background=True)
+    bounds = fp.mesh_bounds(_triangles(spark, sf_dir))
+    out = rd.render_integral(_points(spark, sf_dir), _shots(spark, sf_dir), ["flight_id"], lambda: camera.uv(Vec3.of("gx", "gy", "gz")), pixels, (8, 8), ("v",), s, background=_background(spark, sf_dir), camera=camera, bounds=bounds)
+    return out.select("flight_id", "rx", "ry", r(F.col("v"), "v"), F.col("overlap").cast("long").alias("overlap"))
+
+
+@query(
+    f"""WITH g AS (SELECT ray_id.s AS flight_id, ray_id.rx AS rx, ray_id.ry AS ry, x AS gx, y AS gy, z AS gz FROM ({_hits_sql(1.0, '', 12, VIEW_RAYS)})),
+k AS (SELECT g.flight_id, rx, ry, frame_id, cos(a) * (gx - cam_x) + sin(a) * (gy - cam_y) AS ux, -sin(a) * (gx - cam_x) + cos(a) * (gy - cam_y) AS uy, gz - cam_z AS uz, tan(radians(fovy) / 2) AS t
+  FROM g JOIN (SELECT *, radians(rot_z_deg) AS a FROM {A.FRAMES}) f ON f.flight_id = g.flight_id),
+n AS (SELECT *, ux / -uz / t / 2 + 0.5 AS u, uy / -uz / t / 2 + 0.5 AS w FROM k WHERE uz < 0),
+o AS (SELECT n.flight_id, n.frame_id, rx, ry, p.v FROM n JOIN {A.PIXELS} p ON p.img = n.frame_id % (SELECT max(vec_id) + 1 FROM embeddings)
+  AND p.x = CAST(least(floor(n.u * 8), 7) AS INTEGER) AND p.y = CAST(least(floor((1 - n.w) * 8), 7) AS INTEGER) WHERE n.u BETWEEN 0 AND 1 AND n.w BETWEEN 0 AND 1),
+c AS (SELECT f.flight_id, f.frame_id, b.rx, b.ry, coalesce(o.v * 0.5 + b.v * 0.5, b.v) AS v, o.v IS NOT NULL AS own FROM {UNDER} b JOIN {A.FRAMES} f USING (flight_id) LEFT JOIN o ON o.flight_id = f.flight_id AND o.frame_id = f.frame_id AND o.rx = b.rx AND o.ry = b.ry)
+SELECT frame_id, count(*) AS pixels, {rs('sum(v * (1 + rx + 6 * ry))', 'sum', 4)} FROM c GROUP BY frame_id"""
+)
+def project_shots_complete(spark, sf_dir):
+    """An image for each shot, half clear over the background of its flight, summed
+    up with weights by place."""
+    camera = _frame_camera()
+    shots = _shots(spark, sf_dir).withColumn("shot", F.col("frame_id"))
+    pixels = A.pixels(spark, sf_dir).select(F.col("img").alias("shot_id"), "x", "y", "v", F.lit(0.5).alias("a"))
+    bounds = fp.mesh_bounds(_triangles(spark, sf_dir))
+    out = rd.project_shots(_points(spark, sf_dir), shots, ["flight_id"], lambda: camera.uv(Vec3.of("gx", "gy", "gz")), pixels, (8, 8), ("v",), "Complete", _background(spark, sf_dir), shot="shot", camera=camera, bounds=bounds)
+    return out.groupBy(F.col("shot").alias("frame_id")).agg(F.count(F.lit(1)).alias("pixels"), r(F.sum(F.col("v") * (1 + F.col("rx") + 6 * F.col("ry"))), "sum", 4))
+
+
+@query(
+    f"""WITH v AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {A.VERTICES}), p AS ({ORACLE_SQL["camera_positions"]})
+SELECT frame_id, {rs('((cam_x - p.x) * 2 / trunc(x1 - x0 + 0.5) + 1) / 2 * 512', 'px')}, {rs('(1 - (cam_y - p.y) * 2 / trunc(y1 - y0 + 0.5)) / 2 * 512', 'py')} FROM {A.FRAMES}, v, p WHERE p.mode = 'BackgroundCentered'"""
+)
+def scene_camera_pixels(spark, sf_dir):
+    """Shots in the view of a camera over the middle of the mesh, as large as it."""
+    shots = A.frames(spark, sf_dir).select("frame_id", *[F.col(f"cam_{c}").alias(c) for c in "xyz"])
+    row, camera = rd.scene_camera(shots, "frame_id", fr.aabb_of(A.vertices(spark, sf_dir)), RenderSettings(positioning_mode="BackgroundCentered", camera_dist=10.0))
+    x, y = camera.world_to_pixel(Vec3.of("cam_x", "cam_y", "cam_z"), 512, 512)
+    return A.frames(spark, sf_dir).crossJoin(F.broadcast(row)).select("frame_id", r(x, "px"), r(y, "py"))  # one row
+
+
+@query(
+    f"""SELECT frame_id, {rs('cos(a) * ux - sin(a) * uy', 'dx', 9)}, {rs('sin(a) * ux + cos(a) * uy', 'dy', 9)} FROM (
+  SELECT f.frame_id, radians(rot_z_deg) AS a, ((u * 1000 + 512) / 512.0 - 1) * tan(radians(fovy) / 2) AS ux, (1 - (v * 1000 + 512) / 512.0) * tan(radians(fovy) / 2) AS uy
+  FROM ({_undistort_sql(5, "(frame_id % 1024 - 512) / 1000.0", "(frame_id * 3 % 1024 - 512) / 1000.0")}) d JOIN {A.FRAMES} f USING (frame_id))"""
+)
+def undistorted_rays(spark, sf_dir):
+    """Rays through a pixel of every frame, of a lens with distortion."""
+    x, y = (F.col("frame_id") % 1024).cast("double"), (F.col("frame_id") * 3 % 1024).cast("double")
+    out = rd.pixel_rays(A.frames(spark, sf_dir), _frame_camera(), x, y, 1024, 1024, (Vec3.of(-0.1, 0.01, 0.001), 0.001, -0.002), (1000.0, 1000.0, 512.0, 512.0))
+    return out.select("frame_id", r(F.col("dx"), "dx", 9), r(F.col("dy"), "dy", 9))
+
+
+@query(
+    f"""WITH s AS (SELECT vec_id AS img, row_number() OVER (ORDER BY vec_id) - 1 AS n, count(*) OVER () AS total FROM embeddings),
+o AS (SELECT img, n + CASE WHEN n = 0 THEN 0 ELSE 3 END + k AS out_id FROM s, range(6) t(k) WHERE k <= CASE WHEN n = 0 THEN 3 ELSE 0 END + CASE WHEN n = total - 1 THEN 2 ELSE 0 END),
+b AS (SELECT img, x, y, CAST(trunc(greatest(v, 0) * 255) AS INTEGER) AS b FROM {A.PIXELS})
+SELECT out_id, count(*) AS pixels, sum(b * (x + 8 * y))::BIGINT AS red, sum((255 - b) * (x + 8 * y))::BIGINT AS blue FROM o JOIN b USING (img) GROUP BY out_id"""
+)
+def video_roundtrip(spark, sf_dir):
+    """All images as a video with a longer first and last frame, in segments, and the
+    frames read back from them."""
+    p = A.pixels(spark, sf_dir).withColumn("red", px.to_byte(F.greatest("v", F.lit(0.0))))
+    p = p.select("img", "x", "y", "red", F.lit(0).alias("green"), (255 - F.col("red")).alias("blue"), F.lit(255).alias("alpha"))
+    images = png.images_from_pixels(p, "img", 8, 8, ("red", "green", "blue", "alpha"))
+    shown = fr.video_sequence(images, "img", 3, 2)
+    back = video.segment_frames(video.video_segments(shown, per_segment=50))
+    cells = back.select((F.col("segment") * 50 + F.col("at")).alias("out_id"), F.posexplode("rgba").alias("i", "v")).withColumns({"cell": F.floor(F.col("i") / 4), "ch": F.col("i") % 4})
+    weighted = lambda ch: F.sum(F.when(F.col("ch") == ch, F.col("v") * F.col("cell"))).cast("long")
+    return cells.groupBy("out_id").agg(F.count_if(F.col("ch") == 0).alias("pixels"), weighted(0).alias("red"), weighted(2).alias("blue"))
+
+
 @query(
     f"""WITH p AS ({ORACLE_SQL["shutter_growth"]}), s AS (SELECT p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part)
 SELECT frame, first, last, CAST(sum(p_size) AS BIGINT) AS light FROM p JOIN s ON n >= first AND n < last GROUP BY frame, first, last"""

@@ -190,3 +190,38 @@ def test_drawn_lines(spark):
     pixels = spark.createDataFrame([(2, x, 0, 9, 9, 9) for x in range(4)], "f int, x int, y int, r int, g int, b int")
     shown = {r["x"]: (r["b"], r["g"], r["r"]) for r in lb.drawn_on(pixels, lb.drawn(lines, ["f"], ["o"], 8, 8), ["f"]).collect()}
     assert shown == {0: (255, 102, 0), 1: (255, 102, 0), 2: (255, 102, 0), 3: (9, 9, 9)}
+
+
+def test_video_in_segments(spark, tmp_path):
+    from geoview.sources import video
+
+    rng = np.random.default_rng(2)
+    shapes = [rng.integers(0, 256, (3, 5, 4)) for _ in range(7)]
+    for s in shapes:
+        s[:, :, 3] = 255
+    images = spark.createDataFrame([(i * 10, 5, 3, [int(v) for v in s.reshape(-1)]) for i, s in enumerate(shapes)], "shot long, width int, height int, rgba array<int>")
+    video.write_video(images, "shot", str(tmp_path / "v"), fps=25, first_repeats=2, last_repeats=1, per_segment=4)
+    names = sorted(os.listdir(tmp_path / "v"))
+    assert names == ["00000000.avi", "00000001.avi", "00000002.avi"]
+    shown = [px for n in names for px in video.decode_segment((tmp_path / "v" / n).read_bytes())]
+    order = [0, 0, 0, 1, 2, 3, 4, 5, 6, 6]
+    assert len(shown) == 10 and all((shown[i] == shapes[k]).all() for i, k in enumerate(order))
+    head = (tmp_path / "v" / names[0]).read_bytes()
+    assert struct.unpack("<I", head[4:8])[0] == len(head) - 8 and struct.unpack("<I", head[48:52])[0] == 4
+    video.write_video(images, "shot", str(tmp_path / "w"), change=lambda px: 255 - px, per_segment=100)
+    first = next(video.decode_segment((tmp_path / "w" / "00000000.avi").read_bytes()))
+    assert (first[:, :, :3] == 255 - shapes[0][:, :, :3]).all()
+    with pytest.raises(ValueError):
+        video.write_video(images.limit(0), "shot", str(tmp_path / "x"))
+    paths = spark.createDataFrame([(str(tmp_path / "v" / n),) for n in [*names, "none.avi"]], "path string")
+    assert video.delete_files(spark, paths) == 3 and os.listdir(tmp_path / "v") == [n for n in os.listdir(tmp_path / "v") if n.startswith(".")]
+
+
+def test_floor_lookup_of_a_hot_key(spark):
+    from geoview.operators import lookups as lk
+
+    table = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (2, 5, "c")], "g int, k long, v string")
+    probes = spark.range(3000).select((F.col("id") % 2 + 1).cast("int").alias("g"), F.when(F.col("id") < 2900, 9).when(F.col("id") < 2990, 4).alias("k").cast("long"), "id")
+    one, two = (lk.floor_lookup(probes, table, "k", ["v"], by=["g"], hot_keys=h) for h in (False, True))
+    key = lambda df: sorted((r["id"], r["g"], str(r["floor_key"]), str(r["v"])) for r in df.collect())
+    assert one.columns == two.columns and key(one) == key(two) and len(key(one)) == 3000
