@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import types
 from ..functions.vec import Quat, Vec3
+from .json_array import RANGE_BYTES, read_json_array
 
 
 def file_key(path: Column) -> tuple[Column, Column]:
@@ -43,7 +45,18 @@ def read_poses(spark: SparkSession, path: str, count: int | None = None, fovy: f
 def poses_of(docs: DataFrame, flight_id: Column, count: int | None = None, fovy: float = 50.0, image_dir: str | None = None) -> DataFrame:
     """The same from documents that are rows with a column ``images``."""
     images = F.col("images") if count is None else F.slice("images", 1, count)
-    rows = docs.select(flight_id.alias("flight_id"), F.posexplode(images).alias("frame_id", "i"))
+    return _poses(docs.select(flight_id.alias("flight_id"), F.posexplode(images).alias("frame_id", "i")), fovy, image_dir)
+
+
+def read_large_poses(spark: SparkSession, path: str, fovy: float = 50.0, image_dir: str | None = None, flight_id: str | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """As ``read_poses``, of one document that many tasks read by ranges of bytes."""
+    image = StructType.fromDDL(types.POSES)["images"].dataType.elementType
+    found = read_json_array(spark, path, "images", range_bytes)
+    return _poses(found.select(F.lit(flight_id).alias("flight_id"), F.col("position").alias("frame_id"), F.from_json("value", image).alias("i")), fovy, image_dir)
+
+
+def _poses(rows: DataFrame, fovy: float, image_dir: str | None) -> DataFrame:
+    """From rows (flight_id, frame_id, i), an image of the document each."""
     need = lambda c, what: F.when(c.isNull(), F.raise_error(F.lit(f"a pose has no {what}")).cast("array<double>")).otherwise(c)
     file = F.coalesce("i.imagefile", "i.file", "i.image")
     rotation = need(F.coalesce("i.rotation", "i.rot", "i.quaternion"), "rotation")

@@ -225,3 +225,30 @@ def test_floor_lookup_of_a_hot_key(spark):
     one, two = (lk.floor_lookup(probes, table, "k", ["v"], by=["g"], hot_keys=h) for h in (False, True))
     key = lambda df: sorted((r["id"], r["g"], str(r["floor_key"]), str(r["v"])) for r in df.collect())
     assert one.columns == two.columns and key(one) == key(two) and len(key(one)) == 3000
+
+
+def test_large_documents_in_ranges(spark, tmp_path):
+    """However a document is cut, its elements are those of the whole."""
+    import json
+    import random
+
+    from geoview.sources import documents as doc
+    from geoview.sources.json_array import read_json_array
+
+    rng = random.Random(6)
+    odd = ['a "quoted" {brace', "back\\slash\\", 'end\\"', "[1, {2}]", "ünï", "\\\\", '"images": [', "plain"]
+    images = [{"imagefile": f"{i}_{rng.choice(odd)}.png", "location": [i, 2.5, 3], "rotation": [1, 2, {} and 0 or 3], "fovy": [50.0 + i], "more": {"x": [rng.choice(odd), {"y": None}]}} for i in range(60)]
+    whole = {"note": 'has "images": [ in it', "first": [1, {"images": [{"no": 1}]}], "images": images, "after": [{"images": []}, {"z": 9}], "last": {"images": [{"q": 1}]}}
+    for n, text in enumerate((json.dumps(whole), json.dumps(whole, indent=1, ensure_ascii=False))):
+        path = tmp_path / f"poses{n}.json"
+        path.write_text(text)
+        for size in (97, 1000, 1 << 20):
+            got = sorted((r["position"], r["value"]) for r in read_json_array(spark, str(path), "images", size).collect())
+            assert [p for p, _ in got] == list(range(60)) and [json.loads(v) for _, v in got] == images, (n, size)
+        one, many = doc.read_poses(spark, str(path)), doc.read_large_poses(spark, str(path), range_bytes=500)
+        assert one.columns == many.columns and sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
+    (tmp_path / "list.json").write_text(json.dumps(images))
+    got = sorted((r["position"], r["value"]) for r in read_json_array(spark, str(tmp_path / "list.json"), None, 211).collect())
+    assert [json.loads(v) for _, v in got] == images
+    (tmp_path / "none.json").write_text('{"images": []}')
+    assert read_json_array(spark, str(tmp_path / "none.json"), "images", 5).count() == 0
