@@ -67,7 +67,17 @@ def counted(raw: bytes, ids: dict[bytes, int]) -> tuple[int, Counter]:
     n, found = 0, Counter()
     for some in terms(raw):
         n += len(some)
-        found.update(filter(None.__ne__, map(ids.get, some)))
+        found.update(map(ids.get, some))
+    found.pop(None, None)
+    return n, found
+
+
+def held(raw: bytes, ids: dict[bytes, int]) -> tuple[int, set[bytes]]:
+    """How many terms a text has, and which of those with an id."""
+    n, found = 0, set()
+    for some in terms(raw):
+        n += len(some)
+        found |= ids.keys() & set(some)
     return n, found
 
 
@@ -83,10 +93,10 @@ def _count_part(ids: dict[bytes, int]):
         holds, docs, length = np.zeros(len(ids), np.int64), 0, 0
         for b in batches:
             for raw in b.column(0):
-                n, found = counted(raw.as_py(), ids)
+                n, found = held(raw.as_py(), ids)
                 docs, length = docs + (n > 0), length + n
                 if found:
-                    holds[np.fromiter(found, np.int64, len(found))] += 1
+                    holds[np.fromiter(map(ids.get, found), np.int64, len(found))] += 1
         some = np.flatnonzero(holds)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([holds[some], [docs, length]]))], names=["term", "n"])
 
@@ -177,14 +187,14 @@ def _search_part(ids: dict[bytes, int], items: list[np.ndarray], weights: list[n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(k) for _ in items]
-        held: tuple[list, list, list] = ([], [], [])
+        own: tuple[list, list, list] = ([], [], [])  # ids, lengths and terms of a block
         entries = 0
 
         def flush() -> None:
-            block = Block(*held, docs, length)
+            block = Block(*own, docs, length)
             for t, w, b in zip(items, weights, best):
                 block.search(t, w, b)
-            for h in held:
+            for h in own:
                 h.clear()
 
         for batch in batches:
@@ -192,13 +202,13 @@ def _search_part(ids: dict[bytes, int], items: list[np.ndarray], weights: list[n
                 n, found = counted(raw.as_py(), ids)
                 if not found:
                     continue
-                for h, v in zip(held, (i, n, found)):
+                for h, v in zip(own, (i, n, found)):
                     h.append(v)
                 entries += len(found)
-                if len(held[0]) >= BLOCK_DOCS or entries >= BLOCK_ENTRIES:
+                if len(own[0]) >= BLOCK_DOCS or entries >= BLOCK_ENTRIES:
                     flush()
                     entries = 0
-        if held[0]:
+        if own[0]:
             flush()
         for at, b in enumerate(best):
             if len(b.score):
