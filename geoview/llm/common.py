@@ -2,67 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import drop, new_path, written
+
+__all__ = ["TEXT_ROWS", "claim", "drop", "free_name", "held_out", "new_path", "row_hash", "small_batches", "tidied", "tidy", "with_text", "written"]
+
 #: Rows of an Arrow batch of whole texts; it bounds what either side of the
 #: pipe to Python holds at once.
 TEXT_ROWS = 1_000
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the setting is absent, as in tests on one machine, a temporary
-    folder takes its place.
-    """
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="shared-tables-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(drop_all)
-    _made.append((spark, path))
-    return path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def drop_all() -> None:
-    while _made:
-        spark, path = _made.pop()
-        try:
-            drop(spark, path)
-        except Exception:  # the session may have ended before
-            return
-
-
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and a lost
-    executor costs no more than the task that it ran."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: Column) -> Column:
