@@ -9,8 +9,8 @@ weighted Jaccard similarity, sum(min) / sum(max) of the shingles' counts, for a
 block of windows and items at a time, and those of ``threshold`` or more are leaks; a
 document reports its best window for an item.
 
-Windows that hold fewer of the benchmark's shingles than the threshold needs are
-near no item and get no fingerprint; this loses nothing and leaves few windows.
+Windows that hold fewer shingles of items of their size than the threshold needs are
+near none of these and get no fingerprint; this loses nothing and leaves few windows.
 
 The benchmark is broadcast in parts: equal rows are counted, and distinct ones
 are dealt by hash into as many parts as keep each near ``PART_CHARS`` characters;
@@ -104,6 +104,10 @@ class Shingled:
         self.starts = np.concatenate([[0], self.ends[:-1]])
         self.size = len(items[0])
 
+    def has(self, shingles: np.ndarray) -> np.ndarray:
+        """Which of some shingles are of these kinds."""
+        return self.kinds[np.minimum(np.searchsorted(self.kinds, shingles), len(self.kinds) - 1)] == shingles
+
     def places(self, shingles: np.ndarray) -> np.ndarray:
         """Where a text has kinds of these shingles: kind * (length + 1) + place, sorted."""
         at = np.minimum(np.searchsorted(self.kinds, shingles), len(self.kinds) - 1)
@@ -181,16 +185,19 @@ class Benchmark:
             if not len(hit):
                 continue
             inside = width - k + 1  # shingles of a window
+            # A window shares at most as many shingles with an item as it holds of those
+            # of this size: with fewer than the threshold needs, it is none of theirs.
+            sizes = inside + shingled_items.size
+            need = threshold * sizes / (1 + threshold) - 1e-6
+            hit = hit[shingled_items.has(s[hit])]
+            if len(hit) < need:
+                continue
             # Starts of windows that hold a hit: ranges before each, which may overlap.
             low, high = np.maximum(hit - inside + 1, 0), np.minimum(hit, len(s) - inside)
             low[1:] = np.maximum(low[1:], high[:-1] + 1)
             n = np.maximum(high - low + 1, 0)
             starts = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            # A window shares at most as many shingles with an item as it holds of the
-            # benchmark's: with fewer than the threshold needs, it is none of its.
-            sizes = inside + shingled_items.size
-            holds = np.concatenate([[0], np.cumsum(np.bincount(hit, minlength=len(s)))])
-            starts = starts[holds[starts + inside] - holds[starts] >= threshold * sizes / (1 + threshold) - 1e-6]
+            starts = starts[np.searchsorted(hit, starts + inside) - np.searchsorted(hit, starts) >= need]
             places = shingled_items.places(s) if len(starts) else None
             best: dict[int, tuple] = {}
             lo = 0
