@@ -151,6 +151,55 @@ def test_likelihood_and_gradient():
         assert g[at] == pytest.approx((more - value) / 1e-5, rel=1e-3, abs=1e-4)
 
 
+def test_every_token_is_open():
+    for text in [*TEXTS, "pin: swordfish, 42!", "пароль=тайна日本 語\x1c\u2003x"]:
+        tokens = secrets.open_tokens(text)
+        assert "".join(text[a:e] for a, e in tokens) == "".join(text.split())
+        assert all(a < e for a, e in tokens) and secrets.segments(text, tokens) == [0][: len(tokens)]
+
+
+def test_words_without_digits_can_be_secret(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choices("bcdfghjklmnpqrstvwxz", k=n))
+    prose = lambda n: " ".join(r.choices(["the", "sea", "was", "calm", "and", "we", "went", "home", "again", "later"], k=n))
+    texts = [f"{prose(20)} password: {word(r.randint(12, 16))} {prose(20)}" for _ in range(300)] + [prose(60) for _ in range(300)]
+    model = secrets.fit(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    for value in (word(13), word(15)):
+        text = f"{prose(9)} passcode: {value} {prose(9)}"
+        base, added = secrets.scan(text, model)
+        assert not base and [text[a:e] for a, _, e in added] == [value]
+    assert secrets.scan(prose(60), model) == ([], [])
+
+
+@pytest.mark.parametrize(("block", "remembered"), [(1 << 16, 100_000), (14, 8)])
+def test_spans_are_the_best_path_of_the_whole_text(monkeypatch, block, remembered):
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    monkeypatch.setattr(secrets, "REMEMBERED", remembered)
+    pieces = ["token", "=", ":", " ", " ", " ", '"', "deadbeef01", "0123", "word", "word", "is", "z", ".", "é", "\n", "\t ", "x" * 300, "日本", "abcdefghijklmnopqrstuvw"]
+    inside = sure = 0
+    for seed in range(60):
+        r, rng = random.Random(seed), np.random.default_rng(seed)
+        model = secrets.Crf(rng.normal(0, 0.5, (secrets.FEATURES, 3)) + [0.05 * (seed % 3), 0, 0], rng.normal(0, 1, (4, 3)))
+        text = "".join(r.choices(pieces, k=r.randint(1, 150)))
+        tokens = secrets.open_tokens(text)
+        if not tokens:
+            continue
+        ids = secrets.feature_ids(text, tokens)
+        emitted = model.weights[ids].sum(axis=1)
+        tags = model.viterbi(emitted)
+        where = model.surely_outside(emitted)
+        assert model.tags(ids, [0]) == tags and not np.array(tags)[where].any()
+        want = []
+        for (a, e), tag in zip(tokens, tags):
+            if tag == 1:
+                want.append([a, e])
+            elif tag == 2:
+                want[-1][1] = e
+        assert model.spans(text) == [(a, e) for a, e in want]
+        inside, sure = inside + tags.count(2), sure + int(where.sum())
+    assert inside > 50 and sure > 50
+
+
 @pytest.fixture(scope="module")
 def trained(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
