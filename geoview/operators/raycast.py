@@ -14,6 +14,8 @@ MAX_CELLS = 64
 MESH_BYTES = 8 << 20
 #: Bytes of a triangle in one grid: nine cells at most where it is of mean size.
 PLACED_BYTES = 9 * 128
+#: Origin and direction of a ray.
+RAY = ("ox", "oy", "oz", "dx", "dy", "dz")
 
 
 def hit_distance(o: Vec3, d: Vec3, a: Vec3, b: Vec3, c: Vec3) -> Column:
@@ -62,6 +64,24 @@ def raycast(rays: DataFrame, triangles: DataFrame, include_misses: bool = False,
     which each task keeps the nearest.  Ties at equal distance go to the least
     tid.  One aggregate over the mesh runs at once.
     """
+    keep, by = keep or [], by or []
+    rays = rays.select("ray_id", *[c for c in by if c not in keep], *keep, *RAY)
+    hits = hits_of(rays, triangles, by, deal=["ray_id"])
+    own = [c for c in rays.columns if c != "ray_id"]
+    hits = hits.select(*rays.columns, F.struct("t", "tid").alias("hit"))
+    if include_misses:
+        hits = hits.unionByName(rays.withColumn("hit", F.lit(None).cast(hits.schema["hit"].dataType)))
+    found = hits.groupBy("ray_id").agg(F.min("hit").alias("hit"), *[F.first(c).alias(c) for c in own])
+    return _with_points(found.withColumns({"tid": F.col("hit.tid"), "t": F.col("hit.t")}), keep)
+
+
+def hits_of(rays: DataFrame, triangles: DataFrame, by: list[str] | None = None, deal: list[str] | None = None) -> DataFrame:
+    """Every hit of every ray: the columns of ``rays``, among them RAY and ``by``, with
+    tid and t.
+
+    Where the mesh is broadcast, rays are dealt by the ``deal`` columns, or stay in
+    their tasks if there are none.
+    """
     span = triangles.agg(
         F.min(F.least("az", "bz", "cz")).alias("z0"), F.max(F.greatest("az", "bz", "cz")).alias("z1"),
         F.min(F.least("ax", "bx", "cx")).alias("x0"), F.max(F.greatest("ax", "bx", "cx")).alias("x1"),
@@ -69,11 +89,9 @@ def raycast(rays: DataFrame, triangles: DataFrame, include_misses: bool = False,
         F.count(F.lit(1)).alias("n"),
         F.avg(F.greatest("ax", "bx", "cx") - F.least("ax", "bx", "cx") + F.greatest("ay", "by", "cy") - F.least("ay", "by", "cy")).alias("extent"),
     ).first()
-    keep, by = keep or [], by or []
-    rays = rays.select("ray_id", *[c for c in by if c not in keep], *keep, "ox", "oy", "oz", "dx", "dy", "dz")
+    by = by or []
     if span["z0"] is None:
-        none = rays.withColumns({"tid": F.lit(None).cast("long"), "t": F.lit(None).cast("double")})
-        return _with_points(none if include_misses else none.limit(0), keep)
+        return rays.withColumns({"tid": F.lit(None).cast("long"), "t": F.lit(None).cast("double")}).limit(0)
     cell, levels = grid_of(span)
     boxed = _with_level(_tracks(rays, span, cell), cell, levels)
     spread = {f"{c}{e}": f(f"a{c}", f"b{c}", f"c{c}") for c in "xy" for e, f in (("lo", F.least), ("hi", F.greatest))}
@@ -87,16 +105,12 @@ def raycast(rays: DataFrame, triangles: DataFrame, include_misses: bool = False,
     placed = placed.select(*by, "level", "gx", "gy", "tid", "ax", "ay", "az", *[f"{k}{c}" for k in ("e1", "e2", "n") for c in "xyz"])
     if span["n"] * levels * PLACED_BYTES <= MESH_BYTES:
         placed = F.broadcast(placed)
-        # The one shuffle: by ray, as the nearest hits are taken.
-        boxed = boxed.repartition("ray_id")
+        if deal:
+            # The one shuffle: by ray, as the nearest hits are taken.
+            boxed = boxed.repartition(*deal)
     met = walked(boxed, cell).join(placed, [*by, "level", "gx", "gy"])
     t = plane_distance(Vec3.of("ox", "oy", "oz"), Vec3.of("dx", "dy", "dz"), a, _corner("e1"), _corner("e2"), _corner("n"))
-    own = [c for c in rays.columns if c != "ray_id"]
-    hits = met.select(*rays.columns, "tid", t.alias("t")).filter(F.col("t").isNotNull()).select(*rays.columns, F.struct("t", "tid").alias("hit"))
-    if include_misses:
-        hits = hits.unionByName(rays.withColumn("hit", F.lit(None).cast(hits.schema["hit"].dataType)))
-    found = hits.groupBy("ray_id").agg(F.min("hit").alias("hit"), *[F.first(c).alias(c) for c in own])
-    return _with_points(found.withColumns({"tid": F.col("hit.tid"), "t": F.col("hit.t")}), keep)
+    return met.select(*rays.columns, "tid", t.alias("t")).filter(F.col("t").isNotNull())
 
 
 def grid_of(span) -> tuple[float, int]:

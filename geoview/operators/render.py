@@ -21,10 +21,17 @@ from . import frames as fr
 from . import labels as lb
 from . import lookups as lk
 from . import pixels as px
-from .raycast import raycast
+from .raycast import RAY, hits_of, raycast
 
 POSE = ("cam_x", "cam_y", "cam_z", "rot_x_deg", "rot_y_deg", "rot_z_deg", "fovy")
 CORRECTION = ("tx", "ty", "tz", "rx", "ry", "rz")
+#: What the view over a frame takes of its pose.
+VIEWED = ("cam_x", "cam_y", "cam_z")
+#: A block of frames is at least so many reaches of the window, and so many frames, wide.
+BLOCK_REACHES, BLOCK_FRAMES = 8, 256
+#: Blocks are dealt to so many times the tasks of a shuffle: a label that arrives there
+#: is a ray for each corner and each frame of its window.
+BLOCK_TASKS = 4
 
 
 def _vec(names: list[str] | tuple[str, ...]) -> Vec3:
@@ -49,16 +56,19 @@ def project_labels(labels: DataFrame, triangles: DataFrame, keys: list[str], sho
     Every corner (x, y) of a label is cast on the mesh, or on the one of its ``by``
     columns, and projected again; the box encloses those that hit, and a label of
     which none does has no row.  ``keys`` name one label; cameras are columns of
-    ``labels``, those of the view ``view_columns``.
+    ``labels``, those of the view ``view_columns``.  Where the mesh is broadcast, rows
+    that are dealt by some of ``keys`` stay in their tasks.
     """
     points = labels.select(*labels.columns, F.posexplode(corners).alias("n__", "at__")).drop(corners)
-    rays = pixel_rays(points, shot, F.col("at__.x").cast("double"), F.col("at__.y").cast("double"), *shot_size)
-    rays = rays.withColumn("ray_id", F.struct(*keys, "n__", "at__"))
-    more = [c for c in view_columns if c not in keys]
-    hits = raycast(rays, triangles, keep=more, by=by)
-    hits = hits.select(*[F.col(f"ray_id.{k}").alias(k) for k in keys], *more, "x", "y", "z")
+    points = points.withColumns({"atx__": F.col("at__.x"), "aty__": F.col("at__.y")}).drop("at__")
+    rays = pixel_rays(points, shot, F.col("atx__").cast("double"), F.col("aty__").cast("double"), *shot_size)
+    ids = [*keys, "n__", "atx__", "aty__"]
+    named = list(dict.fromkeys([*ids, *(by or []), *view_columns]))
+    hits = hits_of(rays.select(*named, *RAY), triangles, by)
+    # Each hit is projected before the nearest is taken: an aggregate of plain numbers.
+    hits = hits.select(*named, "t", *[(F.col(f"o{c}") + F.col("t") * F.col(f"d{c}")).alias(c) for c in "xyz"])
     u, v = view.world_to_pixel(_vec("xyz"), *view_size, ensure_int=ensure_int)
-    seen = hits.select(*keys, u.alias("u__"), v.alias("v__"))
+    seen = hits.select(*ids, "t", u.alias("u__"), v.alias("v__")).groupBy(*ids).agg(F.min_by("u__", "t").alias("u__"), F.min_by("v__", "t").alias("v__"))
     return seen.groupBy(*keys).agg(F.min("u__").alias("x1"), F.min("v__").alias("y1"), F.max("u__").alias("x2"), F.max("v__").alias("y2"), F.count(F.lit(1)).alias("n_hits"))
 
 
@@ -107,6 +117,58 @@ def batch_frames(frames: DataFrame, settings: PipelineSettings, done: DataFrame
     return out if done is None else lk.pending(out, done.select("name"), ["name"])
 
 
+def _met_by_frame(central: DataFrame, labels: DataFrame) -> DataFrame:
+    """Central frames with their own labels, dealt by frame."""
+    own = central.withColumns({"neighbour_id": F.col("frame_id"), "phase": F.lit(0), **{f"n_{c}": F.col(c) for c in POSE}})
+    labels = labels.withColumnRenamed("neighbour_id", "frame_id")
+    return own.drop(*(c for c in POSE if c not in VIEWED)).join(labels, [c for c in ("flight_id", "frame_id") if c in labels.columns])
+
+
+def _met_by_block(frames: DataFrame, central: DataFrame, labels: DataFrame, before: int, after: int, stride: int) -> DataFrame:
+    """Central frames with the labels of their windows, dealt by ``task__``.
+
+    Frames and labels are dealt once, by blocks of frames; those near a border also go to
+    the next block.  A running list of central frames, which are light, goes along the
+    frames of a block, and each label is multiplied by its frame's list in the task that
+    also takes the window's boxes together.
+    """
+    lo, hi = max(before, 0), max(after, 0)
+    width = max(BLOCK_REACHES * max(lo, hi), BLOCK_FRAMES)
+    tasks = BLOCK_TASKS * int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [c for c in ("flight_id",) if c in labels.columns]
+    block = lambda c: F.expr(f"cast({c} as bigint) div {width}")
+    near = F.explode(F.sequence(block(f"neighbour_id - {hi}"), block(f"neighbour_id + {lo}"))).alias("block__")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("task__", F.pmod(F.hash(*by, "block__"), F.lit(tasks))).repartitionById(tasks, "task__")
+
+    pose = F.struct(*[F.col(c).alias(f"n_{c}") for c in POSE]).alias("pose__")
+    one = F.struct("frame_id", *[c for c in central.columns if c not in ("flight_id", "frame_id", *POSE) or c in VIEWED]).alias("one__")
+    there = frames.select("flight_id", F.col("frame_id").alias("neighbour_id"), pose).select("*", near)
+    asking = central.select("flight_id", F.col("frame_id").alias("neighbour_id"), one, block("frame_id").alias("block__"))
+    both = dealt(there.unionByName(asking, allowMissingColumns=True)).withColumns({"at__": F.col("neighbour_id").cast("long"), "rest__": F.pmod("neighbour_id", F.lit(stride))})
+    around = Window.partitionBy("task__", "flight_id", "block__", "rest__").orderBy("at__").rangeBetween(-hi, lo)
+    asked = both.withColumn("all__", F.collect_list("one__").over(around)).filter(F.col("pose__").isNotNull())
+    asked = asked.select("task__", "block__", "flight_id", "neighbour_id", "pose__", "all__")
+    if by:  # equal types have equal hashes
+        labels = labels.withColumn("flight_id", F.col("flight_id").cast(frames.schema["flight_id"].dataType))
+    flat = labels.select("*", near, F.col("corners.x").alias("xs__"), F.col("corners.y").alias("ys__")).drop("corners")
+    met = dealt(flat).join(asked, ["task__", "block__", *by, "neighbour_id"])
+    met = met.withColumn("corners", F.arrays_zip(F.col("xs__").alias("x"), F.col("ys__").alias("y"))).withColumn("one__", F.explode("all__"))
+    n, f = F.col("neighbour_id"), F.col("one__.frame_id")
+    met = met.filter((n == f) | n.between(f - before, f + after))
+    rest = [c for c in labels.columns if c not in ("corners", "neighbour_id", *by)]
+    return met.select("task__", "flight_id", "neighbour_id", *rest, "corners", "pose__.*", "one__.*", F.when(n == f, 0).when(n < f, 1).otherwise(2).alias("phase"))
+
+
+def _met_by_pairs(frames: DataFrame, central: DataFrame, labels: DataFrame, before: Column | int, after: Column | int, stride: Column | int) -> DataFrame:
+    """The same where reach or stride are columns, dealt by neighbour."""
+    window = frames.select("flight_id", "frame_id", F.col("frame_id").alias("neighbour_id"), F.lit(0).alias("phase")).unionByName(lk.neighbours(frames, before, after, stride))
+    poses = frames.select("flight_id", F.col("frame_id").alias("neighbour_id"), *[F.col(c).alias(f"n_{c}") for c in POSE])
+    asked = window.join(central.drop(*(c for c in POSE if c not in VIEWED)), ["flight_id", "frame_id"])
+    return asked.join(poses, ["flight_id", "neighbour_id"]).join(labels, [c for c in ("flight_id", "neighbour_id") if c in labels.columns])
+
+
 def batch_labels(
     frames: DataFrame, labels: DataFrame, corrections: DataFrame, triangles: DataFrame, settings: PipelineSettings,
     before: Column | int, after: Column | int, stride: Column | int, default: dict[str, float] | DataFrame | None = None, ensure_int: bool = True,
@@ -119,37 +181,43 @@ def batch_labels(
     a pose; ``labels`` flight_id, frame_id, line, class_id, corners in pixels and, if
     labels belong to tracks, track_id; ``corrections`` pos, lo, hi, CORRECTION columns
     and flight_id, unless they hold for all flights; ``triangles`` may have a flight_id
-    too.  Labels of a frame's neighbours, or with merge_labels off or project_orthogonal
+    too.  Labels without flight_id are those of the one frame of their number.
+    Labels of a frame's neighbours, or with merge_labels off or project_orthogonal
     on of itself alone, are cast through their own frame's pose under the central
     frame's correction, and projected into an orthographic view over it, turned by the
     rotation.  Boxes of a track merge, each label without tracks is a box of its own;
     those fully outside drop, and overlaps with apply_nms.
+
+    Labels are shuffled once, to where their frames are; with a constant reach all that
+    follows is in the same tasks, as long as the mesh is broadcast.
     """
     s = settings
     turned = s.additional_rotations > 0
-    names = ["rotation_nr", "rotation", "name"]
+    names = ["rotation_nr", "rotation", "name"] if turned else []
     central = batch_frames(frame_corrections(frames, corrections, default), s, done)
-    window = frames.select("flight_id", "frame_id", F.col("frame_id").alias("neighbour_id"), F.lit(0).alias("phase"))
+    central = central.select("flight_id", "frame_id", *POSE, *CORRECTION, *names)
     tracked = "track_id" in labels.columns
-    if s.merge_labels and tracked and not s.project_orthogonal:
-        window = window.unionByName(lk.neighbours(frames, before, after, stride))
-    poses = frames.select("flight_id", F.col("frame_id").alias("neighbour_id"), *[F.col(c).alias(f"n_{c}") for c in POSE])
     if not tracked:
         labels = labels.withColumn("track_id", F.col("line"))
-    seen = labels.select("flight_id", F.col("frame_id").alias("neighbour_id"), "line", "track_id", "class_id", "corners")
-    rows = window.join(poses, ["flight_id", "neighbour_id"]).join(seen, ["flight_id", "neighbour_id"])
-    rows = rows.join(central.select("flight_id", "frame_id", "cam_x", "cam_y", "cam_z", *CORRECTION, *names), ["flight_id", "frame_id"])
+    labels = labels.select(*[c for c in ("flight_id",) if c in labels.columns], F.col("frame_id").alias("neighbour_id"), "line", "track_id", "class_id", "corners")
+    if not (s.merge_labels and tracked and not s.project_orthogonal):
+        rows = _met_by_frame(central, labels)
+    elif all(isinstance(v, int) for v in (before, after, stride)):
+        rows = _met_by_block(frames, central, labels, before, after, stride)
+    else:
+        rows = _met_by_pairs(frames, central, labels, before, after, stride)
     position, degrees = _vec([f"n_cam_{c}" for c in "xyz"]), _vec([f"n_rot_{c}_deg" for c in "xyz"])
     shot = cam.frame_camera(position, degrees, "n_fovy", _vec(("tx", "ty", "tz")), _vec(("rx", "ry", "rz")))
     above = _vec(("cam_x", "cam_y", "cam_z")) + _vec(("tx", "ty", "tz")) + Vec3.of(0, 0, s.camera_distance)
     pose = Transform(above, Quat.about("z", F.col("rotation"))) if turned else Transform(above)
     view = cam.Camera.orthographic(pose, s.ortho_width, s.ortho_height)
-    frame = ["flight_id", "frame_id", *(names if turned else [])]
-    keys = [*frame, "track_id", "class_id", "phase", "neighbour_id", "line"]
+    frame = ["flight_id", "frame_id", *names]
+    task = [c for c in ("task__",) if c in rows.columns]
+    keys = [*task, *frame, "track_id", "class_id", "phase", "neighbour_id", "line"]
     size = (s.render_width, s.render_height)
     mesh_by = ["flight_id"] if "flight_id" in triangles.columns else None
-    boxes = project_labels(rows, triangles, keys, shot, view, ["cam_x", "cam_y", "cam_z", "tx", "ty", "tz"], (s.input_width, s.input_height), size, ensure_int=ensure_int, by=mesh_by)
-    tracks = lb.track_boxes(boxes, [*frame, "track_id"], ["phase", "neighbour_id", "line", "class_id"])
+    boxes = project_labels(rows, triangles, keys, shot, view, [*VIEWED, "tx", "ty", "tz"], (s.input_width, s.input_height), size, ensure_int=ensure_int, by=mesh_by)
+    tracks = lb.track_boxes(boxes, [*task, *frame, "track_id"], ["phase", "neighbour_id", "line", "class_id"]).drop(*task)
     if s.apply_nms:
         tracks = lb.nms(tracks, frame, ["track_id"], s.nms_iou)
     shown = tracks.withColumn("box__", lb.box_yolo(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], *size)).filter(F.col("box__").isNotNull())

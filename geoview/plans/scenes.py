@@ -45,8 +45,7 @@ def _batch(spark, sf_dir, settings: PipelineSettings) -> DataFrame:
     frames = A.frames(spark, sf_dir).withColumns({"rot_x_deg": F.lit(0.0), "rot_y_deg": F.lit(0.0)})
     zero = {c: F.lit(0.0) for c in rd.CORRECTION if c != "tz"}
     corrections = A.corrections(spark, sf_dir).withColumns(zero)
-    labels = _label_corners(spark, sf_dir).join(frames.select("frame_id", "flight_id"), "frame_id")
-    out = rd.batch_labels(frames, labels, corrections, _triangles(spark, sf_dir), settings, 200, 200, 5, ensure_int=False)
+    out = rd.batch_labels(frames, _label_corners(spark, sf_dir), corrections, _triangles(spark, sf_dir), settings, 200, 200, 5, ensure_int=False)
     return out.select("flight_id", "frame_id", "track_id", "class_id", *[r(F.col(c), c) for c in ("xc", "yc", "w", "h")])
 
 

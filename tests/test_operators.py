@@ -360,3 +360,54 @@ def test_a_frame_number_belongs_to_its_flight(spark):
     assert len(names) == 9 and "1_7" in names and all("." not in n for n in names)
     done = spark.createDataFrame([("1_7",)], "name string")
     assert {r["frame_id"] for r in run(PipelineSettings(), done=done).collect()} == {6, 8}
+
+
+def _shuffles(plan, column):
+    """The most shuffles that rows of scans of ``column`` go through."""
+    children = plan.children()
+    below = max((_shuffles(children.apply(i), column) for i in range(children.size())), default=-1)
+    if plan.nodeName().startswith("Scan"):
+        return 0 if f"{column}#" in plan.simpleString(100) else -1
+    return below + 1 if below >= 0 and plan.nodeName() == "Exchange" else below
+
+
+@pytest.mark.parametrize("name", ["batch_labels_by_flight", "batch_labels", "batch_labels_unmerged"])
+def test_a_batch_shuffles_its_labels_once(spark, sf_dir, name):
+    from geoview.queries import QUERIES
+
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan()
+        assert _shuffles(plan, "l_orderkey") == 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("reach", [(7, 3, 2), (0, 5, 1), (30, 30, 5)])
+def test_windows_over_the_borders_of_blocks(spark, monkeypatch, reach):
+    """Blocks against pairs of frames, and frame numbers that name their flight."""
+    import random
+
+    from geoview.config import PipelineSettings
+    from geoview.operators import render as rd
+
+    monkeypatch.setattr(rd, "BLOCK_FRAMES", 4)
+    monkeypatch.setattr(rd, "BLOCK_REACHES", 1)
+    rng = random.Random(8)
+    ids = [(f, n) for f in (1, 2) for n in range(-40, 60) if rng.random() < 0.7]
+    frames = spark.createDataFrame([(f, n, float(n), 9.0 * f, 50.0, 0.0, 0.0, float(n % 360), 50.0) for f, n in ids], "flight_id int, frame_id long, " + ", ".join(f"{c} double" for c in rd.POSE))
+    seen = [(f, n, k, rng.randint(0, 3), k % 2, [(float(x), 500.0), (520.0, float(x))]) for f, n in [*ids, (3, 7)] for k in range(rng.randint(0, 3)) for x in [rng.randint(400, 600)]]
+    labels = spark.createDataFrame(seen, "flight_id long, frame_id long, line int, track_id long, class_id int, corners array<struct<x:double,y:double>>")
+    shifts = spark.createDataFrame([(i, 10 * i - 40, 10 * i - 33, i % 2 + 1, 0.0, 0.0, float(i)) + (0.0,) * 3 for i in range(10)], "pos int, lo long, hi long, flight_id int, " + ", ".join(f"{c} double" for c in rd.CORRECTION))
+    mesh = spark.createDataFrame([(0, -1000.0, -1000.0, 0.0, 2000.0, -1000.0, 0.0, -1000.0, 2000.0, 0.0)], "tid long, " + ", ".join(f"{k}{c} double" for k in "abc" for c in "xyz"))
+    run = lambda frames, labels, shifts, reach: sorted(tuple(round(v, 6) for v in r) for r in rd.batch_labels(frames, labels, shifts, mesh, PipelineSettings(), *reach, ensure_int=False).collect())
+    want = run(frames, labels, shifts, [F.lit(v) for v in reach])
+    assert len(want) > 100 and run(frames, labels, shifts, reach) == want
+    # Frames 1000 apart for each flight.
+    apart = lambda df, *c: df.withColumns({k: F.col(k) + 1000 * F.col("flight_id") for k in c})
+    got = run(apart(frames, "frame_id"), apart(labels, "frame_id").drop("flight_id"), apart(shifts, "lo", "hi"), reach)
+    assert got == sorted((f, n + 1000 * f, *rest) for f, n, *rest in want)
