@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,6 +102,8 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, (w * h) / union).otherwise(F.lit(0.0))
 
 
+#: Polylines are dealt to so many times the tasks of a shuffle, as each is many pixels.
+DRAWING_TASKS = 4
 #: Boxes of a group that are compared without a grid.
 FEW_BOXES = 48
 
@@ -230,24 +232,37 @@ def nms(boxes: DataFrame, by: list[str], order: list[str], max_iou: float, liter
     return dealt.mapInArrow(run, T.StructType([boxes.schema[c] for c in names])).select(*boxes.columns)
 
 
-def line_pixels(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """The pixels (x, y) of a line of one pixel's width, from its first end: one for
-    each step along its longer side, nearest to the line."""
-    steps = F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)).cast("int")
-    at = lambda a, b, k: (a + F.when(steps == 0, 0).otherwise(F.floor((b - a) * k / steps + 0.5))).cast("int")
-    return F.transform(F.sequence(F.lit(0), steps), lambda k: F.struct(at(x1, x2, k).alias("x"), at(y1, y2, k).alias("y")))
+def _steps(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    return F.greatest(F.abs(x2 - x1), F.abs(y2 - y1)).cast("int")
+
+
+def _between(a: Column, b: Column, k: Column, steps: Column) -> Column:
+    """Pixel k of a line of one pixel's width, from its first end: one for each step
+    along its longer side, nearest to the line."""
+    return (a + F.when(steps == 0, 0).otherwise(F.floor((b - a) * k / steps + 0.5))).cast("int")
 
 
 def drawn(polylines: DataFrame, by: list[str], order: list[str], width: int, height: int, coords: str = "coords", class_col: str = "class_id") -> DataFrame:
     """(by, x, y, class): pixels of closed polylines of interleaved integers, cut to the
-    image; where several meet, the last by ``order`` shows."""
-    p = F.col(coords)
-    corner = lambda i: F.get(p, F.pmod(i, F.size(p)))
-    edges = F.transform(F.sequence(F.lit(0), F.size(p) - 2, F.lit(2)), lambda i: F.struct(*[corner(i + k).cast("int").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))]))
-    rows = polylines.filter(F.size(p) >= 2).select(*by, *order, class_col, F.explode(edges).alias("e__"))
-    cells = rows.select(*by, *order, class_col, F.inline(line_pixels(*[F.col(f"e__.{n}") for n in ("x1", "y1", "x2", "y2")])))
+    image; where several meet, the last by ``order`` shows.
+
+    Polylines, not pixels, are shuffled: once, by image, where they get their place in
+    the order.  Pixels are rows of plain numbers, drawn and taken together in that task,
+    which holds its images' pixels or spills them.
+    """
+    p, i, k = F.col(coords), F.col("i__"), F.col("k__")
+    tasks = DRAWING_TASKS * int(polylines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = polylines.filter(F.size(p) >= 2).select(*by, *order, class_col, coords).repartition(tasks, *by)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order, class_col))
+    rows = rows.select(*by, class_col, coords, place.alias("place__"))
+    edges = rows.select("*", F.explode(F.sequence(F.lit(0), F.size(p) - 2, F.lit(2))).alias("i__"))
+    corner = lambda at: F.get(p, F.pmod(at, F.size(p))).cast("int")
+    edges = edges.select(*by, class_col, "place__", *[corner(i + n).alias(c) for n, c in enumerate(("x1__", "y1__", "x2__", "y2__"))])
+    ends = [F.col(c) for c in ("x1__", "y1__", "x2__", "y2__")]
+    dots = edges.withColumn("steps__", _steps(*ends)).withColumn("k__", F.explode(F.sequence(F.lit(0), F.col("steps__"))))
+    cells = dots.select(*by, class_col, "place__", _between(ends[0], ends[2], k, F.col("steps__")).alias("x"), _between(ends[1], ends[3], k, F.col("steps__")).alias("y"))
     cells = cells.filter(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
-    return cells.groupBy(*by, "x", "y").agg(F.max_by(class_col, F.struct(*order)).alias(class_col))
+    return cells.groupBy(*by, "x", "y").agg(F.max_by(class_col, "place__").alias(class_col))
 
 
 def drawn_on(pixels: DataFrame, lines: DataFrame, on: list[str], colors: tuple = LABEL_COLORS, class_col: str = "class_id") -> DataFrame:

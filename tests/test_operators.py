@@ -371,8 +371,8 @@ def _shuffles(plan, column):
     return below + 1 if below >= 0 and plan.nodeName() == "Exchange" else below
 
 
-@pytest.mark.parametrize("name", ["batch_labels_by_flight", "batch_labels", "batch_labels_unmerged"])
-def test_a_batch_shuffles_its_labels_once(spark, sf_dir, name):
+@pytest.mark.parametrize("name", ["batch_labels_by_flight", "batch_labels", "batch_labels_unmerged", "drawn_labels"])
+def test_labels_are_shuffled_once(spark, sf_dir, name):
     from geoview.queries import QUERIES
 
     conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
