@@ -152,13 +152,11 @@ def _met_by_block(frames: DataFrame, central: DataFrame, labels: DataFrame, befo
     asked = asked.select("task__", "block__", "flight_id", "neighbour_id", "pose__", "all__")
     if by:  # equal types have equal hashes
         labels = labels.withColumn("flight_id", F.col("flight_id").cast(frames.schema["flight_id"].dataType))
-    flat = labels.select("*", near, F.col("corners.x").alias("xs__"), F.col("corners.y").alias("ys__")).drop("corners")
-    met = dealt(flat).join(asked, ["task__", "block__", *by, "neighbour_id"])
-    met = met.withColumn("corners", F.arrays_zip(F.col("xs__").alias("x"), F.col("ys__").alias("y"))).withColumn("one__", F.explode("all__"))
+    met = dealt(labels.select("*", near)).join(asked, ["task__", "block__", *by, "neighbour_id"]).withColumn("one__", F.explode("all__"))
     n, f = F.col("neighbour_id"), F.col("one__.frame_id")
     met = met.filter((n == f) | n.between(f - before, f + after))
-    rest = [c for c in labels.columns if c not in ("corners", "neighbour_id", *by)]
-    return met.select("task__", "flight_id", "neighbour_id", *rest, "corners", "pose__.*", "one__.*", F.when(n == f, 0).when(n < f, 1).otherwise(2).alias("phase"))
+    rest = [c for c in labels.columns if c not in ("neighbour_id", *by)]
+    return met.select("task__", "flight_id", "neighbour_id", *rest, "pose__.*", "one__.*", F.when(n == f, 0).when(n < f, 1).otherwise(2).alias("phase"))
 
 
 def _met_by_pairs(frames: DataFrame, central: DataFrame, labels: DataFrame, before: Column | int, after: Column | int, stride: Column | int) -> DataFrame:
@@ -199,13 +197,16 @@ def batch_labels(
     tracked = "track_id" in labels.columns
     if not tracked:
         labels = labels.withColumn("track_id", F.col("line"))
-    labels = labels.select(*[c for c in ("flight_id",) if c in labels.columns], F.col("frame_id").alias("neighbour_id"), "line", "track_id", "class_id", "corners")
+    # Two arrays of numbers are a third of an array of structs.
+    flat = [F.col(f"corners.{c}").alias(f"{c}s__") for c in "xy"]
+    labels = labels.select(*[c for c in ("flight_id",) if c in labels.columns], F.col("frame_id").alias("neighbour_id"), "line", "track_id", "class_id", *flat)
     if not (s.merge_labels and tracked and not s.project_orthogonal):
         rows = _met_by_frame(central, labels)
     elif all(isinstance(v, int) for v in (before, after, stride)):
         rows = _met_by_block(frames, central, labels, before, after, stride)
     else:
         rows = _met_by_pairs(frames, central, labels, before, after, stride)
+    rows = rows.withColumn("corners", F.arrays_zip(F.col("xs__").alias("x"), F.col("ys__").alias("y"))).drop("xs__", "ys__")
     position, degrees = _vec([f"n_cam_{c}" for c in "xyz"]), _vec([f"n_rot_{c}_deg" for c in "xyz"])
     shot = cam.frame_camera(position, degrees, "n_fovy", _vec(("tx", "ty", "tz")), _vec(("rx", "ry", "rz")))
     above = _vec(("cam_x", "cam_y", "cam_z")) + _vec(("tx", "ty", "tz")) + Vec3.of(0, 0, s.camera_distance)
